@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe
+from scorelake.llm import byte_bpe, packing, piece_counts
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +29,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_counts": op6_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLES: dict[str, str] = {}
