@@ -17,7 +17,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ke
                 part = batch.slice(first, 256)
                 rows: list[tuple] = []
                 for key, text in zip(part.column(0), part.column(1), strict=True):
-                    ids = bpe.encode(text.as_py() or "") + end
+                    ids = bpe.encode_fast(text.as_py() or "") + end
                     for piece, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + n)]
                         rows.append((key.as_py(), piece, start, n, zlib.crc32(own), *([own] if keep_ids else [])))

@@ -41,6 +41,7 @@ def test_empty_table(spark):
 def test_any_text(text):
     ids = byte_bpe.coder(PATH).encode(text)
     assert list(memoryview(ids).cast("I")) == library_once().encode(text, add_special_tokens=False).ids
+    assert byte_bpe.coder(PATH).encode_fast(text) == ids
     assert byte_bpe.coder(PATH).decode(ids) == text
 
 
@@ -60,3 +61,10 @@ def test_table_starts_afresh(monkeypatch):
 @pytest.mark.parametrize("special", ["<|endoftext|>"])
 def test_special(special):
     assert list(memoryview(byte_bpe.coder(PATH).encode(special * 2)).cast("I")) == [50256] * 2
+
+
+def test_fast_is_used():
+    bpe = byte_bpe.coder(PATH)
+    assert bpe.ranked is not None
+    for text in TEXTS[1:]:
+        assert bpe.encode_fast(text) == bpe.encode(text)
