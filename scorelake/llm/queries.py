@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, packing, piece_counts, warc
+from scorelake.llm import byte_bpe, line_dedup, packing, piece_counts, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=10)
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -36,6 +41,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line, translate(trim(l[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)
+), seen AS (SELECT k, min(doc_id) AS first_id, count(DISTINCT doc_id) AS n FROM lines WHERE length(k) >= 10 GROUP BY k),
+marked AS (SELECT doc_id, i, line, coalesce(n >= 2 AND first_id < doc_id, false) AS lost FROM lines LEFT JOIN seen USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": LINES_SQL,
+}
