@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, cover_tree, language_id, line_dedup, packing, piece_counts, secret_scan, warc
+from scorelake.llm import byte_bpe, cover_tree, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0).drop("payload")
 
 
+def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_cover_tree": op3_cover_tree,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_bbit_minhash": op5_bbit_minhash,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
@@ -68,6 +73,23 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM w, unnest(range(1, greatest(2, len(w) - 1))) AS u(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- a pair at 85 % shares the rarest sixth of either set
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS r FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) USING (g)),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT o.* FROM o JOIN n USING (doc_id) WHERE r <= n - ceil(0.85 * n) + 1) x JOIN (SELECT o.* FROM o JOIN n USING (doc_id) WHERE r <= n - ceil(0.85 * n) + 1) y ON x.g = y.g AND x.doc_id < y.doc_id),
+i AS (SELECT a, b, count(*) AS both FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, l[i] AS line, translate(trim(l[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -80,5 +102,6 @@ FROM marked GROUP BY doc_id
 
 ORACLES: dict[str, str] = {
     "op3_cover_tree": TOP_SQL,
+    "op5_bbit_minhash": NEAR_SQL,
     "op9_line_dedup": LINES_SQL,
 }
