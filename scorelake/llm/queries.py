@@ -82,8 +82,8 @@ WITH RECURSIVE w AS (
 -- a pair at 85 % shares the rarest sixth of either set
 o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS r FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) USING (g)),
 c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT o.* FROM o JOIN n USING (doc_id) WHERE r <= n - ceil(0.85 * n) + 1) x JOIN (SELECT o.* FROM o JOIN n USING (doc_id) WHERE r <= n - ceil(0.85 * n) + 1) y ON x.g = y.g AND x.doc_id < y.doc_id),
-i AS (SELECT a, b, count(*) AS both FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
-l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+i AS (SELECT a, b, count(*) AS n_both FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
