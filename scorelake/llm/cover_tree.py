@@ -23,8 +23,8 @@ from scorelake.llm.common import written
 #: Vectors of a shard and queries of a block, about; pivots at most; vectors of the sample for first bounds.
 SHARD, BLOCK, PIVOTS, SEEDS = 4096, 2048, 64, 2048
 LEAF = 48
-#: A child's radius against its parent's, at most.
-SHRINK = 0.7
+#: A child's radius against its parent's, at most; points of a cover's children at least, on average.
+SHRINK, SMALLEST = 0.7, 6
 #: Largest component: all scores of up to 2**15 components then fit a long.
 LARGEST = 1 << 24
 
@@ -56,25 +56,24 @@ class CoverTree:
 
     def _build(self) -> None:
         rows = np.arange(len(self.points))
-        todo = [(self._node(rows, self._distances(rows, 0)), None)]
+        todo = [self._node(rows, self._distances(rows, 0))]
         while todo:
-            node, _ = todo.pop()
+            node = todo.pop()
             rows, limit = self.members[node], self.radius[node] * SHRINK
             if len(rows) <= LEAF or self.radius[node] == 0:
                 continue
-            found, alone = [], []
-            while len(rows):  # each centre is farther than limit from all before it
+            centres, parts, enough = 0, [], len(rows) / SMALLEST
+            while len(rows) and centres <= enough:  # each centre is farther than limit from all before it
                 far = self._distances(rows, rows[0])
                 inside = far <= limit
-                if inside.sum() > 1:
-                    child = self._node(rows[inside], far[inside])
-                    found.append(child)
-                    todo.append((child, None))
-                else:
-                    alone.append(rows[0])
+                parts.append((rows[inside], far[inside]))
+                centres += 1
                 rows = rows[~inside]
-            if alone and not found and len(alone) > LEAF:  # points all far from each other: no cover is smaller
+            if len(rows):  # a cover with a centre for every few points would bound nothing: a leaf
                 continue
+            alone = [own[0] for own, _ in parts if len(own) == 1]
+            found = [self._node(own, far) for own, far in parts if len(own) > 1]
+            todo += found
             if alone:
                 centre = np.array(alone)
                 found.append(self._node(centre, self._distances(centre, centre[0])))  # a leaf of lone points
@@ -110,14 +109,21 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data:
             if not exact:
                 scores = np.array(scores, np.float64)
             scores[query_ids[rows][:, None] == ids[here][None, :]] = -np.inf
-            hot = np.flatnonzero(scores.max(1) >= worst[rows])
-            if not len(hot):
+            least = worst[rows]
+            if len(here) > k:
+                least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+            x, y = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            if not len(x):
                 continue
-            own = rows[hot]
-            s = np.concatenate([best[own], np.where(scores[hot] >= floors[own][:, None], scores[hot], -np.inf)], 1)
-            o = np.concatenate([owners[own], np.broadcast_to(ids[here], (len(hot), len(here)))], 1)
-            order = np.lexsort((o, -s), axis=1)[:, :k]
-            best[own], owners[own] = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1)
+            own = rows[np.unique(x)]
+            row = np.concatenate([rows[x], np.repeat(own, k)])
+            score = np.concatenate([scores[x, y], best[own].ravel()])
+            owner = np.concatenate([ids[here[y]], owners[own].ravel()])
+            order = np.lexsort((owner, -score, row))
+            row, score, owner = row[order], score[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            take = first[:, None] + np.arange(k)  # each has its k former ones at least
+            best[own], owners[own] = score[take], owner[take]
             worst[own] = np.maximum(worst[own], best[own, k - 1])
 
     stack = [(0, 0, float(bounds(0, np.array([0]))[0]))]
@@ -175,7 +181,8 @@ def top_k(frame: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_colum
         own = sample.filter(pc.equal(sample.column("dim"), dim))
         ids, first = np.unique(own.column("id").to_numpy(), return_index=True)
         seeds[dim] = (ids, _matrix(own.column("v"))[first])
-    pivots = {dim: v[:PIVOTS] for dim, (_, v) in seeds.items()}
+    held = {r.dim: r["count"] for r in data.groupBy("dim").count().collect()}
+    pivots = {dim: v[: min(PIVOTS, -(-held[dim] // SHARD))] for dim, (_, v) in seeds.items()}
 
     def nearest(batches):
         for batch in batches:

@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, cover_tree, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
+from scorelake.llm import byte_bpe, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_secret_scan": op2_secret_scan,
     "op3_cover_tree": op3_cover_tree,
     "op4_warc_round_trip": op4_warc_round_trip,
