@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import spare
+
 #: Rows of each language that fitting reads at most.
 SAMPLE = 2000
 #: n-grams of each language that are kept at most, the most frequent.
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry:
             found = [model.predict(text.as_py()) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    plain = docs.select(*(F.col(c) for c in carry), F.col(text_column).alias("text"))
+    plain = docs.select(*(F.col(c) for c in carry), F.col(text_column).alias(spare(list(carry), "whole")[0]))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
     return plain.mapInArrow(run, f"{kept}lang_pred string, score double")
 

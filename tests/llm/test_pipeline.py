@@ -1,0 +1,64 @@
+import re
+
+import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
+from scorelake.llm import language_id, secret_scan
+from test_line_dedup import brute as brute_lines
+from test_near_dedup import brute as brute_near
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    extra = [(900_001, None, "en", "s", 0), (900_002, "12345 !!", "en", "s", 8), (900_003, "", None, None, None), (900_004, "中文中文中文", "en", "s", 6)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).union(docs.filter("doc_id = 3").withColumn("doc_id", F.lit(900_005).cast("long")))
+    columns = docs.columns
+    named = dict(cp.STAGES)
+    one = named["language_id"](spark, docs, DIR).cache()
+    assert one.columns == columns
+    kept = {r.doc_id for r in one.collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {900_001, 900_002, 900_003, 900_004}
+
+    two = named["line_dedup"](spark, one, DIR).cache()
+    assert two.columns == columns
+    want = {int(i): t for i, _, n, t in brute_lines([(r.doc_id, r.text) for r in one.collect()]) if not (n and not t.strip(" \t\n\x0b\x0c\r"))}
+    assert {r.doc_id: r.text for r in two.collect()} == want and all(r.n_chars == len(r.text) for r in two.collect())
+    assert 900_005 not in want  # a copy has lost all its lines
+
+    three = named["near_dedup"](spark, one, DIR).cache()  # on documents that still have their copies
+    assert sorted(r.doc_id for r in three.collect()) == [i for i, _, _, first in brute_near([(r.doc_id, r.text) for r in one.collect()], 5, 80) if first]
+    assert three.columns == columns
+
+    four = named["secret_scan"](spark, three, DIR).cache()
+    assert four.columns == columns and four.count() == three.count()
+    assert secret_scan.digest(four).filter("spans <> ''").count() == 0
+    before = {r.doc_id: r.text for r in three.collect()}
+    changed = [r for r in four.collect() if r.text != before[r.doc_id]]
+    assert changed and all("[SECRET]" in r.text for r in changed)
+    assert not any(re.search("AKIA[A-Z0-9]{14}", r.text) for r in four.collect())
+
+    five = named["best_fit_packing"](spark, four, DIR)
+    assert {r.doc_id for r in five.collect()} == {r.doc_id for r in four.collect()}
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(five.columns)
+
+
+def test_run(spark):
+    got = cp.run(spark, DIR)
+    assert got.count() > 100
+    filled = got.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    assert filled.filter("n > 2048").count() == 0
+    assert filled.count() <= got.agg(F.sum("length")).first()[0] / 2048 * 1.1 + 1
+
+
+def test_empty(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, DIR).count() == 0, name
+
+
+def test_nothing_is_rejected_that_is_clean(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert cp.identify(spark, docs, "").count() == docs.count()
+    assert language_id.NONE == "und"
