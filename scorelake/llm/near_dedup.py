@@ -3,12 +3,15 @@
 1. Each text becomes a set of hashed word shingles; of its 128 minima, bands of four make its bucket keys, and four low bits of each are packed into
    a signature of 64 bytes. Texts with equal sets collapse to the one with the smallest id.
 2. Each bucket's members are candidates of its smallest member. The share of equal low bits, corrected for those equal by chance, estimates the
-   similarity; each member keeps its best leader, unless that is MARGIN standard errors below the threshold. Links are confirmed on full sets.
-3. Where a bucket still spans several components, its members are compared across components, by bit counts within the task. Each keeps
-   its best partner in each other component; these are confirmed, and then all candidates that are still apart. No pair within a
-   component is made, so a group of n near copies costs about n links and not n * n.
-
-Large buckets are compared in pairs of blocks, each a group of its own. Nothing is sampled or capped. A pair of similarity 0.8 shares no
+   similarity. A text's root is the smallest of its leaders whose estimate isn't MARGIN standard errors below the threshold. Links
+   with roots are confirmed on full sets, and the difference of both sets is kept: for two texts a and b of one root r,
+   a xor b = (a xor r) xor (b xor r), so the small differences alone give their exact similarity.
+3. Members of a root that aren't in its component are compared with all its members, exactly, within the task; it gives out only links that join
+   what was apart. No pairs leave it, so a group of n near copies costs about n links and not n * n.
+4. Where a bucket still spans several components, members of different roots are compared by bit counts. Each keeps its best partner in each
+   other component; these are confirmed on full sets, and then all candidates that are still apart.
+
+Large groups are compared in pairs of blocks, each a group of its own. Nothing is sampled or capped. A pair of similarity 0.8 shares no
 bucket with a probability of 5e-8, one of 0.85 with 6e-11.
 """
 
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import written
@@ -139,6 +142,10 @@ def sketch(values: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys.view(np.int64), (low[::2] << 4 | low[1::2]).tobytes()
 
 
+def _digest(values: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of packed signatures (..., 8 words), how many of the HASHES groups of bits are equal."""
     x = a ^ b
@@ -173,7 +180,7 @@ def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", text_column
                 for text in part.column(1):
                     values = shingles(text.as_py(), words)
                     keys, packed = sketch(values) if len(values) else (np.zeros(0, np.int64), b"")
-                    digest = np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64)
+                    digest = _digest(values)
                     n.append(len(values))
                     s1.append(int(digest[0]))
                     s2.append(int(digest[1]))
@@ -204,8 +211,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def deltas(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, linked, n_a, n_b, delta) for pairs (a, b): as confirmed, with the sizes of both sets and the shingles that only one of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                linked, sizes, out = [], [], []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    p, q = shingles(x.as_py(), words), shingles(y.as_py(), words)
+                    delta = np.setxor1d(p, q, assume_unique=True)
+                    either = (len(p) + len(q) + len(delta)) // 2
+                    linked.append(either > len(delta) and 100 * (either - len(delta)) >= percent * either)
+                    sizes.append((len(p), len(q)))
+                    out.append(delta.view(np.int64))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32))
+                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array([n for n, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64()), column], names=["a", "b", "linked", "n_a", "n_b", "delta"])
+
+    one = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, delta array<long>")
+
+
+def exact_links(rows: pa.Table, cols: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between rows and cols (doc, component, n, delta from one root) of different components, exact; only such as join what no earlier one has joined."""
+    part = lambda t, c: t.column(c).to_numpy()
+    lists = [t.column("delta").combine_chunks() for t in (rows, cols)]
+    values = np.asarray(lists[1].flatten())
+    lengths = np.diff(np.asarray(lists[1].offsets))
+    holder = np.repeat(np.arange(cols.num_rows), lengths)
+    order = np.argsort(values, kind="stable")
+    values, holder = values[order], holder[order]
+    doc, component, n = part(cols, "doc"), part(cols, "component"), part(cols, "n")
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    links = []
+    offsets, flat = np.asarray(lists[0].offsets), np.asarray(lists[0].values)
+    for own, label, size, begin, end in zip(part(rows, "doc").tolist(), part(rows, "component").tolist(), part(rows, "n").tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        delta = flat[begin:end]
+        at, to = np.searchsorted(values, delta, "left"), np.searchsorted(values, delta, "right")
+        hits = [holder[x:y] for x, y in zip(at.tolist(), to.tolist(), strict=True) if y > x]
+        shared = np.bincount(np.concatenate(hits), minlength=len(doc)) if hits else 0
+        apart = len(delta) + lengths - 2 * shared
+        both = (size + n - apart) // 2
+        found = np.flatnonzero((both > 0) & (100 * both >= percent * (size + n - both)) & (component != label))
+        for label_2, first in zip(*np.unique(component[found], return_index=True), strict=True):
+            p, q = find(label), find(int(label_2))
+            if p != q:
+                parent[p] = q
+                links.append((own, int(doc[found[first]])))
+    return links
+
+
+def _within_roots(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members (root, doc, n, delta, component) of one root, where they aren't all of the root's component."""
+    root = members.filter("doc = root").select("root", F.col("component").alias("own"))
+    marked = members.join(root, "root").withColumn("minor", F.col("component") != F.col("own")).drop("own")
+    sizes = marked.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK).cast("int").alias("minor_blocks")).filter("minor_blocks > 0")
+    dealt = marked.join(sizes, "root")
+    own = lambda blocks: F.pmod(F.xxhash64("doc"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    kept = ["root", "i", "j", "side", "doc", "component", "n", "delta"]
+    rows = dealt.filter("minor").withColumns({"side": F.lit(0), "i": own("minor_blocks")}).withColumn("j", each("all_blocks")).select(*kept)
+    cols = dealt.withColumns({"side": F.lit(1), "j": own("all_blocks")}).withColumn("i", each("minor_blocks")).select(*kept)
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        links = exact_links(*(group.filter(pa.array(side == s)) for s in (0, 1)), percent) if 0 < side.sum() < len(side) else []
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return rows.union(cols).groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _across(members: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """(a, b, est) of members (bucket, doc, component, bits) of one bucket but different components, with an estimate of at least least.
+    """(a, b, est) of members (bucket, doc, root, component, bits) of one bucket but different components and roots, with an estimate of at least least.
 
     best_only: for each member and other component of a group, the best alone.
     """
@@ -213,10 +299,10 @@ def _across(members: DataFrame, least: float, best_only: bool) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = members.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "bits")
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "component", "bits")
 
     def compare(group: pa.Table) -> pa.Table:
-        doc, component, block = (group.column(c).to_numpy() for c in ("doc", "component", "block"))
+        doc, root, component, block = (group.column(c).to_numpy() for c in ("doc", "root", "component", "block"))
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         labels, code = np.unique(component, return_inverse=True)
@@ -235,7 +321,8 @@ def _across(members: DataFrame, least: float, best_only: bool) -> DataFrame:
                     for to in range(0, len(right), 2048):
                         there = right[to : to + 2048]
                         est = estimate(equal_bits(bits[here][:, None, :], bits[there][None, :, :]))
-                        good = (est >= least) & (code[here][:, None] != code[there][None, :]) & (doc[here][:, None] != doc[there][None, :])
+                        good = (est >= least) & (code[here][:, None] != code[there][None, :]) & (root[here][:, None] != root[there][None, :])
+                        good &= (doc[here][:, None] != root[there][None, :]) & (root[here][:, None] != doc[there][None, :])
                         x, y = np.nonzero(good)
                         a, b, e = here[x], there[y], est[x, y]
                         if best_only and len(a):
@@ -257,43 +344,81 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
+def _nodes(all_rows: DataFrame) -> DataFrame:
+    """(s1, s2, node, doc, shared, bands, bits): one row for each distinct set. Its node is the smallest id that has it; where rows repeat an id with several sets
+    (shared), all but one have a hash as their node."""
+    sets = all_rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    by_id = Window.partitionBy("doc")
+    ranked = sets.withColumns({"place": F.row_number().over(by_id.orderBy("s1", "s2")), "shared": F.count("*").over(by_id) > 1})
+    return ranked.select("s1", "s2", F.when(F.col("place") == 1, F.col("doc")).otherwise(F.xxhash64("s1", "s2")).alias("node"), "doc", "shared", "bands", "bits")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    """(doc, text) for nodes (node, doc, shared, s1, s2): doc is the node. A repeated id's texts are told apart by their sets; one row for each node and repeated row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, text, shared, s1, s2 = batch.columns
+            keep = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(np.asarray(shared)):
+                digest = _digest(shingles(text[i].as_py(), words))
+                keep[i] = (int(digest[0]), int(digest[1])) == (s1[i].as_py(), s2[i].as_py())
+            yield pa.RecordBatch.from_arrays([node, text], names=["doc", "text"]).filter(pa.array(keep))
+
+    rows = docs.select(_ids(id_column).alias("doc"), F.col(text_column).alias("text")).join(nodes, "doc")
+    return rows.select("node", "text", "shared", "s1", "s2").mapInArrow(run, "doc long, text string")
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, n_shingles, component) for each row of docs; ids as longs, LAST_ID for a null one."""
     least = least_estimate(percent / 100)
     all_rows = written(sketches(docs, words, id_column, text_column), "sketches")
-    sets = written(all_rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "sets")
-    keyed = sets.select("doc", F.posexplode("bands").alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("bucket"))
+    nodes = written(_nodes(all_rows), "nodes")
+    keyed = nodes.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("bucket"))
     leaders = keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
     members = written(keyed.join(leaders, "bucket"), "members")
-    bits = sets.groupBy("doc").agg(F.first("bits").alias("bits"))  # rows that repeat an id are one document
+    bits = nodes.select(F.col("node").alias("doc"), "bits")
     candidates = members.filter("doc <> leader").select("doc", "leader").distinct()
     rated = candidates.join(bits.withColumnRenamed("bits", "own"), "doc").join(bits.select(F.col("doc").alias("leader"), F.col("bits").alias("other")), "leader")
     rated = rated.mapInArrow(_rate, "doc long, leader long, est double").filter(F.col("est") >= least)
-    first = written(rated.groupBy("doc").agg(F.max(F.struct("est", (-F.col("leader")).alias("leader"))).alias("best")).select((-F.col("best.leader")).alias("a"), F.col("doc").alias("b")), "first")
-    texts = docs.select(_ids(id_column).alias("doc"), F.col(text_column).alias("text"))
-    texts = written(texts.join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
-    links = written(confirmed(first, texts, words, percent), "links")
-    # documents with equal sets, and rows with equal ids
-    same = all_rows.filter("n_shingles > 0").select("s1", "s2", F.col("doc").alias("own")).join(sets.select("s1", "s2", "doc"), ["s1", "s2"])
-    alike = same.groupBy("own").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("a", "b")
-    edges = links.filter("linked").select("a", "b").union(alike)
+    first = written(rated.groupBy("doc").agg(F.min("leader").alias("a")).select("a", F.col("doc").alias("b")), "first")
+    needed = nodes.select("node", "doc", "shared", "s1", "s2").join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    texts = written(_texts(docs, needed, words, id_column, text_column), "texts")
+    if all_rows.groupBy("doc").count().filter("count > 1").limit(1).count():
+        texts = written(texts.groupBy("doc").agg(F.min("text").alias("text")), "texts")  # rows with equal sets
+    rooted = written(deltas(first, texts, words, percent), "rooted")
+    of_row = all_rows.filter("n_shingles > 0").select("s1", "s2", F.col("doc").alias("own")).join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    # rows with equal ids are one document
+    several = of_row.groupBy("own").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("own", "a")
+    alike = of_row.join(several, "own").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    edges = written(rooted.filter("linked").select("a", "b").union(alike), "edges")
+    labels = written(components(edges), "labels")
+    none = F.array().cast("array<long>")
+    of_roots = rooted.select(F.col("a").alias("root"), F.col("b").alias("doc"), F.col("n_b").alias("n"), "delta")
+    roots = rooted.groupBy("a").agg(F.min("n_a").alias("n")).select(F.col("a").alias("root"), F.col("a").alias("doc"), "n", none.alias("delta"))
+    edges = written(edges.union(_within_roots(_labelled(of_roots.union(roots), labels), percent)), "edges")
+    tested = rooted.select("a", "b")
+    own_roots = rooted.select(F.col("b").alias("doc"), F.col("a").alias("root"))
     for best_only in (True, False):
         labels = written(components(edges), "labels")
         apart = _labelled(members.select("bucket", "doc"), labels)
         spans = apart.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
-        open_members = apart.join(spans, "bucket").join(bits, "doc")
+        known = bits.join(own_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        open_members = apart.join(spans, "bucket").join(known, "doc")
         pairs = _across(open_members, least, best_only).groupBy("a", "b").agg(F.max("est").alias("est"))
-        pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if best_only:
             other = _labelled(pairs.withColumnRenamed("b", "doc"), labels).withColumnRenamed("doc", "b")
             pairs = other.groupBy("a", "component").agg(F.max(F.struct("est", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
         found = written(confirmed(pairs.select("a", "b"), texts, words, percent), "links")
-        links = links.union(found)
+        tested = tested.union(found.select("a", "b"))
         edges = edges.union(found.filter("linked").select("a", "b"))
-    labels = components(edges)
-    of_set = _labelled(sets.select("s1", "s2", "doc"), labels).select("s1", "s2", "component")
+    labels = written(components(edges), "labels")
+    of_set = _labelled(nodes.select("s1", "s2", F.col("node").alias("doc"), F.col("doc").alias("least")), labels)
+    smallest = of_set.groupBy("component").agg(F.min("least").alias("first_id"))
+    of_set = of_set.join(smallest, "component").select("s1", "s2", "first_id")
     joined = all_rows.select("doc", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"], "left")
-    return joined.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    return joined.select("doc", "n_shingles", F.coalesce("first_id", "doc").alias("component"))
 
 
 def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

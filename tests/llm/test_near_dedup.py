@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +69,11 @@ def test_repeated_and_null_ids(spark):
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([(5, 3, False), (5, 3, False), (7, 3, False), (3, 3, True), (None, 3, False), (None, 3, False), (None, None, True)], key=str)
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85).count() == 0
+    # one id with three texts ties three groups; its texts are near copies of others
+    near = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(9, near("a")), (9, near("b")), (9, near("c")), (9, near("c")), (4, near("a") + " x"), (8, near("b") + " y"), (2, "z " + near("c")), (1, near("d"))]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (4, 2), (8, 2), (9, 2), (9, 2), (9, 2), (9, 2)]
 
 
 def test_components(spark):
@@ -114,3 +120,30 @@ def test_estimates():
         true = len(np.intersect1d(a, b)) / len(base)
         bits = [np.frombuffer(nd.sketch(np.sort(x))[1], np.uint64) for x in (a, b)]
         assert abs(nd.estimate(nd.equal_bits(*bits)) - true) < 0.16
+
+
+def test_exact_links():
+    rng = np.random.default_rng(3)
+    root = np.unique(rng.integers(0, 1 << 62, 80))
+    sets = []
+    for _ in range(120):
+        own = rng.permutation(root)[: rng.integers(60, 81)]
+        sets.append(np.union1d(own, rng.integers(0, 1 << 62, rng.integers(0, 9))))
+    table = pa.table({"doc": pa.array(range(120), pa.int64()), "component": pa.array(range(120), pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "delta": pa.array([np.setxor1d(x, root) for x in sets], pa.list_(pa.int64()))})
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(pairs):
+        parent[:] = range(120)
+        for a, b in pairs:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(120)]
+
+    true = [(a, b) for a in range(120) for b in range(a) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    links = nd.exact_links(table, table, 85)
+    assert set(links) <= {x for a, b in true for x in ((a, b), (b, a))} and len(links) < 120
+    assert join(true) == join(links) and len(set(join(true))) > 3
