@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # for the workers
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
@@ -27,3 +27,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def quiet_logging():
+    import logging
+
+    root = logging.getLogger()
+    handlers = list(root.handlers)
+    yield
+    root.handlers[:] = handlers
