@@ -122,6 +122,79 @@ def stemmed_rouge(rows: DataFrame, key: str, candidate: str = "prediction", refe
     return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, rouge1 double, rouge2 double, rougel double")
 
 
+def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal words, then of equal stems, each used once, first come first."""
+    pairs, free_a, free_b = [], list(range(len(a))), list(range(len(b)))
+    for form in (lambda w: w, stem):
+        places: dict[str, list[int]] = {}
+        for j in free_b:
+            places.setdefault(form(b[j]), []).append(j)
+        left = []
+        for i in free_a:
+            held = places.get(form(a[i]))
+            if held:
+                pairs.append((i, held.pop(0)))
+            else:
+                left.append(i)
+        taken = {j for _, j in pairs}
+        free_a, free_b = left, [j for j in free_b if j not in taken]
+    return sorted(pairs)
+
+
+def meteor_like(a: list[str], b: list[str]) -> float:
+    """An approximation of METEOR by exact words and stems, without synonyms: the recall-weighted mean less a penalty for broken order."""
+    pairs = _aligned(a, b)
+    if not pairs:
+        return 0.0
+    p, r = len(pairs) / len(a), len(pairs) / len(b)
+    chunks = 1 + sum(q != (x + 1, y + 1) for (x, y), q in zip(pairs, pairs[1:], strict=False))
+    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / len(pairs)) ** 3)
+
+
+def alignment_scores(rows: DataFrame, key: str, candidate: str = "prediction", reference: str = "reference", beta: float = 1.2) -> DataFrame:
+    """(key, rouge_l, meteor): F with a weight beta on recall of the longest common subsequence, and meteor_like; over normalised words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                a, b = x.as_py(), y.as_py()
+                n = _common(a, b) if a and b else 0
+                p, r = (n / len(a), n / len(b)) if n else (0.0, 0.0)
+                out.append(((1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0, meteor_like(a, b) if a and b else 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(o[0], 6) for o in out], pa.float64()), pa.array([round(o[1], 6) for o in out], pa.float64())], names=[key, "rouge_l", "meteor"])
+
+    kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(key, tokens(candidate).alias("a"), tokens(reference).alias("b"))
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, rouge_l double, meteor double")
+
+
+def cider_d(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference", sigma: float = 6.0) -> DataFrame:
+    """(key, cider): ten times the mean over 1- to 4-grams of the clipped cosine of TF-IDF vectors, with a Gaussian penalty on the difference of lengths.
+    A gram's document frequency counts the group's references that have it."""
+    kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(group, key, candidate, reference)
+    orders = (1, 2, 3, 4)
+    a = bags(kept, key, candidate, orders).select(key, "n", "gram", F.col("count").alias("c"), F.lit(0).cast("long").alias("r"))
+    b = bags(kept, key, reference, orders).select(key, "n", "gram", F.lit(0).cast("long").alias("c"), F.col("count").alias("r"))
+    met = a.union(b).groupBy(key, "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).join(kept.select(key, group), key)
+    seen = met.groupBy(group, "n", "gram").agg(F.count_if(F.col("r") > 0).alias("df"))
+    pairs = kept.groupBy(group).agg(F.count("*").alias("pairs"))
+    idf = F.ln(F.col("pairs").cast("double")) - F.ln(F.greatest(F.lit(1), F.col("df")).cast("double"))
+    v = met.join(seen, [group, "n", "gram"]).join(pairs, group).withColumn("w", idf)
+    x, y = F.col("c") * F.col("w"), F.col("r") * F.col("w")
+    sums = v.groupBy(key, "n").agg(F.sum(F.least(x, y) * y).alias("dot"), F.sqrt(F.sum(x * x)).alias("nx"), F.sqrt(F.sum(y * y)).alias("ny"))
+    lengths = kept.select(key, F.exp(-F.pow(F.size(tokens(candidate)) - F.size(tokens(reference)), 2) / F.lit(2 * sigma**2)).alias("penalty"))
+    cosine = F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("dot") / (F.col("nx") * F.col("ny"))).otherwise(0.0)
+    own = sums.groupBy(key).agg((F.sum(cosine) / len(orders)).alias("cosine"))
+    return lengths.join(own, key, "left").select(key, F.round(10 * F.coalesce("cosine", F.lit(0.0)) * F.col("penalty"), 6).alias("cider"))
+
+
+def caption_suite(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, bleu_1 to bleu_4, rouge_l, meteor, cider, sim): corpus BLEU of a group's pairs, and means of the others over them."""
+    each = alignment_scores(rows, key).join(cider_d(rows, group, key), key).join(rows.select(key, group, hashed_similarity(F.col("prediction"), F.col("reference")).alias("sim")), key)
+    means = each.groupBy(group).agg(*[F.avg(c).alias(c) for c in ("rouge_l", "meteor", "cider", "sim")])
+    return corpus_bleu(rows, group, key).join(means, group, "left")
+
+
 def document_frequency(rows: DataFrame, column: str = "reference") -> DataFrame:
     """(word, df): in how many texts each word stands."""
     return rows.select(F.explode(F.array_distinct(tokens(column))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))

@@ -22,7 +22,7 @@ def sample_scores(relations: DataFrame, samples: DataFrame | None = None) -> Dat
         F.count_if(side == "precision").alias("n_pred"), F.count_if((side == "precision") & relation.isin("entailment", "neutral")).alias("hit_pred"),
     )
     if samples is not None:
-        counts = samples.join(counts, ["sample_id", "source"], "left").fillna(0)
+        counts = samples.join(counts.drop("source"), "sample_id", "left").fillna(0)
     r = F.when(F.col("n_gold") == 0, 1.0).otherwise(ratio(F.col("hit_gold"), F.col("n_gold")))
     p = F.when(F.col("n_pred") == 0, 1.0).otherwise(ratio(F.col("hit_pred"), F.col("n_pred")))
     return counts.select("sample_id", "source", r.alias("recall"), p.alias("precision"), f1(r, p).alias("f1"))

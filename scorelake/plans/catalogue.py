@@ -189,6 +189,22 @@ def n4_pairwise_json(spark, d):
     return _replies(spark, d).drop("category")
 
 
+@query("""SELECT conv_id AS sample_id, CAST(unnest([0, 1]) AS INTEGER) AS i, unnest([10.0::DOUBLE * turn, 10.0::DOUBLE * turn + 10]) AS "start", unnest([10.0::DOUBLE * turn + 4.5, 10.0::DOUBLE * turn + 12]) AS "end",
+  unnest(['someone says line ' || turn, 'then it is over']) AS sentence, turn FROM conversations""")
+def t7_timed_captions(spark, d):
+    t = F.col("turn") * 10
+    at = lambda x: x.cast("string")
+    told = F.concat(at(t), F.lit(" - "), at(t + 4), F.lit(".5 seconds, Someone says line "), at(F.col("turn")), F.lit(" "), at(t + 10), F.lit("-"), at(t + 12), F.lit(" seconds, then it is over"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.posexplode(parse.timed_captions(told)).alias("i", "c"))
+    return rows.select("sample_id", "turn", "i", F.col("c.span.start").alias("start"), F.col("c.span.end").alias("end"), F.col("c.sentence").alias("sentence"))
+
+
+@query("""SELECT p_partkey AS part, CAST(floor(w * least(1.0::DOUBLE, 512.0::DOUBLE / greatest(w, h))) AS INTEGER) AS width, CAST(floor(h * least(1.0::DOUBLE, 512.0::DOUBLE / greatest(w, h))) AS INTEGER) AS height FROM (SELECT p_partkey, p_size * 40 AS w, p_size * 30 AS h FROM part)""")
+def m7_fitted_size(spark, d):
+    size = temporal.fitted(F.col("p_size") * 40, F.col("p_size") * 30)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), size.alias("s")).select("part", "s.width", "s.height")
+
+
 @query("""SELECT conv_id AS sample_id, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
 def n2_event_lists(spark, d):
     rows = table(spark, d, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(F.concat(F.lit('```json\n{"events": ['), F.array_join(F.transform(F.collect_list("turn"), lambda t: F.concat(F.lit('"turn '), t.cast("string"), F.lit('", " "'))), ", "), F.lit("]}\n```")).alias("reply"))
@@ -423,6 +439,17 @@ def a15_dvc_caption_bleu(spark, d):
     return every.agg(F.count("*").alias("videos"), *[F.round(F.avg(F.coalesce(c, F.lit(0.0))), 5).alias(c) for c in ("bleu_1", "bleu_2")])
 
 
+@query()
+def a15_dvc_caption_suite(spark, d):
+    pred, gold = views.dense(spark, d)
+    met = dense.overlaps(pred, gold).filter("iou >= 0.3").select("video", "pred_i", "ref_i")
+    side = lambda t, i, name: t.select("video", F.col("idx").alias(i), F.col("sentence").alias(name))
+    pairs = met.join(side(pred, "pred_i", "prediction"), ["video", "pred_i"]).join(side(gold, "ref_i", "reference"), ["video", "ref_i"])
+    own = captions.caption_suite(pairs.withColumn("pair", F.concat_ws("/", "video", "pred_i", "ref_i")), "video", "pair")
+    scores = [c for c in own.columns if c != "video"]
+    return gold.select("video").distinct().join(own, "video", "left").agg(F.count("*").alias("videos"), *[F.round(F.avg(F.coalesce(c, F.lit(0.0))), 5).alias(c) for c in scores])
+
+
 @query(with_views("grounding", then=f"""SELECT coalesce(metric, 'OVERALL') AS metric, count(*) AS tasks, round(avg(value), 5) AS value FROM (
   SELECT metric, task, avg(value) AS value FROM (
     SELECT 'grounding' AS metric, task, source, {_mean('x')} AS value FROM (SELECT task, source, {_over(_FIRST, 'x')} FROM ious GROUP BY ALL)

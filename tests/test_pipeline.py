@@ -168,3 +168,42 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert sorted((r.category, r.total, r.a_wins, r.ties) for r in spark.table("rates").collect()) == [("x", 2, 1, 0), ("y", 1, 0, 1)]
     assert jsons.DEFAULT_CONFIDENCE == 3
+
+
+def test_judged_chains(spark):
+    from scorelake import judged
+
+    def judge(rows):
+        p = F.col("prompt")
+        found = F.when(p.contains("List the events"), '{"events": ["one", "two"]}').when(p.contains("entails it"), '{"events": [{"event": "one", "relationship": "entailment"}, {"event": "two", "relationship": "Neutral"}, {"event": "more", "relationship": "entailment"}]}')
+        found = found.when(p.contains("which is better"), F.when(p.contains("good"), '{"winner": "A"}').otherwise("no idea")).when(p.contains("mention the following"), F.when(p.contains("cat"), "**Yes**").otherwise("no"))
+        found = found.when(p.contains("Name the background"), "1 | cat\nno line").when(p.contains("Give the attributes"), "cat | colour | black\nsky | No mention | x").when(p.contains("Give the relations"), "1 | cat | on | mat").when(p.contains("Turn this line"), F.concat(F.lit("Is it so: "), F.element_at(F.split(p, "\n\n"), -1)))
+        return found.when(p.contains("colour"), "unclear").otherwise("Yes, true")
+
+    rule = adapters.Rule(judge)
+    rows = [(1, "s", "pred", "ref", None), (2, "s", " ", "ref", None), (3, None, "pred", "ref", ["g1", "g2", "g3"])]
+    samples = spark.createDataFrame(rows, "id long, source string, prediction string, reference string, events array<string>")
+    got = {r.source: r for r in judged.autodq(samples, rule).collect()}
+    assert (got["s"].recall, got["s"].precision, got["s"].failed, got["s"].success) == (0.5, 1.0, 1, 1)
+    assert got["UNKNOWN"].recall == pytest.approx(0.66667) and got["OVERALL"].success == 2  # the third of a judge's extra relations meets the third event
+
+    side = lambda rows: spark.createDataFrame(rows, "id string, pos long, source string, text string")
+    a, b = side([("1", 0, "x", "good"), ("2", 1, "x", "[Content filtered"), ("3", 2, None, "bad"), ("1", 3, "x", "good")]), side([("1", 0, "x", "b"), ("2", 1, "x", "b"), ("3", 2, "x", "b")])
+    got = {r.id: (r.winner, r.success) for r in judged.ranked(a, b, rule).collect()}
+    assert got == {"1": ("A", True), "2": ("skipped", False), "3": ("error", False)}
+
+    described = spark.createDataFrame([("t", ["y", "a cat"], ["Yes.", "an animal"]), ("t", ["y", " "], ["Yes.", "z"])], "task string, prediction array<string>, reference_text array<string>")
+    assert sorted(r.matched for r in judged.described(described, rule).collect()) == [False, True]
+    scene = judged.scene_score(spark.createDataFrame([(1, "a black cat on a mat")], "id long, description string"), rule, rule).first()
+    assert (scene.total, scene.n_yes, scene.n_unclear) == (3, 2, 1)
+
+
+def test_caption_suite(spark):
+    rows = [("v", "1", "a man walks a dog in the park", "a man walks a dog in the park"), ("v", "2", "two birds fly over the lake now", "two birds flying over a lake"), ("w", "3", "nothing here", "other words entirely")]
+    frame = spark.createDataFrame(rows, "video string, pair string, prediction string, reference string")
+    each = {r.pair: r for r in captions.alignment_scores(frame, "pair").collect()}
+    assert each["1"].rouge_l == 1 and each["1"].meteor > 0.99 and 0 < each["2"].meteor < 1 and each["3"].meteor == 0
+    cider = {r.pair: r.cider for r in captions.cider_d(frame, "video", "pair").collect()}
+    assert cider["1"] == pytest.approx(10) and 0 < cider["2"] < 10 and cider["3"] == 0
+    got = {r.video: r for r in captions.caption_suite(frame, "video", "pair").collect()}
+    assert 0 < got["v"].bleu_4 < 1 and got["w"].bleu_1 == 0
