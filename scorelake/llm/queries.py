@@ -78,6 +78,34 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT page_id, h, s, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, 1 + 5 * (j // 4), 5) AS INTEGER) >> (15 - 5 * (j % 4))) & 31 AS INTEGER) + 1, 1) FOR j IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+SECRET_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds(kind, rank, pat, part, least) AS (VALUES
+  ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12), ('access', 1, '(AKIA[A-Z0-9]+)', 1, 18), ('hex', 2, '([0-9a-f]{16,})', 1, 16),
+  ('key', 3, '([A-Za-z0-9+/=]+)', 1, 40), ('endpoint', 4, '((?i:https?|s3|wss?|postgres|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+)', 1, 8)),
+hits AS (SELECT doc_id, kind, rank, pat, part, least, regexp_extract_all(t, pat) AS w, string_split_regex(t, pat) AS gaps FROM t, kinds WHERE CASE WHEN rank < 3 THEN regexp_matches(t, pat) ELSE regexp_matches(t, 'AKIA[A-Z0-9]{14}') END),
+placed AS (SELECT doc_id, kind, rank, pat, part, least, w[i] AS m, CAST(list_sum([length(x) FOR x IN gaps[1 : i]]) + coalesce(list_sum([length(x) FOR x IN w[1 : i - 1]]), 0) AS BIGINT) AS s FROM hits, unnest(range(1, len(w) + 1)) AS u(i)),
+parts AS (SELECT doc_id, kind, rank, s, s + length(m) AS e FROM placed WHERE CASE WHEN rank = 3 THEN length(m) = 40 AND NOT contains(m, '=') WHEN part = 2 THEN length(regexp_extract(m, pat, 2)) >= least ELSE length(m) >= least END),
+keys AS (SELECT * FROM parts k WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = k.doc_id AND b.rank < 3 AND b.s < k.e AND k.s < b.e)
+  AND EXISTS (SELECT 1 FROM parts a WHERE a.doc_id = k.doc_id AND a.rank = 1 AND a.s <= k.e + 200 AND k.s <= a.e + 200)),
+secrets AS (SELECT * FROM keys UNION ALL SELECT * FROM parts WHERE rank = 0),
+complete AS (SELECT * FROM parts a WHERE rank = 1 AND EXISTS (SELECT 1 FROM secrets x WHERE x.doc_id = a.doc_id AND x.s <= a.e + 200 AND a.s <= x.e + 200)),
+ends AS (SELECT * FROM parts p WHERE rank = 4 AND EXISTS (SELECT 1 FROM complete a WHERE a.doc_id = p.doc_id AND a.s <= p.e + 200 AND p.s <= a.e + 200)),
+found AS (SELECT * FROM parts WHERE rank < 3 UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM ends)
+SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank > 2) AS n_linked,
+  sha256(coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank), '') AS spans
+FROM t LEFT JOIN found USING (doc_id) GROUP BY doc_id
+"""
+
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -106,7 +134,9 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": SECRET_SQL,
     "op3_cover_tree": TOP_SQL,
+    "op4_warc_round_trip": WARC_SQL,
     "op5_bbit_minhash": NEAR_SQL,
     "op9_line_dedup": LINES_SQL,
 }
