@@ -1,6 +1,6 @@
 """Operator 1: document fingerprints by invertible Bloom lookup tables, by Spark's own functions alone.
 
-A text's paragraphs (its lines, cut further after sentences) are hashed to 64-bit digests. A table has TABLES parts of equal numbers of
+A text's paragraphs (its lines, cut further after sentences and clauses, since many texts have few lines) are hashed to 64-bit digests. A table has TABLES parts of equal numbers of
 cells; a digest falls into one cell of each part, which holds the number of its digests, their XOR, and the XOR of their check hashes. The
 fingerprint is the table of BASE cells a part, written out.
 
@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import partitions, written
 
-#: Ends of paragraphs: line feeds, and white space after the end of a sentence.
-BREAK = r"\n+|(?<=[.!?;:])\s+"
+#: Ends of paragraphs: line feeds, and white space after the end of a sentence or clause.
+BREAK = r"\n+|(?<=[.!?;:,])\s+"
 TABLES, BASE = 3, 8
 #: Cells for each digest of both versions, and peeling steps (each of one part).
 LOAD, STEPS = 2.0, 15
 #: How much larger the tables are when a comparison is tried again, and how often that is done before it is an error.
 LARGER, ATTEMPTS = 4.0, 9
-#: Ranges of ids by quantiles at most, and documents of a range, about.
-RANGES, RANGE_ROWS = 512, 4096
+#: Ranges of ids by quantiles at most, documents of a range, about, and ranges in all, about, from which on these hold more documents.
+RANGES, RANGE_ROWS, MOST_RANGES = 512, 4096, 200_000
 
 
 def digests(text: Column) -> Column:
@@ -68,7 +68,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     total, low, high = docs.agg(F.count("*"), F.min("id"), F.max("id")).first()
     wanted = max(1, min(RANGES, max(4 * partitions(spark), total // RANGE_ROWS)))
     cuts = sorted(set(docs.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 10 * RANGES)).first()[0] or [])) if wanted > 1 and low is not None else []
-    inner = max(1, -(-total // (RANGE_ROWS * (len(cuts) + 1))))  # each range is cut evenly when there are more rows than RANGES can hold
+    inner = max(1, -(-total // (max(RANGE_ROWS, total // MOST_RANGES) * (len(cuts) + 1))))  # each range is cut evenly when there are more rows than RANGES can hold
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     quantile = F.size(F.filter(bounds, lambda b: b <= F.col("id")))
     edges = [low if low is not None else 0, *cuts, (high if high is not None else 0) + 1]

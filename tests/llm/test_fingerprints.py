@@ -8,7 +8,7 @@ from scorelake.llm import fingerprints as fp
 
 
 def units(text):
-    return {p for p in re.split(r"\n+|(?<=[.!?;:])[ \t\n\x0b\f\r]+", text) if p.strip(" ")}
+    return {p for p in re.split(r"\n+|(?<=[.!?;:,])[ \t\n\x0b\f\r]+", text) if p.strip(" ")}
 
 
 def brute(rows):
