@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,33 @@ class Benchmark:
                         self.spark.createDataFrame(failed, "task string, source string, metric string, value double, error string").write.mode("overwrite").parquet(path)
         return self.results() if evaluators else self.spark.createDataFrame([], FACTS)
 
+    def cached(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table stored under a key; made and stored where there is none."""
+        path = f"{self.output}/cache/{key}"
+        if not self._exists(path):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def clear_cache(self, pattern: str = "*") -> int:
+        """Deletes the stored tables whose key matches; returns their number."""
+        fs, folder = self._folder(f"{self.output}/cache")
+        found = list(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)) or [])
+        return sum(fs.delete(f.getPath(), True) for f in found)
+
+    def _folder(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def _exists(self, path: str) -> bool:
+        fs, target = self._folder(f"{path}/_SUCCESS")
+        return fs.exists(target)
+
+    def save_dated(self, rows: DataFrame, name: str) -> str:
+        """Writes rows under a name with the time; returns the path."""
+        path = f"{self.output}/{name}_{time.strftime('%Y%m%d_%H%M%S')}"
+        rows.write.json(path)
+        return path
+
     def results(self) -> DataFrame:
         rows = self.spark.read.option("basePath", f"{self.output}/results").parquet(f"{self.output}/results")
         return rows.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in FACTS.split(", ")])

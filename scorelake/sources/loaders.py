@@ -234,6 +234,12 @@ def missing_files(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     return files.missing(_media(annotated(spark, spec)), files.listing(spark, spec.data_path), "media").select("id", "media")
 
 
+def in_subset(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Rows whose (task, source, id) a JSON file of {task: {source: [id, ...]}} lists."""
+    listed = read_map(spark, path, "map<string,array<string>>").select(F.col("key").alias("task"), F.explode("value").alias("source", "ids")).select("task", "source", F.explode("ids").alias("id"))
+    return rows.join(listed, ["task", "source", "id"], "left_semi")
+
+
 STORED = """struct<id:string,video_path:string,image_path:string,prompt:string,prediction:string,reference:string,ground_truth:string,events:string,options:string,task:string,source:string,duration:string,
   idx:string,o:string,p:int,a:string,tgt:string,n_subjects:int,n_shots:int>""".replace("\n", "").replace("  ", "")
 

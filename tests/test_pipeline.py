@@ -207,3 +207,16 @@ def test_caption_suite(spark):
     assert cider["1"] == pytest.approx(10) and 0 < cider["2"] < 10 and cider["3"] == 0
     got = {r.video: r for r in captions.caption_suite(frame, "video", "pair").collect()}
     assert 0 < got["v"].bleu_4 < 1 and got["w"].bleu_1 == 0
+
+
+def test_cache_and_subset(spark, tmp_path):
+    from scorelake.sources.loaders import in_subset
+
+    bench, made = Benchmark(spark, Config(), str(tmp_path)), []
+    for _ in range(2):
+        assert bench.cached("m_d_1", lambda: made.append(1) or spark.range(3)).count() == 3
+    assert len(made) == 1 and bench.clear_cache("m_*") == 1 and bench.clear_cache() == 0
+    assert spark.read.json(bench.save_dated(spark.range(2), "results")).count() == 2
+    (tmp_path / "s.json").write_text(json.dumps({"t": {"s": [1, 3]}}))
+    rows = spark.createDataFrame([("t", "s", "1"), ("t", "s", "2"), ("u", "s", "3")], "task string, source string, id string")
+    assert [r.id for r in in_subset(rows, spark, str(tmp_path / "s.json")).collect()] == ["1"]
