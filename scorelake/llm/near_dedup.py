@@ -5,7 +5,8 @@
 2. Each bucket's members are candidates of its smallest member. The share of equal low bits, corrected for those equal by chance, estimates the
    similarity. A text's root is the smallest of its leaders whose estimate isn't MARGIN standard errors below the threshold. Links
    with roots are confirmed on full sets, and the difference of both sets is kept: for two texts a and b of one root r,
-   a xor b = (a xor r) xor (b xor r), so the small differences alone give their exact similarity.
+   a xor b = (a xor r) xor (b xor r), so the small differences alone give their exact similarity. A root that has a root of its own hands its
+   members on, with the differences combined.
 3. Members of a root that aren't in its component are compared with all its members, exactly, within the task; it gives out only links that join
    what was apart. No pairs leave it, so a group of n near copies costs about n links and not n * n.
 4. Where a bucket still spans several components, members of different roots are compared by bit counts. Each keeps its best partner in each
@@ -290,6 +291,22 @@ def _within_roots(members: DataFrame, percent: int) -> DataFrame:
     return rows.union(cols).groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _rebased(rooted: DataFrame) -> DataFrame:
+    """(root, doc, n, delta) of rooted, each from the smallest root that its chain of roots leads to: differences along a chain combine by exclusive or.
+    A text whose difference would be larger than itself keeps the root before. Roots get smaller with each step, so this ends."""
+    based = rooted.select(F.col("a").alias("root"), F.col("b").alias("doc"), F.col("n_b").alias("n"), "delta")
+    while True:
+        up = based.select(F.col("doc").alias("root"), F.col("root").alias("next_root"), F.col("delta").alias("next_delta"))
+        both = F.concat(F.array_except("delta", "next_delta"), F.array_except("next_delta", "delta"))
+        joined = based.join(up, "root", "left").withColumn("both", F.when(F.col("next_root").isNotNull(), both))
+        moves = F.coalesce(F.size("both") < F.col("n"), F.lit(False))
+        step = joined.select(F.when(moves, F.col("next_root")).otherwise(F.col("root")).alias("root"), "doc", "n", F.when(moves, F.col("both")).otherwise(F.col("delta")).alias("delta"), moves.alias("moved"))
+        step = written(step, "based")
+        based = step.drop("moved")
+        if not step.filter("moved").limit(1).count():
+            return based
+
+
 def _across(members: DataFrame, least: float, best_only: bool) -> DataFrame:
     """(a, b, est) of members (bucket, doc, root, component, bits) of one bucket but different components and roots, with an estimate of at least least.
 
@@ -394,11 +411,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     edges = written(rooted.filter("linked").select("a", "b").union(alike), "edges")
     labels = written(components(edges), "labels")
     none = F.array().cast("array<long>")
-    of_roots = rooted.select(F.col("a").alias("root"), F.col("b").alias("doc"), F.col("n_b").alias("n"), "delta")
+    of_roots = _rebased(rooted)
     roots = rooted.groupBy("a").agg(F.min("n_a").alias("n")).select(F.col("a").alias("root"), F.col("a").alias("doc"), "n", none.alias("delta"))
     edges = written(edges.union(_within_roots(_labelled(of_roots.union(roots), labels), percent)), "edges")
     tested = rooted.select("a", "b")
-    own_roots = rooted.select(F.col("b").alias("doc"), F.col("a").alias("root"))
+    own_roots = of_roots.select("doc", "root")
     for best_only in (True, False):
         labels = written(components(edges), "labels")
         apart = _labelled(members.select("bucket", "doc"), labels)
