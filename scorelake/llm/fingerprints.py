@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import partitions, written
+from scorelake.llm.common import partitions, settings, written
 
 #: Ends of paragraphs: line feeds, and white space after the end of a sentence or clause.
 BREAK = r"\n+|(?<=[.!?;:,])\s+"
@@ -28,7 +28,9 @@ LOAD, STEPS = 2.0, 15
 #: How much larger the tables are when a comparison is tried again, and how often that is done before it is an error.
 LARGER, ATTEMPTS = 4.0, 9
 #: Ranges of ids by quantiles at most, documents of a range, about, and ranges in all, about, from which on these hold more documents.
-RANGES, RANGE_ROWS, MOST_RANGES = 512, 4096, 200_000
+RANGES, RANGE_ROWS, MOST_RANGES = 512, 256, 200_000
+#: Partitions against the session's number for shuffles: a document's cells are many times its text.
+FINER = 4
 
 
 def digests(text: Column) -> Column:
@@ -66,7 +68,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     total, low, high = docs.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    wanted = max(1, min(RANGES, max(4 * partitions(spark), total // RANGE_ROWS)))
+    wanted = max(1, min(RANGES, max(4 * FINER * partitions(spark), total // RANGE_ROWS)))
     cuts = sorted(set(docs.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 10 * RANGES)).first()[0] or [])) if wanted > 1 and low is not None else []
     inner = max(1, -(-total // (max(RANGE_ROWS, total // MOST_RANGES) * (len(cuts) + 1))))  # each range is cut evenly when there are more rows than RANGES can hold
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
@@ -82,6 +84,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("sent"))
     dealt = joined.select("id", "text", F.explode(F.when(F.col("sent_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("sent_to").alias("b"), F.lit(1).alias("sent"))))).alias("x"))
     dealt = dealt.select("id", "text", F.col("x.b").alias("bucket"), F.col("x.sent").alias("sent"))
+    dealt = dealt.repartition(FINER * partitions(spark), "bucket")
     order = Window.partitionBy("bucket").orderBy("sent", F.desc_nulls_last("id"), F.xxhash64("text"), "text")
     return dealt.withColumns({"n": F.row_number().over(order), "next_text": F.lead("text").over(order)}).filter("sent = 0").select("id", "text", "bucket", "n", "next_text")
 
@@ -158,7 +161,9 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     done: DataFrame | None = None
     load = LOAD
     for attempt in range(ATTEMPTS):
-        found = written(_compared(info, load, steps if attempt == 0 else STEPS, attempt), "fingerprints")
+        # each aggregation's first-level map takes a whole page of memory from the start, which a chain of thirty hasn't to spare
+        with settings(docs.sparkSession, spark__sql__codegen__aggregate__map__twolevel__enabled="false"):
+            found = written(_compared(info, load, steps if attempt == 0 else STEPS, attempt), "fingerprints")
         over = found.filter("left_e = 0 and left_x = 0")
         done = over if done is None else done.union(over)
         info = found.filter("left_e > 0 or left_x > 0").select("bucket", "n", "info", "a", "e", "x")
