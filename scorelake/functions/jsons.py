@@ -43,24 +43,32 @@ def relations(text: Column) -> Column:
     return best_effort(text, "struct<events:array<struct<event:string,relationship:string,reason:string>>>")["events"]
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value read once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def verdict(text: Column) -> Column:
     """struct(winner, confidence, reason, scores, status) of a ranking verdict: a winner that isn't allowed or a reply that can't be read is an `error`."""
-    body = strip_fences(text)
-    read = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, VERDICT))
-    fine = F.coalesce(read["winner"].isin(*RANKING_WINNERS), F.lit(False))
-    return F.struct(
-        F.when(fine, read["winner"]).otherwise("error").alias("winner"), F.when(fine, F.coalesce(read["confidence"], F.lit(DEFAULT_CONFIDENCE))).alias("confidence"), F.when(fine, F.coalesce(read["reason"], F.lit(""))).alias("reason"),
-        F.when(fine, F.coalesce(read["scores"], F.create_map().cast("map<string,map<string,double>>"))).alias("scores"), F.when(fine, "ok").otherwise("error").alias("status"),
-    )
+
+    def checked(read: Column) -> Column:
+        fine = F.coalesce(read["winner"].isin(*RANKING_WINNERS), F.lit(False))
+        return F.struct(
+            F.when(fine, read["winner"]).otherwise("error").alias("winner"), F.when(fine, F.coalesce(read["confidence"], F.lit(DEFAULT_CONFIDENCE))).alias("confidence"), F.when(fine, F.coalesce(read["reason"], F.lit(""))).alias("reason"),
+            F.when(fine, F.coalesce(read["scores"], F.create_map().cast("map<string,map<string,double>>"))).alias("scores"), F.when(fine, "ok").otherwise("error").alias("status"),
+        )
+
+    return _once(strip_fences(text), lambda body: _once(F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, VERDICT)), checked))
 
 
 def pairwise(text: Column) -> Column:
     """struct(winner, confidence, reasoning, status) of a pairwise verdict: one that can't be read, or lacks winner or confidence, is a Tie of confidence 0."""
-    body = strip_fences(text)
-    read = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, PAIRWISE))
-    fine = read["winner"].isNotNull() & read["confidence"].isNotNull()
-    known = F.when(read["winner"].isin(*PAIRWISE_WINNERS), read["winner"]).otherwise("Tie")
-    fine = F.coalesce(fine, F.lit(False))
-    return F.struct(
-        F.when(fine, known).otherwise("Tie").alias("winner"), F.when(fine, read["confidence"]).otherwise(0.0).alias("confidence"), F.when(fine, F.coalesce(read["reasoning"], F.lit(""))).alias("reasoning"), F.when(fine, "ok").otherwise("parse_error").alias("status"),
-    )
+
+    def checked(read: Column) -> Column:
+        fine = F.coalesce(read["winner"].isNotNull() & read["confidence"].isNotNull(), F.lit(False))
+        known = F.when(read["winner"].isin(*PAIRWISE_WINNERS), read["winner"]).otherwise("Tie")
+        return F.struct(
+            F.when(fine, known).otherwise("Tie").alias("winner"), F.when(fine, read["confidence"]).otherwise(0.0).alias("confidence"), F.when(fine, F.coalesce(read["reasoning"], F.lit(""))).alias("reasoning"), F.when(fine, "ok").otherwise("parse_error").alias("status"),
+        )
+
+    return _once(strip_fences(text), lambda body: _once(F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, PAIRWISE)), checked))

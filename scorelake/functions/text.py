@@ -105,20 +105,26 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns])
 
 
-def objects_in(text: Column) -> Column:
-    return F.array_intersect(words(normalise(text)), F.array(*map(F.lit, OBJECT_WORDS)))
+def objects_in(low: Column) -> Column:
+    """Known objects among the words of a normalised text."""
+    return F.array_intersect(words(low), F.array(*map(F.lit, OBJECT_WORDS)))
 
 
-def relations_in(text: Column) -> Column:
-    low = normalise(text)
+def relations_in(low: Column) -> Column:
+    """Known relation phrases that a normalised text contains."""
     return F.filter(F.array(*map(F.lit, RELATION_PHRASES)), lambda r: F.contains(low, r))
 
 
 def scene_score(text: Column) -> Column:
     """A weighted score from 0 to 1 of the number of words, known objects and relations; 0 for null or empty."""
-    counts = {"words": F.size(words(normalise(text))), "objects": F.size(objects_in(text)), "relations": F.size(relations_in(text))}
-    total = sum((F.lit(w) * F.least(F.lit(1.0), counts[k] / F.lit(float(full))) for k, (w, full) in SCENE_WEIGHTS.items()), F.lit(0.0))
-    return F.when(text.isNull() | (text == ""), 0.0).otherwise(F.least(F.lit(1.0), total))
+
+    def score(low: Column) -> Column:
+        counts = {"words": F.size(words(low)), "objects": F.size(objects_in(low)), "relations": F.size(relations_in(low))}
+        total = sum((F.lit(w) * F.least(F.lit(1.0), counts[k] / F.lit(float(full))) for k, (w, full) in SCENE_WEIGHTS.items()), F.lit(0.0))
+        return F.least(F.lit(1.0), total)
+
+    # the array of one element holds the normalised text, so that it is made once
+    return F.when(text.isNull() | (text == ""), 0.0).otherwise(F.get(F.transform(F.array(normalise(text)), score), 0))
 
 
 def is_filtered(text: Column) -> Column:
