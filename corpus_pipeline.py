@@ -47,10 +47,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
-    found = near_dedup.groups(docs, words=5, percent=80)
-    gone = found.filter(F.col("doc") != F.col("component")).select("doc").distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.LAST_ID)) == F.col("doc"), "left_anti")
+    """Keeps one row of each near-duplicate group, that with the smallest id, a null id last. Rows are told apart by numbers of their own, so texts aren't linked by equal or null ids."""
+    columns = docs.columns
+    row = spare(columns, "row")[0]
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_dedup.groups(numbered, words=5, percent=80, id_column=row)
+    linked = written(found.filter("doc <> component").select("doc", "component"), "linked")
+    members = linked.union(linked.select(F.col("component").alias("doc"), "component").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("doc"))
+    first = members.join(numbered.select(F.col(row).alias("doc"), place.alias("place")), "doc").groupBy("component").agg(F.min("place").alias("first"))
+    gone = members.select("doc").join(first.select("first.doc"), "doc", "left_anti")
+    return numbered.join(gone.select(F.col("doc").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

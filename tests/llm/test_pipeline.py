@@ -62,3 +62,14 @@ def test_nothing_is_rejected_that_is_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert cp.identify(spark, docs, "").count() == docs.count()
     assert language_id.NONE == "und"
+
+
+def test_near_duplicates_by_row(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(3, text("a")), (None, text("a") + " x"), (None, text("alone")), (None, text("b")), (5, text("c")), (8, text("d")), (None, text("c") + " y"), (None, text("d") + " y")]
+    rows += [(9, text("e")), (9, text("e")), (4, text("f")), (4, text("g")), (7, text("f") + " z"), (6, text("g")), (2, text("g") + " z"), (None, text("h")), (None, text("h"))]
+    docs = spark.createDataFrame([(*r, None, 0) for r in rows], "doc_id long, text string, row string, doc int")
+    got = cp.drop_near_duplicates(spark, docs, "")
+    want = [(3, "a"), (None, "alone"), (None, "b"), (5, "c"), (8, "d"), (9, "e"), (4, "f"), (None, "h")]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(i, text(w)) for i, w in want] + [(2, text("g") + " z")], key=str)
