@@ -27,6 +27,8 @@ WEAK = {
     "key": (r"(?<![A-Za-z0-9+/=])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 1, 40),
     "endpoint": (r"((?i:https?|s3|wss?|postgres|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+)", 1, 8),
 }
+#: Weak patterns for redaction: as WEAK, and a key may stand right after "=", as in .env files. The listing keeps to its SQL, which leaves such keys out.
+HIDDEN = WEAK | {"key": (r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 1, 40)}
 ORDER = [*STRONG, *WEAK]
 #: Code points between two parts of a credential at most.
 REACH = 200
@@ -34,9 +36,9 @@ BLOCK = 256
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def matches(text: Column, kind: str) -> Column:
+def matches(text: Column, kind: str, weak: dict[str, tuple[str, int, int]] = WEAK) -> Column:
     """Spans of the leftmost matches that don't overlap, of which those that are too short are dropped: struct(start, rank, end), end exclusive."""
-    pattern, group, least = (STRONG | WEAK)[kind]
+    pattern, group, least = (STRONG | weak)[kind]
     none = F.array().cast(SPAN)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x).cast("long"))
     own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x).cast("long"))
@@ -75,7 +77,7 @@ def _linked(strong: Column, access: Column, keys: Column, endpoints: Column, rea
     return F.concat(own_keys, F.filter(endpoints, lambda e: near(full, e)))
 
 
-def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: str = "found") -> DataFrame:
+def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: str = "found", weak: dict[str, tuple[str, int, int]] = WEAK) -> DataFrame:
     """docs with one more column: array of struct(start long, rank int, end long), by start and then rank; rank is the kind's place in ORDER.
 
     A null text counts as empty and has no spans. Strong spans are all there whatever is linked. Repeated rows give repeated results;
@@ -88,7 +90,7 @@ def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: s
     base = docs.withColumn(text, text_or_empty(text_column))
     base = base.withColumns({parts[kind]: matches(F.col(text), kind) for kind in STRONG})
     # weak ones matter only beside an access identifier
-    base = base.withColumns({parts[kind]: F.when(F.size(parts["access"]) > 0, matches(F.col(text), kind)).otherwise(none) for kind in WEAK})
+    base = base.withColumns({parts[kind]: F.when(F.size(parts["access"]) > 0, matches(F.col(text), kind, weak)).otherwise(none) for kind in WEAK})
     strong = F.concat(*[F.col(parts[kind]) for kind in STRONG])
     linked = F.when(F.size(parts["access"]) > 0, _linked(strong, F.col(parts["access"]), F.col(parts["key"]), F.col(parts["endpoint"]), reach)).otherwise(none)
     return base.select(*[F.col(f"`{c}`") for c in columns], F.array_sort(F.concat(strong, linked)).alias(name))
@@ -111,7 +113,7 @@ def digest(docs: DataFrame, reach: int = REACH, id_column: str = "doc_id", text_
 
 
 def redact(docs: DataFrame, reach: int = REACH, text_column: str = "text") -> DataFrame:
-    """docs with each secret (and what overlaps it, as one) in the text replaced by [SECRET]; a text without any, and a null one, stays as it is."""
+    """docs with each secret (and what overlaps it, as one) in the text replaced by [SECRET]; a text without any, and a null one, stays as it is. Keys right after "=" are secrets too."""
     found = spare(docs.columns, "found")[0]
     text = F.col(text_column)
 
@@ -123,4 +125,4 @@ def redact(docs: DataFrame, reach: int = REACH, text_column: str = "text") -> Da
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size(found) > 0, F.aggregate(F.col(found), start, step, end)).otherwise(text)
-    return scan(docs, reach, text_column, found).select(*[clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    return scan(docs, reach, text_column, found, HIDDEN).select(*[clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

@@ -62,3 +62,11 @@ def test_rows(spark):
 def test_any(spark, texts):
     got = ss.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.spans) for r in got) == [(i, join(link(t, ss.REACH))) for i, t in enumerate(texts)]
+
+
+def test_env_form_is_redacted(spark):
+    env = f"AWS_ACCESS_KEY_ID={ID}\nAWS_SECRET_ACCESS_KEY={KEY}\nAWS_ENDPOINT_URL=https://s3.example.com/x"
+    rows = [(1, env), (2, f"AWS_SECRET_ACCESS_KEY={KEY}"), (3, f"{ID} {KEY}="), (4, f"{ID} x{KEY}")]
+    got = {r.doc_id: r.text for r in ss.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\nAWS_ENDPOINT_URL=[SECRET]"
+    assert (got[2], got[3], got[4]) == (rows[1][1], f"[SECRET] {KEY}=", f"[SECRET] x{KEY}")
