@@ -29,10 +29,14 @@ def _retold(frame: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language: lang is the predicted one. Those without a letter, and those that no learnt language explains, go."""
+    """Keeps documents whose text has a language: lang is the predicted one. Those without a letter, and those that no learnt language explains, go.
+    Where no language was learnt, only those without a letter go, and lang is und."""
     lang, score = spare(docs.columns, "lang_pred", "score")
     columns = docs.columns
     filters = language_id.fit(docs)
+    if not filters.learnt:
+        kept = language_id.lettered(docs)
+        return kept.select(*[F.lit(language_id.NONE).alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])
     found = language_id.predict(docs, filters, carry=tuple(columns)).toDF(*columns, lang, score)
     kept = found.filter((F.col(lang) != language_id.NONE) & (F.col(score) >= LEAST_SCORE))
     return kept.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])

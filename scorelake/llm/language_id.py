@@ -95,6 +95,11 @@ class Filters:
         h, last = _hash(a, b, c), np.uint64(len(self.slots) - 1)
         return [((h >> np.uint64(31 * k)) & last).astype(np.int64) for k in range(LOOKUPS)]
 
+    @property
+    def learnt(self) -> bool:
+        """Whether any language has an n-gram."""
+        return bool(self.slots.any())
+
     @property
     def false_rates(self) -> np.ndarray:
         """How often a language's filter says yes to an n-gram that it doesn't contain."""
@@ -190,6 +195,19 @@ def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry:
     return plain.mapInArrow(run, f"{kept}lang_pred string, score double")
 
 
+def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = docs_columns.index(text_column)
+        for batch in batches:
+            kept = [any(len(codes[0]) for codes in gram_codes(text.as_py() or "")) for text in batch.column(at)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    docs_columns = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that take no part in learning: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -73,3 +73,14 @@ def test_near_duplicates_by_row(spark):
     want = [(3, "a"), (None, "alone"), (None, "b"), (5, "c"), (8, "d"), (9, "e"), (4, "f"), (None, "h")]
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(i, text(w)) for i, w in want] + [(2, text("g") + " z")], key=str)
+
+
+def test_documents_without_languages_stay(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bare = docs.withColumn("lang", F.lit(None).cast("string")).union(spark.createDataFrame([(900_001, None, None, "s", 0), (900_002, "12345 !!", None, "s", 8)], docs.schema))
+    got = cp.identify(spark, bare, "")
+    assert got.columns == docs.columns and {r.lang for r in got.collect()} == {language_id.NONE}
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    # a language of which too little is known to have n-grams explains nothing
+    few = spark.createDataFrame([(1, "Ab", "en", "s", 2), (2, "cd", None, "s", 2), (3, "7", None, "s", 1)], docs.schema)
+    assert sorted(r.doc_id for r in cp.identify(spark, few, "").collect()) == [1, 2]
