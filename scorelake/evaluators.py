@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import parse, text
-from scorelake.operators import answers, captions, grounding
+from scorelake.functions.temporal import f1, ratio
+from scorelake.operators import answers, captions, dense, grounding
+from scorelake.schema import canonical
 
 RESULT = "task string, source string, metric string, value double"
 
@@ -84,8 +86,25 @@ def tvbench(samples: DataFrame) -> DataFrame:
     return _rows(answers.option_accuracy(rows), ["total", "answered", "correct", "acc"], "task")
 
 
+def _captioning(samples: DataFrame) -> DataFrame:
+    """(metric, task, source, value) of dense captions, F1 and similarity: means over CAPTION_THRESHOLDS of the F1 of intervals, scaled by the share of samples that could be read, and of the similarity.
+    Of a video's readable samples the last counts."""
+    keys = list(grounding.KEYS)
+    whole = canonical(samples).select(*keys, F.concat_ws("\x1f", *keys, F.coalesce("video_path", "id", F.lit(""))).alias("video"), "id", "pos", F.flatten("gt_segments").alias("gold"), "events", parse.timed_captions(F.col("answer_text")).alias("pred"))
+    total = whole.groupBy(*keys).agg(ratio(F.countDistinct(F.when(F.col("pred").isNotNull(), F.col("video"))), F.count("*")).alias("k"))
+    last = whole.filter("pred is not null").groupBy(*keys, "video").agg(F.max_by(F.struct("pred", "gold", "events"), F.struct("pos", "id")).alias("s"))
+    pred = last.select("video", F.posexplode("s.pred").alias("idx", "x")).select("video", "idx", "x.span", "x.sentence")
+    gold = last.select(*keys, "video", "s.events", F.posexplode("s.gold").alias("idx", "span")).select(*keys, "video", "idx", "span", F.get("events", F.col("idx")).alias("sentence"))
+    found = dense.detection(pred, gold, keys=grounding.KEYS).join(total, keys)
+    met = found.groupBy(*keys).agg(F.round(F.avg(f1(F.col("recall") * F.col("k"), F.col("precision") * F.col("k"))), 5).alias("f1"))
+    like = dense.caption_scores(pred, gold, keys=grounding.KEYS).groupBy(*keys).agg(F.round(F.avg("sim"), 5).alias("sim"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), zero(c).alias("value")) for m, c in (("captioning", "f1"), ("captioning_similarity", "sim"))])).alias("x")
+    return total.join(met, keys, "left").join(like, keys, "left").select(*keys, both).select("x.metric", *keys, "x.value")
+
+
 def et_bench(samples: DataFrame) -> DataFrame:
-    """Grounding tasks by their codes, choices by letter, and the overall mean."""
+    """Grounding tasks by their codes, choices by letter, dense captions by intervals and similarity, and the overall mean."""
     rows = samples.filter((F.coalesce("task", F.lit("")) != "") & (F.coalesce("source", F.lit("")) != ""))
     read = rows.select("task", "source", parse.time_spans(F.col("answer_text")).alias("pred"), F.flatten("gt_segments").alias("gold"), parse.first_number(F.col("answer_text")).alias("number"), parse.choice(F.col("answer_text"), F.get(F.array(*map(F.lit, "abcde")), F.col("reference_idx"))).alias("outcome"))
     of = lambda *tasks: read.filter(F.col("task").isin(*tasks))
@@ -96,7 +115,7 @@ def et_bench(samples: DataFrame) -> DataFrame:
     ]
     parts = [frame.select(F.lit(metric).alias("metric"), "task", "source", F.col(c).alias("value")) for metric, frame, c in plans]
     every = parts[0]
-    for p in parts[1:]:
+    for p in [*parts[1:], _captioning(rows.filter(F.col("task").isin("dvc", "slc")))]:
         every = every.union(p)
     total = grounding.overall(every).select(F.lit(None).cast("string").alias("task"), F.lit(None).cast("string").alias("source"), "metric", "value")
     return every.select("task", "source", "metric", "value").union(total)

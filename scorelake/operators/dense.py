@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.temporal import f1, hull_iou, ratio
+from scorelake.operators.captions import caption_suite
 from scorelake.operators.grounding import CAPTION_THRESHOLDS
 
+#: The reference of captions that meet no gold interval: one word, of private use, that no caption has.
+NOTHING = "\ue000"
+SCORES = ["bleu_1", "bleu_2", "bleu_3", "bleu_4", "rouge_l", "meteor", "cider", "sim"]
+
 
 def overlaps(pred: DataFrame, gold: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
     """(video, pred_i, ref_i, iou) for pairs of one video that share more than a point."""
@@ -23,16 +28,17 @@ def overlaps(pred: DataFrame, gold: DataFrame, bin_seconds: float = 60.0) -> Dat
     return met.filter(first & shared).select("video", "pred_i", "ref_i", hull_iou(F.col("p"), F.col("g")).alias("iou"))
 
 
-def detection(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS) -> DataFrame:
-    """(tau, videos, precision, recall, f1): per video, the shares of gold intervals met and of predicted ones that meet any with an IoU over tau; means over the videos that have gold ones."""
+def detection(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(tau, videos, precision, recall, f1): per video, the shares of gold intervals met and of predicted ones that meet any with an IoU over tau; means over the videos that have gold ones.
+    keys are columns of gold, each video's own, by which the means are taken."""
     taus = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("tau")
-    videos = gold.groupBy("video").agg(F.count("*").alias("n_gold")).join(pred.groupBy("video").agg(F.count("*").alias("n_pred")), "video", "left")
+    videos = gold.groupBy(*keys, "video").agg(F.count("*").alias("n_gold")).join(pred.groupBy("video").agg(F.count("*").alias("n_pred")), "video", "left")
     met = overlaps(pred, gold).select("video", "pred_i", "ref_i", "iou", taus).filter("iou > tau")
     met = met.groupBy("video", "tau").agg(F.countDistinct("pred_i").alias("hit_pred"), F.countDistinct("ref_i").alias("hit_gold"))
     each = videos.select("*", taus).join(met, ["video", "tau"], "left")
     p, r = ratio(F.col("hit_pred"), F.col("n_pred")), ratio(F.col("hit_gold"), F.col("n_gold"))
-    out = each.groupBy("tau").agg(F.count("*").alias("videos"), F.avg(p).alias("p"), F.avg(r).alias("r"))
-    return out.select("tau", "videos", F.round("p", 5).alias("precision"), F.round("r", 5).alias("recall"), F.round(f1(F.col("r"), F.col("p")), 5).alias("f1"))
+    out = each.groupBy(*keys, "tau").agg(F.count("*").alias("videos"), F.avg(p).alias("p"), F.avg(r).alias("r"))
+    return out.select(*keys, "tau", "videos", F.round("p", 5).alias("precision"), F.round("r", 5).alias("recall"), F.round(f1(F.col("r"), F.col("p")), 5).alias("f1"))
 
 
 def scaled_f1(detected: DataFrame, scale: float | None = None, parsed: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
@@ -46,5 +52,22 @@ def scaled_f1(detected: DataFrame, scale: float | None = None, parsed: DataFrame
 
 
 def unmatched(pred: DataFrame, gold: DataFrame, tau: float) -> DataFrame:
-    """Predicted intervals that meet no gold one with an IoU of tau or more; their captions are scored against a constant."""
+    """Predicted intervals that meet no gold one with an IoU of tau or more; caption_scores scores their captions against NOTHING."""
     return pred.join(overlaps(pred, gold).filter(F.col("iou") >= tau).select("video", F.col("pred_i").alias("idx")).distinct(), ["video", "idx"], "left_anti").select("video", F.col("idx").alias("pred_i"))
+
+
+def caption_scores(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, tau, videos, SCORES): caption_suite of each video's captions, predicted ones against each gold one that they meet with an IoU of tau or more, and against
+    NOTHING if they meet none; means over the videos that have gold ones, 0 for one without predictions. keys as for detection. A null sentence counts as empty."""
+    side = lambda t, i, name: t.select("video", F.col("idx").alias(i), F.coalesce("sentence", F.lit("")).alias(name))
+    said = side(pred, "pred_i", "prediction")
+    videos = gold.select(*keys, "video").distinct()
+    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("tau")
+    met = overlaps(pred, gold).select("video", "pred_i", "ref_i", "iou", at).filter("iou >= tau").select("tau", "video", "pred_i", "ref_i")
+    met = met.join(side(gold, "ref_i", "reference"), ["video", "ref_i"]).select("tau", "video", "pred_i", "ref_i", "reference")
+    alone = pred.join(videos.select("video"), "video", "left_semi").select(at, "video", F.col("idx").alias("pred_i")).join(met, ["tau", "video", "pred_i"], "left_anti")
+    met = met.union(alone.select("tau", "video", "pred_i", F.lit(None), F.lit(NOTHING)))
+    pairs = met.join(said, ["video", "pred_i"]).withColumn("of", F.concat_ws("\x1f", "tau", "video"))
+    own = caption_suite(pairs.withColumn("pair", F.concat_ws("\x1f", "of", "pred_i", "ref_i")), "of", "pair")
+    each = videos.select("*", at).withColumn("of", F.concat_ws("\x1f", "tau", "video")).join(own, "of", "left")
+    return each.groupBy(*keys, "tau").agg(F.count("*").alias("videos"), *[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in SCORES])

@@ -220,3 +220,18 @@ def test_cache_and_subset(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"t": {"s": [1, 3]}}))
     rows = spark.createDataFrame([("t", "s", "1"), ("t", "s", "2"), ("u", "s", "3")], "task string, source string, id string")
     assert [r.id for r in in_subset(rows, spark, str(tmp_path / "s.json")).collect()] == ["1"]
+
+
+def test_et_bench_captions(spark):
+    schema = "task string, source string, video_path string, pos long, answer_text string, gt_segments array<array<struct<start:double,end:double>>>, events array<string>, reference_idx int"
+    gold = [[(0.0, 10.0), (20.0, 30.0)]]
+    words = ["a dog runs", "the cat sleeps"]
+    right = "0.0 - 10.0 seconds, a dog runs. 20.0 - 30.0 seconds, the cat sleeps."
+    rows = [("dvc", "s", "v", 0, "no idea", gold, words, None), ("dvc", "s", "w", 1, "no idea", gold, words, None), ("dvc", "s", "w", 2, right, gold, words, None), ("slc", "s", "v", 3, "nothing", gold, words, None)]
+    rows += [("tvg", "s", "v", 4, "0 - 10", [[(0.0, 10.0)]], None, None)]
+    got = {(r.metric, r.task): r.value for r in evaluators.et_bench(spark.createDataFrame(rows, schema)).collect()}
+    # one of three samples was read: precision and recall of 1 become 1/3
+    assert got["captioning", "dvc"] == pytest.approx(1 / 3, abs=1e-5) and got["captioning", "slc"] == 0 and got["captioning_similarity", "slc"] == 0
+    similarity = got["captioning_similarity", "dvc"]
+    assert 0.5 < similarity <= 1
+    assert got["OVERALL", None] == pytest.approx((got["captioning", "dvc"] + similarity + 1) / 5, abs=2e-5)
