@@ -441,13 +441,8 @@ def a15_dvc_caption_bleu(spark, d):
 
 @query()
 def a15_dvc_caption_suite(spark, d):
-    pred, gold = views.dense(spark, d)
-    met = dense.overlaps(pred, gold).filter("iou >= 0.3").select("video", "pred_i", "ref_i")
-    side = lambda t, i, name: t.select("video", F.col("idx").alias(i), F.col("sentence").alias(name))
-    pairs = met.join(side(pred, "pred_i", "prediction"), ["video", "pred_i"]).join(side(gold, "ref_i", "reference"), ["video", "ref_i"])
-    own = captions.caption_suite(pairs.withColumn("pair", F.concat_ws("/", "video", "pred_i", "ref_i")), "video", "pair")
-    scores = [c for c in own.columns if c != "video"]
-    return gold.select("video").distinct().join(own, "video", "left").agg(F.count("*").alias("videos"), *[F.round(F.avg(F.coalesce(c, F.lit(0.0))), 5).alias(c) for c in scores])
+    each = dense.caption_scores(*views.dense(spark, d))
+    return each.agg(F.max("videos").alias("videos"), *[F.round(F.avg(c), 5).alias(c) for c in dense.SCORES])
 
 
 @query(with_views("grounding", then=f"""SELECT coalesce(metric, 'OVERALL') AS metric, count(*) AS tasks, round(avg(value), 5) AS value FROM (

@@ -7,7 +7,7 @@ from scorelake import adapters, cli, evaluators
 from scorelake.config import Config, scaffold
 from scorelake.functions import jsons
 from scorelake.functions.porter import stem
-from scorelake.operators import answers, captions, events, grounding, judging, report
+from scorelake.operators import answers, captions, dense, events, grounding, judging, report
 from scorelake.pipeline import Benchmark
 from scorelake.streaming.win_rates import windowed
 
@@ -235,3 +235,13 @@ def test_et_bench_captions(spark):
     similarity = got["captioning_similarity", "dvc"]
     assert 0.5 < similarity <= 1
     assert got["OVERALL", None] == pytest.approx((got["captioning", "dvc"] + similarity + 1) / 5, abs=2e-5)
+
+
+def test_false_captions_lower_the_scores(spark):
+    schema = "video string, idx int, span struct<start:double,end:double>, sentence string"
+    gold = spark.createDataFrame([("v", 0, (0.0, 10.0), "a dog runs over the road")], schema)
+    pred = spark.createDataFrame([("v", 0, (0.0, 6.0), "a dog runs over the road"), ("v", 1, (50.0, 60.0), "a cat sleeps on the mat")], schema)
+    got = {r.tau: r for r in dense.caption_scores(pred, gold).collect()}
+    # 0.6 of the interval is met: at 0.3 and 0.5 one caption of two is right, above none
+    assert sorted(got) == [0.3, 0.5, 0.7, 0.9] and {r.videos for r in got.values()} == {1}
+    assert [got[t].sim for t in sorted(got)] == pytest.approx([0.5, 0.5, 0, 0]) and [got[t].bleu_1 for t in sorted(got)] == pytest.approx([0.5, 0.5, 0, 0])
