@@ -56,3 +56,28 @@ def test_perfect_hash():
     table = line_dedup.PerfectHash.unpacked(line_dedup.PerfectHash.of(keys).packed())
     assert sorted(table.index(keys)) == list(range(len(keys)))
     assert len(table.index(keys[:0])) == 0 and line_dedup.PerfectHash.of(keys[:0]).size == 0
+
+
+def test_keys_that_agree_in_one_hash(spark):
+    keys = spark.createDataFrame([(0, 7, 1, 2, 5), (0, 7, 2, 1, 6), (0, 7, 3, 2, 4), (0, 8, 1, 2, 9)], "shard long, h long, check int, n int, first long")
+    shards = line_dedup.build_shards(keys).selectExpr("*", "0 as copy")
+    asked = [(6, 7, 1), (5, 7, 1), (7, 7, 2), (4, 7, 3), (5, 7, 3), (10, 8, 1), (10, 8, 2), (10, 9, 1)]
+    probes = spark.createDataFrame([(0, 0, doc, 0, h, check) for doc, h, check in asked], "shard long, copy int, doc long, row long, h long, check int")
+    assert sorted((r.doc, r.h, r.check) for r in line_dedup.probe(shards, probes).collect()) == [(5, 7, 3), (6, 7, 1), (10, 8, 1)]
+
+
+def test_hashes_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["x" * n + " É中 Tail" for n in range(0, 200, 7)]
+    docs = spark.createDataFrame([(x,) for x in lines], "text string")
+    for r in docs.select("text", line_dedup._hashes(F.col("text"), 1).alias("h")).collect():
+        assert line_dedup.without(r.text, {tuple(r.h[0])}, 1) == (1, 0, "")
+        assert line_dedup.without(r.text, {(r.h[0].h, r.h[0].check ^ 1)}, 1) == (1, 1, r.text)
+
+
+def test_rows_without_id_are_apart(spark):
+    rows = [(1, "a line of document one")] + [(None, f"a line of document one\nown line of row {i}") for i in range(50)] + [(None, "shared by rows without id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect()) == brute(rows)
+    assert line_dedup.repeated_lines(docs).filter("size(hashes) > 1").count() == 0
