@@ -91,7 +91,7 @@ SECRET_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 kinds(kind, rank, pat, part, least) AS (VALUES
   ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12), ('access', 1, '(AKIA[A-Z0-9]+)', 1, 18), ('hex', 2, '([0-9a-f]{16,})', 1, 16),
-  ('key', 3, '([A-Za-z0-9+/=]+)', 1, 40), ('endpoint', 4, '((?i:https?|s3|wss?|postgres|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+)', 1, 8)),
+  ('key', 3, '([A-Za-z0-9+/]+=?)', 1, 40), ('endpoint', 4, '((?i:https?|s3|wss?|postgres|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+)', 1, 8)),
 hits AS (SELECT doc_id, kind, rank, pat, part, least, regexp_extract_all(t, pat) AS w, string_split_regex(t, pat) AS gaps FROM t, kinds WHERE CASE WHEN rank < 3 THEN regexp_matches(t, pat) ELSE regexp_matches(t, 'AKIA[A-Z0-9]{14}') END),
 placed AS (SELECT doc_id, kind, rank, pat, part, least, w[i] AS m, CAST(list_sum([length(x) FOR x IN gaps[1 : i]]) + coalesce(list_sum([length(x) FOR x IN w[1 : i - 1]]), 0) AS BIGINT) AS s FROM hits, unnest(range(1, len(w) + 1)) AS u(i)),
 parts AS (SELECT doc_id, kind, rank, s, s + length(m) AS e FROM placed WHERE CASE WHEN rank = 3 THEN length(m) = 40 AND NOT contains(m, '=') WHEN part = 2 THEN length(regexp_extract(m, pat, 2)) >= least ELSE length(m) >= least END),

@@ -3,7 +3,8 @@
 Strong patterns are reported wherever they stand. Weak ones (a bare 40-character key, an endpoint) are far too common to be reported
 alone: they are joined with the access identifiers of the same text whose interval, widened by the reach on both sides, meets
 theirs, and reported only where the complementary part is there: a key beside an access identifier, an endpoint beside an access
-identifier that also has a secret in reach. The join is within the row, so nothing is shuffled and no text is copied.
+identifier that also has a secret in reach. The join is within the row, so nothing is shuffled and no text is copied. It is a merge:
+spans of one kind don't overlap, so once both sides are sorted together, only a span's neighbours on the other side can meet it.
 
 Positions are counted in code points. Spark has no function for them: the text is split at the matches, and the lengths of what lies between
 and of the matches add up. The sums run over blocks of BLOCK matches, so a text of a million matches takes no quadratic time.
@@ -24,11 +25,9 @@ STRONG = {
 }
 #: Reported only beside their complements.
 WEAK = {
-    "key": (r"(?<![A-Za-z0-9+/=])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 1, 40),
+    "key": (r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 1, 40),
     "endpoint": (r"((?i:https?|s3|wss?|postgres|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+)", 1, 8),
 }
-#: Weak patterns for redaction: as WEAK, and a key may stand right after "=", as in .env files. The listing keeps to its SQL, which leaves such keys out.
-HIDDEN = WEAK | {"key": (r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 1, 40)}
 ORDER = [*STRONG, *WEAK]
 #: Code points between two parts of a credential at most.
 REACH = 200
@@ -36,15 +35,20 @@ BLOCK = 256
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def matches(text: Column, kind: str, weak: dict[str, tuple[str, int, int]] = WEAK) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value) with value made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def matches(text: Column, kind: str) -> Column:
     """Spans of the leftmost matches that don't overlap, of which those that are too short are dropped: struct(start, rank, end), end exclusive."""
-    pattern, group, least = (STRONG | weak)[kind]
+    pattern, group, least = (STRONG | WEAK)[kind]
     none = F.array().cast(SPAN)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x).cast("long"))
     own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x).cast("long"))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     steps = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), own.alias("own")), lambda x: x["whole"].isNotNull())
-    blocks = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK)), lambda i: F.slice(steps, i, F.lit(BLOCK)))
+    blocks = _let(steps, lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(BLOCK)), lambda i: F.slice(own, i, F.lit(BLOCK))))
     total = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["whole"])
     bases = lambda sums: F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
@@ -57,27 +61,46 @@ def matches(text: Column, kind: str, weak: dict[str, tuple[str, int, int]] = WEA
 
         return F.aggregate(block, start, step, lambda state: state["out"])
 
-    # the array of one element holds the blocks, so that they are made once
-    placed = F.flatten(F.transform(F.array(F.struct(blocks.alias("b"))), lambda x: F.flatten(F.zip_with(x["b"], bases(F.transform(x["b"], total)), lambda block, base: F.when(block.isNotNull(), within(block, base)).otherwise(none)))))
+    placed = _let(blocks, lambda all_blocks: F.flatten(F.zip_with(all_blocks, bases(F.transform(all_blocks, total)), lambda block, base: F.when(block.isNotNull(), within(block, base)).otherwise(none))))
     return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
-def meets(a: Column, b: Column, reach: int) -> Column:
-    """Whether two intervals meet when one is widened by reach on both sides."""
-    return (a["start"] <= b["end"] + reach) & (b["start"] <= a["end"] + reach)
+def near(spans: Column, parts: Column, reach: int, strictly: bool = False, keep: bool = True) -> Column:
+    """Those of spans that meet one of parts when widened by reach on both sides (keep), or those that don't; strictly: touching isn't meeting.
+    Parts are sorted and don't overlap each other, so the last one that starts before a span and the first after it decide."""
+    ranked = lambda xs, side: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(side).alias("side"), x["end"].alias("end"), x["rank"].alias("rank")))
+
+    def merged(own: Column) -> Column:
+        both = F.array_sort(F.concat(ranked(own, 0), ranked(spans, 1)))
+        asked = F.filter(F.transform(both, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"]["side"] == 1)
+
+        def met(y: Column, j: Column) -> Column:
+            first, last = y["x"]["start"] - reach, y["x"]["end"] + reach
+            before, after = F.get(own, y["i"] - j - 1), F.get(own, y["i"] - j)
+            found = (before["end"] > first, after["start"] < last) if strictly else (before["end"] >= first, after["start"] <= last)
+            return F.coalesce(found[0], F.lit(False)) | F.coalesce(found[1], F.lit(False))
+
+        told = F.transform(asked, lambda y, j: F.struct(met(y, j).alias("met"), F.struct(y["x"]["start"].alias("start"), y["x"]["rank"].alias("rank"), y["x"]["end"].alias("end")).alias("x")))
+        return F.transform(F.filter(told, lambda t: t["met"] if keep else ~t["met"]), lambda t: t["x"])
+
+    return _let(parts, merged)
+
+
+def _linked(parts: dict[str, Column], reach: int) -> Column:
+    access, assigned, ends = parts["access"], parts["assign"], parts["endpoint"]
+    fresh = parts["key"]
+    for kind in STRONG:  # a key is none where a strong span overlaps it
+        fresh = near(fresh, parts[kind], 0, strictly=True, keep=False)
 
+    def with_keys(keys: Column) -> Column:
+        # a secret is a linked key or what an assignment names
+        full = F.concat(near(access, keys, reach), near(near(access, keys, reach, keep=False), assigned, reach))
+        return F.concat(keys, near(ends, F.array_sort(full), reach))
 
-def _linked(strong: Column, access: Column, keys: Column, endpoints: Column, reach: int) -> Column:
-    near = lambda parts, x: F.exists(parts, lambda p: meets(p, x, reach))
-    fresh = lambda parts: F.filter(parts, lambda x: ~F.exists(strong, lambda s: meets(s, x, 0) & (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    own_keys = F.filter(fresh(keys), lambda k: near(access, k))
-    # a secret is a linked key or what an assignment names
-    secrets = F.concat(own_keys, F.filter(strong, lambda s: s["rank"] == ORDER.index("assign")))
-    full = F.filter(access, lambda a: near(secrets, a))
-    return F.concat(own_keys, F.filter(endpoints, lambda e: near(full, e)))
+    return _let(near(fresh, access, reach), with_keys)
 
 
-def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: str = "found", weak: dict[str, tuple[str, int, int]] = WEAK) -> DataFrame:
+def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: str = "found") -> DataFrame:
     """docs with one more column: array of struct(start long, rank int, end long), by start and then rank; rank is the kind's place in ORDER.
 
     A null text counts as empty and has no spans. Strong spans are all there whatever is linked. Repeated rows give repeated results;
@@ -90,9 +113,9 @@ def scan(docs: DataFrame, reach: int = REACH, text_column: str = "text", name: s
     base = docs.withColumn(text, text_or_empty(text_column))
     base = base.withColumns({parts[kind]: matches(F.col(text), kind) for kind in STRONG})
     # weak ones matter only beside an access identifier
-    base = base.withColumns({parts[kind]: F.when(F.size(parts["access"]) > 0, matches(F.col(text), kind, weak)).otherwise(none) for kind in WEAK})
+    base = base.withColumns({parts[kind]: F.when(F.size(parts["access"]) > 0, matches(F.col(text), kind)).otherwise(none) for kind in WEAK})
     strong = F.concat(*[F.col(parts[kind]) for kind in STRONG])
-    linked = F.when(F.size(parts["access"]) > 0, _linked(strong, F.col(parts["access"]), F.col(parts["key"]), F.col(parts["endpoint"]), reach)).otherwise(none)
+    linked = F.when(F.size(parts["access"]) > 0, _linked({kind: F.col(c) for kind, c in parts.items()}, reach)).otherwise(none)
     return base.select(*[F.col(f"`{c}`") for c in columns], F.array_sort(F.concat(strong, linked)).alias(name))
 
 
@@ -113,7 +136,7 @@ def digest(docs: DataFrame, reach: int = REACH, id_column: str = "doc_id", text_
 
 
 def redact(docs: DataFrame, reach: int = REACH, text_column: str = "text") -> DataFrame:
-    """docs with each secret (and what overlaps it, as one) in the text replaced by [SECRET]; a text without any, and a null one, stays as it is. Keys right after "=" are secrets too."""
+    """docs with each secret (and what overlaps it, as one) in the text replaced by [SECRET]; a text without any, and a null one, stays as it is."""
     found = spare(docs.columns, "found")[0]
     text = F.col(text_column)
 
@@ -125,4 +148,4 @@ def redact(docs: DataFrame, reach: int = REACH, text_column: str = "text") -> Da
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size(found) > 0, F.aggregate(F.col(found), start, step, end)).otherwise(text)
-    return scan(docs, reach, text_column, found, HIDDEN).select(*[clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    return scan(docs, reach, text_column, found).select(*[clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
