@@ -5,8 +5,7 @@ n-gram's slots names every language that contains it, at the price of one look-u
 neighbours (lower-cased; anything but a letter counts as one blank). Per-language popcounts of the masks, less what each filter's
 false positives are expected to add, decide.
 
-Fitting reads at most SAMPLE rows of each language, drawn by a hash of the row, and keeps at most GRAMS n-grams of each: the model's size
-is bounded whatever the corpus. An n-gram belongs to the languages where it is at least SHARE as frequent as where it is most frequent.
+Fitting reads at most SAMPLE different texts of each language, drawn by a hash: the model's size is bounded by theirs, whatever the corpus. An n-gram belongs to the languages where it is at least SHARE as frequent as where it is most frequent.
 """
 
 from __future__ import annotations
@@ -24,10 +23,8 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import spare
 
-#: Rows of each language that fitting reads at most.
+#: Labelled rows of each language that fitting reads at most, equal texts counting as one: the bound of the sample.
 SAMPLE = 2000
-#: n-grams of each language that are kept at most, the most frequent.
-GRAMS = 50_000
 #: Occurrences in the sample that an n-gram needs, and its least frequency against the language where it is most frequent.
 LEAST, SHARE = 3, 0.5
 #: Slots for each n-gram; look-ups of each.
@@ -141,15 +138,18 @@ class Filters:
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters of labelled's languages, from at most sample rows of each; rows without text or language are left out."""
+    """Filters of labelled's languages, from at most sample different texts of each; rows without text or language are left out.
+
+    A text is drawn, or not, with all its copies, which meet as partial sums, so it doesn't matter how often it is repeated.
+    """
     rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    draw = F.xxhash64("text", "lang")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(draw).alias("n")).collect()}  # one row for each language
     if not counts:
         return Filters.of({})
-    draw = F.xxhash64("text", "lang")
     spread = 1 << 20
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(spread, int(spread * 1.2 * sample / n) + 1)))])
-    drawn = rows.withColumn("draw", draw).filter(F.pmod("draw", F.lit(spread)) < share[F.col("lang")])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(spread, int(spread * 1.2 * sample / max(n, 1)) + 1)))])
+    drawn = rows.withColumn("draw", draw).filter(F.pmod("draw", F.lit(spread)) < share[F.col("lang")]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
     drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("n") <= sample).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +164,9 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
 
     grams = drawn.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.filter(F.col("n") >= LEAST).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= GRAMS)
+    grams = grams.filter(F.col("n") >= LEAST)
     table: dict[str, dict[str, int]] = {lang: {} for lang in counts}
-    for r in grams.select("lang", "gram", "n").collect():  # GRAMS rows a language at most
+    for r in grams.select("lang", "gram", "n").collect():  # what SAMPLE texts of each language hold, LEAST times at least
         table[r.lang][r.gram] = r.n
     totals = {lang: max(1, sum(own.values())) for lang, own in table.items()}
     most: dict[str, float] = {}
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry:
     A text that is null or has no letter gets und and 0; any other the best learnt language (ties to the first by name; und if none
     was learnt). Repeated rows give repeated results. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded: SLOTS * GRAMS slots for each language
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the n-grams of SAMPLE texts of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

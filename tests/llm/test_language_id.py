@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,3 +61,47 @@ def test_steps_overlap(monkeypatch, filters):
     monkeypatch.setattr(li, "STEP", 7)
     n, hits = filters.popcounts(text)
     assert n == whole[0] and hits.tolist() == whole[1].tolist()
+
+
+def brute_fit(rows):
+    """Sets of n-grams for each language."""
+    table = {}
+    for text, lang in {(t, lang) for t, lang in rows if t is not None and lang is not None}:
+        own = table.setdefault(lang, Counter())
+        for gram in brute_grams(text):
+            own[gram] += 1
+    table = {lang: {g: n for g, n in own.items() if n >= li.LEAST} for lang, own in table.items()}
+    share = lambda lang, g: table[lang].get(g, 0) / max(1, sum(table[lang].values()))
+    return {lang: {g for g in own if share(lang, g) >= li.SHARE * max(share(other, g) for other in table)} for lang, own in table.items()}
+
+
+def brute_grams(text):
+    small = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0"
+    codes = ["\0", *map(small, text or ""), "\0"]
+    return ["".join(codes[i - 1 : i + 2]) for i in range(1, len(codes) - 1) if codes[i] != "\0"]
+
+
+def test_against_sets(spark):
+    """Ties go to the first language by name; with these few n-grams the filters have no false positives but the expected ones that are taken off."""
+    shared = "to the same old red barn "
+    rows = [(shared * 3, "xx"), (shared * 3, "yy"), ("der alte hund und die katze " * 4, "de"), ("der alte hund und die katze " * 4, "de"), ("the old cat and the dog, ÉTÉ " * 5, "en"), ("zz", "few"), (None, "en"), ("lost", None)]
+    asked = [shared, "der hund und the dog", "The OLD cat, été", "qqq www", "x", "", None, "12 %", "Ünïcödé ß İ 中文", "the cat " * 3000]
+    filters = li.fit(spark.createDataFrame(rows, "text string, lang string"))
+    sets = brute_fit(rows)
+    assert filters.languages == sorted(sets)
+    got = {r.doc_id: r for r in li.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), filters).collect()}
+    for i, text in enumerate(asked):
+        grams = brute_grams(text)
+        rates = dict(zip(filters.languages, filters.false_rates, strict=True))
+        scores = {lang: max(0.0, (sum(g in own for g in grams) - rates[lang] * len(grams)) / (1 - rates[lang])) / len(grams) for lang, own in sets.items()} if grams else {}
+        want = min(scores, key=lambda lang: (-scores[lang], lang)) if scores else li.NONE
+        assert (got[i].lang_pred, round(got[i].score, 9)) == (want, round(scores[want], 9) if scores else 0.0), text
+    assert got[0].lang_pred == "xx"
+
+
+def test_copies_count_once(spark):
+    """A text that most rows repeat is one of the sample, beside the others."""
+    rows = [("the one text that everybody copies", "en")] * 3000 + [(f"another text of number words {'abcdefgh'[i % 8] * 3}", "en") for i in range(40)]
+    filters = li.fit(spark.createDataFrame(rows, "text string, lang string"), sample=60)
+    n, hits = filters.popcounts("another text of number words")
+    assert hits[0] == n
