@@ -94,18 +94,26 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
-    """A gzip file's bytes in order, a step at a time; of one member or many."""
-    rest = content
-    while rest:
-        stream = zlib.decompressobj(31)
-        while not stream.eof:
-            out = stream.decompress(rest, STEP)
-            rest = stream.unconsumed_tail
-            if out:
-                yield out
-            elif not rest and not stream.eof:
-                raise ValueError("the gzip stream ends early")
-        rest = stream.unused_data.lstrip(b"\0")
+    """A gzip file's bytes in order, a step at a time; of one member or many. Zeros between members are padding."""
+    view, at, feed, stream = memoryview(content), 0, b"", None
+    while feed or at < len(view):
+        if not feed:
+            feed, at = bytes(view[at : at + STEP]), at + STEP
+        if stream is None:
+            feed = feed.lstrip(b"\0")
+            if not feed:
+                continue
+            stream = zlib.decompressobj(31)
+        out = stream.decompress(feed, STEP)
+        if out:
+            yield out
+        feed, stream = (stream.unused_data, None) if stream.eof else (stream.unconsumed_tail, stream)
+    while stream is not None and not stream.eof:  # output that was held back
+        out = stream.decompress(b"", STEP)
+        if not out and not stream.eof:
+            raise ValueError("the gzip stream ends early")
+        if out:
+            yield out
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:

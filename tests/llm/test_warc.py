@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from scorelake.llm import warc
 
 
@@ -48,3 +50,13 @@ def test_members_and_index(spark, tmp_path):
     warc.save_files(whole, str(tmp_path))
     read = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path archive", "content")
     assert warc.offset_index(warc.normalise(read)).count() == 40
+
+
+def test_inflated(monkeypatch):
+    parts = [b"a" * 100_000, b"", b"some bytes", bytes(range(256)) * 300]
+    monkeypatch.setattr(warc, "STEP", 61)
+    whole = gzip.compress(parts[0]) + b"\0" * 200 + b"".join(map(gzip.compress, parts[1:])) + b"\0\0"
+    assert b"".join(warc._inflated(whole)) == b"".join(parts)
+    assert b"".join(warc._inflated(b"")) == b""
+    with pytest.raises(ValueError):
+        list(warc._inflated(gzip.compress(parts[3])[:-20]))
