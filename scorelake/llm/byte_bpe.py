@@ -4,11 +4,17 @@ A text is split into words by the tokenizer's own pattern. Merges never cross a
 wherever it stands: each distinct word is encoded once, and the ids are joined back by the words' positions. Decoding
 joins each id with the piece of bytes that it stands for.
 
-The table of distinct words is one per task and grows no further than CACHED words, then it starts afresh; it is a cache,
-so its size changes no result. One table for the whole corpus would send every (document, position, word) row
-through a shuffle, which is several times the input; a task's table sends nothing.
+1. Documents are dealt to blocks of some megabytes. A block's row holds its distinct words and, in place of each text, the words' numbers,
+   in the order of their positions; the text itself goes no further.
+2. The blocks' words meet by word. Each distinct word is encoded once, and its ids go back to each block and number that asked.
+3. Blocks and ids meet by block. A document's ids are gathered by its words' numbers; the ids are joined with the table of pieces, which has a row
+   for each id of the vocabulary and so a bound, and the pieces' bytes are the decoded text.
 
-Words with characters that newer versions of Unicode may class differently are left to the library, with their text.
+So a word travels once for each block that has it and not once for each place where it stands. Blocks are made by a deterministic pass
+over the input, in the order of its partitions; a lost task makes the same ones again.
+
+Texts with characters that versions of Unicode may class differently are split by the library's own pre-tokenizer, all others by the same pattern in
+regex, which is faster.
 """
 
 from __future__ import annotations
@@ -18,16 +24,24 @@ import json
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Entries of a task's table of distinct words.
+#: Bytes of text of a block, about; a longer text has a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Words encoded at a time.
+AT_ONCE = 8192
+#: Entries of the table of distinct words that one ByteBpe keeps for encode; it then starts afresh, which changes no result.
 CACHED = 200_000
-#: Longer words are encoded each time they occur.
+#: Longer words are encoded each time they occur in encode; the ids are the same.
 LONGEST_CACHED = 64
-#: Longer texts are encoded by words, whatever their form.
+#: Longer texts are encoded by words in encode_fast, whatever their form; the ids are the same.
 LONGEST_FAST = 1_000_000
 #: Characters whose class (letter, number, space, other) has been the same in all versions of Unicode since 3.0.
 SETTLED = r"[^\x00-ȟΆ-ώЁ-яא-ת‐-‧‰-⁆€ぁ-ゔァ-ヺ一-龥가-힣]"
@@ -60,10 +74,29 @@ class ByteBpe:
             self._pieces = by_id
         return self._pieces
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text; the string of a special token is one."""
+        if self.at_special is None or not any(s in text for s in self.special):
+            return self._split(text)
+        return [w for x in self.at_special.split(text) if x for w in ([x] if x in self.special else self._split(x))]
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii() or not self.unsettled(text):
+            return self.words_of(text)
+        return [text[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _packed(self, ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    @property
+    def piece_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces' bytes, and where each id's piece starts and how long it is."""
+        if not hasattr(self, "_piece_table"):
+            lengths = np.array([len(p) for p in self.pieces], np.int64)
+            self._piece_table = np.frombuffer(b"".join(self.pieces), np.uint8), np.cumsum(lengths) - lengths, lengths
+        return self._piece_table
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         coded = self.library.encode_batch(words, add_special_tokens=False)
         return {w: self._packed(c.ids) for w, c in zip(words, coded, strict=True)}
 
@@ -76,7 +109,7 @@ class ByteBpe:
         fresh = [w for w in set(words) if w not in known]
         if not fresh:
             return b"".join([known[w] for w in words])
-        learnt = self._learn(fresh)
+        learnt = self.learn(fresh)
         if len(known) + len(learnt) > CACHED:
             known.clear()
         out = b"".join([known[w] if w in known else learnt[w] for w in words]) if known else self._joined(words, learnt)
@@ -85,7 +118,7 @@ class ByteBpe:
 
     def _joined(self, words: list[str], learnt: dict[str, bytes]) -> bytes:
         missing = [w for w in set(words) if w not in learnt]
-        table = learnt | self._learn(missing) if missing else learnt
+        table = learnt | self.learn(missing) if missing else learnt
         return b"".join([table[w] for w in words])
 
     def encode(self, text: str) -> bytes:
@@ -135,6 +168,102 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent, compressed: a byte for each, and three more planes of bytes for those that don't fit in one."""
+    large = numbers[numbers >= 255] - 255
+    planes = [np.minimum(numbers, 255).astype(np.uint8), *((large >> (8 * i) & 255).astype(np.uint8) for i in range(4))]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    parts = [pack(p.tobytes()) for p in planes]
+    return np.array([len(numbers), len(large), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    n, n_large, *sizes = np.frombuffer(data, np.int64, 7).tolist()
+    unpack, at, planes = zstandard.ZstdDecompressor().decompress, 56, []
+    for i, size in enumerate(sizes):
+        planes.append(np.frombuffer(unpack(data[at : at + size], max_output_size=max(1, n if i == 0 else n_large)), np.uint8).astype(np.int64))
+        at += size
+    out = planes[0]
+    out[out == 255] += sum(p << (8 * i) for i, p in enumerate(planes[1:]))
+    return out
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """values[starts[r] : starts[r] + lengths[r]] for each r of rows, one after the other."""
+    own = lengths[rows]
+    ends = np.cumsum(own)
+    return values[np.repeat(starts[rows] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def blocks(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(block long, data): data has the block's distinct words, the ids of its rows, how many words each row's text has, and the words' numbers by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, task, made = coder(tokenizer), TaskContext.get().partitionId(), 0
+        ids, words, counts, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            if words:
+                coded = pa.chunked_array([pa.array(words, pa.string())]).combine_chunks().dictionary_encode()
+                number, distinct = np.asarray(coded.indices), coded.dictionary
+                order = np.argsort(-np.bincount(number, minlength=len(distinct)), kind="stable")  # frequent ones first
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                number, distinct = rank[number], distinct.take(pa.array(order))
+            else:
+                number, distinct = np.zeros(0, np.int64), pa.array([], pa.string())
+            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+            data = pa.StructArray.from_arrays([one(distinct, pa.string()), one(pa.concat_arrays(ids), ids[0].type), one(pa.array(counts), pa.int64()), pa.array([_squeezed(number)], pa.binary())], names=["words", "ids", "counts", "numbers"])
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), data], names=["block", "data"])
+
+        for batch in batches:
+            column = batch.column(0)
+            since = 0
+            for i, text in enumerate(batch.column(1)):
+                own = bpe.split(text.as_py() or "")
+                words += own
+                counts.append(len(own))
+                size += sum(map(len, own))
+                if size >= BLOCK_BYTES:
+                    ids.append(column.slice(since, i + 1 - since))
+                    yield block()
+                    made, since = made + 1, i + 1
+                    ids, words, counts, size = [], [], [], 0
+            if since < batch.num_rows:
+                ids.append(column.slice(since))
+        if counts:
+            yield block()
+
+    plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = plain.schema[0].dataType.simpleString()
+    return plain.mapInArrow(run, f"block long, data struct<words:array<string>,ids:array<{kind}>,counts:array<bigint>,numbers:binary>")
+
+
+def encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[pa.RecordBatch]:
+    """(block, number, ids) for batches (block, number, word) sorted by word: each distinct word is encoded once."""
+    last, known = None, b""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(first, AT_ONCE)
+            coded = part.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            table = bpe.learn(words[1:] if words[0] == last else words)
+            if words[0] == last:
+                table[last] = known
+            last, known = words[-1], table[words[-1]]
+            own = pa.array([table[w] for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), own.take(coded.indices)], names=["block", "number", "ids"])
+
+
+def encode_words(asked: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, number, ids binary) for asked (block long, number int, word string): words meet by word, and each distinct one is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, coder(tokenizer))
+
+    return asked.repartition("word").sortWithinPartitions("word").select("block", "number", "word").mapInArrow(run, "block long, number int, ids binary")
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per row of docs: the id column, ids binary (little-endian unsigned 32-bit; left out unless keep_ids), n_tokens long,
     ids_sha256 string, decoded string (left out unless keep_ids), decoded_sha256 string.
@@ -142,26 +271,54 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     A null text counts as empty: no ids, and the digests are of no bytes. Repeated rows give repeated results; other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(tokenizer)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):  # bounds what is held at once
-                part = batch.slice(first, 256)
-                out: dict[str, list] = {name: [] for name in names}
-                for text in part.column(1):
-                    ids = bpe.encode(text.as_py() or "")
-                    decoded = bpe.decode(ids)
-                    out["n_tokens"].append(len(ids) // 4)
-                    out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_ids:
-                        out["ids"].append(ids)
-                        out["decoded"].append(decoded)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[n], t) for n, t in types)], names=[id_column, *names])
+            for block, data in zip(batch.column(0), batch.column(1), strict=True):
+                own = data["words"].values
+                for first in range(0, len(own), 65536):
+                    part = own.slice(first, 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(first, first + len(part), dtype=np.int32)), part], names=["block", "number", "word"])
+
+    def joined(block: pa.Table, found: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return empty
+        data = block.column("data").combine_chunks()
+        pieces, piece_starts, piece_lengths = coder(tokenizer).piece_table
+        order = np.argsort(found.column("number").to_numpy(), kind="stable")
+        by_number = found.column("ids").combine_chunks()
+        by_number = by_number.chunk(0) if isinstance(by_number, pa.ChunkedArray) else by_number
+        bounds = np.frombuffer(by_number.buffers()[1], np.int32, len(by_number) + 1, 4 * by_number.offset).astype(np.int64) // 4 if len(by_number) else np.zeros(1, np.int64)
+        flat = np.frombuffer(by_number.buffers()[2], np.uint32, int(bounds[-1])) if len(by_number) and by_number.buffers()[2] is not None else np.zeros(0, np.uint32)
+        starts, lengths = bounds[:-1][order], np.diff(bounds)[order]
+        whole = data[0]
+        numbers, counts = _spread(whole["numbers"].as_py()), np.asarray(whole["counts"].values)
+        out: dict[str, list] = {name: [] for name in names}
+        at = 0
+        for n in counts.tolist():
+            ids = _gathered(flat, starts, lengths, numbers[at : at + n])
+            at += n
+            decoded = _gathered(pieces, piece_starts, piece_lengths, ids).tobytes().decode("utf-8", "replace")
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            if keep_ids:
+                out["ids"].append(ids.tobytes())
+                out["decoded"].append(decoded)
+        return pa.table([whole["ids"].values, *(pa.array(out[n], t) for n, t in types)], names=[id_column, *names])
 
     types = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary()), ("decoded", pa.string())] * keep_ids
     names = [n for n, _ in types]
-    plain = docs.select(F.col(id_column), F.col(text_column).alias("text"))
-    kind = plain.schema[0].dataType.simpleString()
+    whole = blocks(docs, tokenizer, id_column, text_column).repartition("block")  # one exchange, which both uses below read
+    kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
+    empty = pa.schema([(id_column, to_arrow_type(docs.select(F.col(id_column)).schema[0].dataType)), *types]).empty_table()
+    found = encode_words(whole.mapInArrow(words, "block long, number int, word string"), tokenizer)
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
-    return plain.mapInArrow(run, schema)
+    return whole.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, schema)
+
+
+def decode(tokens: DataFrame, tokenizer: str, keys: list[str]) -> DataFrame:
+    """(keys, decoded string) for tokens (keys, position, id): the plain join of ids and pieces. Null or unknown ids stand for nothing; each key needs a row."""
+    spark = tokens.sparkSession
+    pieces = F.broadcast(spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(coder(tokenizer).pieces)], "id long, piece binary"))  # a row for each id of the vocabulary
+    held = tokens.select(*keys, "position", F.col("id").cast("long").alias("id")).join(pieces, "id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", F.hex("piece").alias("piece")))).alias("pieces"))
+    return held.select(*keys, F.decode(F.unhex(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")), "UTF-8").alias("decoded"))

@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +70,61 @@ def test_fast_is_used():
     assert bpe.ranked is not None
     for text in TEXTS[1:]:
         assert bpe.encode_fast(text) == bpe.encode(text)
+
+
+def test_small_blocks_and_each_word_once(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 40)
+    texts = [t for t in TEXTS if t is None or len(t) < 1000] + [f"word{i % 7} and some more of them \U0001f600\n" * (i % 4) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = byte_bpe.blocks(docs, PATH).collect()
+    assert len(rows) > 20 and len({r.block for r in rows}) == len(rows)
+    assert sorted(i for r in rows for i in r.data.ids) == list(range(len(texts)))
+    words = [(r.block, n, w) for r in rows for n, w in enumerate(r.data.words)]
+    assert len({(b, w) for b, _, w in words}) == len(words)  # a word once in each block
+    by = {(b, n): w for b, n, w in words}
+    t = library_once()
+    found = byte_bpe.encode_words(spark.createDataFrame(words, "block long, number int, word string"), PATH).collect()
+    assert len(found) == len(words)
+    assert all(list(memoryview(bytes(r.ids)).cast("I")) == t.encode(by[r.block, r.number], add_special_tokens=False).ids for r in found)
+    got = {r.doc_id: r for r in byte_bpe.encode_decode(docs, PATH).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert list(memoryview(bytes(got[i].ids)).cast("I")) == ids and got[i].decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    class Counting(byte_bpe.ByteBpe):
+        asked: list = []
+
+        def learn(self, words):
+            self.asked += words
+            return super().learn(words)
+
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", 4)
+    words = sorted(["the"] * 11 + ["a", "a", " word", "b"] * 3 + ["zz"])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, to)), pa.array(range(at, to), pa.int32()), pa.array(words[at:to])], names=["block", "number", "word"]) for at, to in ((0, 7), (7, 8), (8, len(words)))]
+    bpe = Counting(PATH)
+    found = pa.Table.from_batches(list(byte_bpe.encoded(batches, bpe)))
+    assert bpe.asked == sorted(set(words))
+    assert [list(memoryview(x).cast("I")) for x in found.column("ids").to_pylist()] == [library_once().encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_numbers_round_trip():
+    rng = np.random.default_rng(1)
+    for numbers in (np.zeros(0, np.int64), np.arange(600), rng.integers(0, 300, 1000), np.array([254, 255, 256, 1 << 24, (1 << 32) + 254])):
+        assert byte_bpe._spread(byte_bpe._squeezed(numbers)).tolist() == numbers.tolist()
+
+
+def test_words_of_the_library():
+    bpe = byte_bpe.ByteBpe(PATH)
+    for text in TEXTS[1:]:
+        plain = text.replace("<|endoftext|>", "")
+        want = [plain[i:j] for _, (i, j) in bpe.library.pre_tokenizer.pre_tokenize_str(plain)]
+        assert bpe.split(plain) == want and "".join(bpe.split(text)) == text
+
+
+def test_decode_by_a_join(spark):
+    ids = {i: library_once().encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS[2:])}
+    tokens = spark.createDataFrame([(i, n, x) for i, own in ids.items() for n, x in enumerate(own)] + [(99, 0, None), (99, 1, 10**6)], "doc int, position int, id long")
+    got = {r.doc: r.decoded for r in byte_bpe.decode(tokens, PATH, ["doc"]).collect()}
+    assert got == {i: t for i, t in enumerate(TEXTS[2:])} | {99: ""}
