@@ -1,18 +1,22 @@
 """Models and judges: what answers prompts and what compares answers.
 
-An adapter turns a table of requests into the same table with replies. Three kinds are ready: `recorded` joins stored replies, `rule` computes them by a column
-expression, and `http` asks a chat endpoint from within the executors, with bounded concurrency, retries on transient errors, and credentials
-from the environment alone. A failure becomes an error text in its row, never a failed job.
+An adapter turns a table of requests into the same table with replies. Four kinds are ready: `recorded` joins stored replies, `rule` computes them by a column
+expression, `batched` runs a local model in each worker, and `http` asks a chat endpoint from within the executors, with bounded concurrency, retries on transient
+errors, and credentials from the environment alone. A failure becomes an error text in its row, never a failed job.
 """
 
 from __future__ import annotations
 
+import base64
+import http.client
 import json
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.error import HTTPError, URLError
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,23 +24,29 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.text import FILTER_MARK
 
-# Parts of messages of errors that may pass.
-TRANSIENT = [
-    "qpm limit, you can apply for expansion on the platform",
-    "reach token limit, you can apply for expansion on the platform",
-    "Request timed out",
-    "The service is temporarily unable to process your request.",
-    "upstream failed to respond",
-    "502 Bad Gateway",
-    "429 Too Many Requests",
-    "Retrying request to",
-]
+#: Status codes of replies that may be others later.
+TRANSIENT = {408, 425, 429, 500, 502, 503, 504}
 DEFAULT_VIDEO_PROMPT = "Describe this video as fully as you can."
 DEFAULT_IMAGE_PROMPT = "Describe what this image shows."
 
 
-def is_transient(message: str) -> bool:
-    return any(part in message for part in TRANSIENT)
+class ReplyError(RuntimeError):
+    """A reply that isn't one: its status and body."""
+
+    def __init__(self, status: int, body: str):
+        super().__init__(f"status {status}: {body}")
+        self.status, self.body = status, body
+
+
+def is_transient(error: BaseException) -> bool:
+    """Whether the same request may succeed later: by the reply's status, or because there was none in time."""
+    if isinstance(error, ReplyError):
+        return error.status in TRANSIENT
+    if isinstance(error, HTTPError):
+        return error.code in TRANSIENT
+    if isinstance(error, URLError):
+        return not isinstance(error.reason, BaseException) or is_transient(error.reason)
+    return isinstance(error, (TimeoutError, ConnectionError, http.client.HTTPException))
 
 
 def with_retries(call: Callable[[], str], tries: int = 6, pause: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> str:
@@ -45,20 +55,20 @@ def with_retries(call: Callable[[], str], tries: int = 6, pause: float = 5.0, sl
         try:
             return call()
         except Exception as error:  # noqa: BLE001  whatever a client raises
-            if not is_transient(str(error)) or n == tries - 1:
+            if not is_transient(error) or n == tries - 1:
                 raise
             sleep(pause)
     raise AssertionError
 
 
 class Recorded:
-    """Replies of a stored table (key columns and reply)."""
+    """Replies of a stored table (key columns and reply). Of a key's several replies the smallest counts."""
 
     def __init__(self, replies: DataFrame, keys: list[str], reply: str = "reply"):
-        self.replies, self.keys, self.reply = replies.select(*keys, F.col(reply).alias("reply")), keys, reply
+        self.replies, self.keys = replies.groupBy(*keys).agg(F.min(reply).alias("reply")), keys
 
     def answer(self, requests: DataFrame, out: str = "reply") -> DataFrame:
-        return requests.join(self.replies, self.keys, "left").withColumnRenamed("reply", out)
+        return requests.join(self.replies.withColumnRenamed("reply", out), self.keys, "left")
 
 
 class Rule:
@@ -71,6 +81,35 @@ class Rule:
         return requests.withColumn(out, self.rule(requests))
 
 
+@dataclass
+class Batched:
+    """A local model: make() gives, once for each worker, a function from lists of prompts and media to a list of replies. It gets batch_size requests at a time; where it fails
+    on several, they are tried one by one, and what fails alone is an error text in its row."""
+
+    make: Callable[[], Callable[[list[str], list], list[str]]]
+    batch_size: int = 4
+
+    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None) -> DataFrame:
+        """As Http's."""
+        make, size = self.make, self.batch_size
+
+        def tell(model, asked: list[tuple[str, object]]) -> list[str]:
+            try:
+                told = model([p for p, _ in asked], [m for _, m in asked])
+                if len(told) != len(asked):
+                    raise ValueError(f"{len(told)} replies to {len(asked)} requests")
+                return told
+            except Exception as error:  # noqa: BLE001
+                return [f"[Error: {error}]"] if len(asked) == 1 else [x for one in asked for x in tell(model, [one])]
+
+        def replies(asked: Iterator[list[tuple[str, object]]]) -> Iterator[list[str]]:
+            model = make()
+            for flat in asked:
+                yield [x for at in range(0, len(flat), size) for x in tell(model, flat[at : at + size])]
+
+        return _answered(requests, replies, out, prompt, media)
+
+
 @dataclass
 class Http:
     """A chat endpoint: its URL and key are read from these environment variables of the executors."""
@@ -86,16 +125,13 @@ class Http:
     max_tokens: int = 1024
     post: Callable[[str, dict, dict, float], dict] | None = None
 
-    def _send(self, prompt: str, media: str | None) -> str:
-        content: list[dict] = [{"type": "text", "text": prompt}]
-        if media:
-            content.append({"type": "media", "uri": media})
-        body = {"model": self.model, "messages": [{"role": "user", "content": content}], "temperature": self.temperature, "max_tokens": self.max_tokens}
+    def _send(self, prompt: str, media: str | bytes | None) -> str:
+        body = {"model": self.model, "messages": [{"role": "user", "content": contents(prompt, media)}], "temperature": self.temperature, "max_tokens": self.max_tokens}
         headers = {"Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
         reply = (self.post or _post)(os.environ.get(self.url_variable, ""), body, headers, self.timeout)
         return reply["choices"][0]["message"]["content"]
 
-    def ask(self, prompt: str, media: str | None = None) -> str:
+    def ask(self, prompt: str, media: str | bytes | None = None) -> str:
         try:
             return with_retries(lambda: self._send(prompt, media), self.tries, self.pause)
         except Exception as error:  # noqa: BLE001
@@ -103,31 +139,68 @@ class Http:
             return f"{FILTER_MARK}: {text}]" if "content_filter" in text else f"[Error: {text}]"
 
     def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None) -> DataFrame:
-        """requests with the replies to a text column, or the replies to an array of texts as an array."""
-        many = requests.schema[prompt].dataType.simpleString().startswith("array")
-        columns = list(requests.columns)
-        at, file_at = columns.index(prompt), columns.index(media) if media else None
+        """requests with the replies to a text column, or the replies to an array of texts as an array. media is a column of addresses, or of files' bytes, or of a list of either (frames)."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def replies(asked: Iterator[list[tuple[str, object]]]) -> Iterator[list[str]]:
             with ThreadPoolExecutor(self.concurrent) as pool:
-                for batch in batches:
-                    asked = batch.column(at).to_pylist()
-                    uris = batch.column(file_at).to_pylist() if file_at is not None else [None] * len(asked)
-                    flat = [(p, u) for x, u in zip(asked, uris, strict=True) for p in (x if many else [x]) or []]
-                    told = iter(list(pool.map(lambda pu: self.ask(*pu), flat)))
-                    replies = [[next(told) for _ in x or []] if many else next(told) for x in asked]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.list_(pa.string()) if many else pa.string())], names=[*columns, out])
+                for flat in asked:
+                    yield list(pool.map(lambda pm: self.ask(*pm), flat))
+
+        return _answered(requests, replies, out, prompt, media)
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-        return requests.mapInArrow(run, f"{fields}, `{out}` {'array<string>' if many else 'string'}")
+
+def contents(prompt: str, media: str | bytes | list | None) -> list[dict]:
+    """A chat message's parts: the text, and each address or, from bytes, each data URI in base64."""
+    out: list[dict] = [{"type": "text", "text": prompt}]
+    for x in media if isinstance(media, list) else [media] if media else []:
+        uri = f"data:image/jpeg;base64,{base64.b64encode(x).decode()}" if isinstance(x, bytes) else x
+        out.append({"type": "media", "uri": uri})
+    return out
+
+
+def _answered(requests: DataFrame, replies: Callable[[Iterator[list]], Iterator[list[str]]], out: str, prompt: str, media: str | None) -> DataFrame:
+    """requests with a column of replies; replies turns lists of (prompt, media) into lists of texts."""
+    many = requests.schema[prompt].dataType.simpleString().startswith("array")
+    columns = list(requests.columns)
+    at, file_at = columns.index(prompt), columns.index(media) if media else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list]] = []
+
+        def asked() -> Iterator[list]:
+            for batch in batches:
+                prompts = batch.column(at).to_pylist()
+                files = batch.column(file_at).to_pylist() if file_at is not None else [None] * len(prompts)
+                held.append((batch, prompts))
+                yield [(p, m) for x, m in zip(prompts, files, strict=True) for p in (x if many else [x]) or []]
+
+        for told in replies(asked()):
+            batch, prompts = held.pop(0)
+            each = iter(told)
+            own = [[next(each) for _ in x or []] if many else next(each) for x in prompts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string()) if many else pa.string())], names=[*columns, out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return requests.mapInArrow(run, f"{fields}, `{out}` {'array<string>' if many else 'string'}")
 
 
 def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
     from urllib.request import Request, urlopen
 
     request = Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
-    with urlopen(request, timeout=timeout) as reply:  # noqa: S310
-        return json.loads(reply.read())
+    try:
+        with urlopen(request, timeout=timeout) as reply:  # noqa: S310
+            return json.loads(reply.read())
+    except HTTPError as error:
+        raise ReplyError(error.code, error.read().decode("utf-8", "replace")[:2000]) from error
+
+
+def chat_message(prompt: Column, image: Column | None = None, video: Column | None = None, fps: Column | None = None, frames: Column | None = None) -> Column:
+    """struct(role, content): a user's message of an image or a video, with the frames a second to sample or the frames' numbers where they are given, and a text."""
+    none = lambda kind: F.lit(None).cast(kind)
+    part = lambda kind, text=None, uri=None, fps=None, frames=None: F.struct(F.lit(kind).alias("type"), (none("string") if text is None else text).alias("text"), (none("string") if uri is None else uri).alias("uri"), (none("double") if fps is None else fps.cast("double")).alias("fps"), (none("array<int>") if frames is None else frames).alias("frames"))
+    parts = [F.when(uri.isNotNull(), part(kind, None, uri, *extra)) for kind, uri, extra in (("image", image, ()), ("video", video, (fps, frames))) if uri is not None]
+    return F.struct(F.lit("user").alias("role"), F.filter(F.array(*parts, part("text", prompt)), lambda x: x.isNotNull()).alias("content"))
 
 
 def with_prompts(samples: DataFrame) -> DataFrame:
@@ -165,6 +238,17 @@ def ranking_prompt(a: Column, b: Column, task: str) -> Column:
     return F.concat(F.lit(f"Two responses to the same task ({task}) follow. Decide which is better.\n\nResponse A:\n"), a, F.lit("\n\nResponse B:\n"), b, F.lit('\n\nReply with JSON alone: {"winner": "A", "B" or "tie", "confidence": 1 to 5, "reason": text, "scores": {"response_a": {criterion: number}, "response_b": {criterion: number}}}'))
 
 
+def pairwise_prompt(a: Column, b: Column, question: Column, criteria: list[str], template: str | None = None) -> Column:
+    """A request to compare two models' responses by criteria. A template of one's own has the places {question}, {response_a}, {response_b} and {criteria}."""
+    template = template or 'Question:\n{question}\n\nModel A:\n{response_a}\n\nModel B:\n{response_b}\n\nCompare them by: {criteria}.\n\nReply with JSON alone: {"winner": "Model A", "Model B" or "Tie", "confidence": 0 to 1, "reasoning": text, "criteria_scores": {"model_a": {criterion: number}, "model_b": {criterion: number}}}'
+    places = {"{question}": F.coalesce(question, F.lit("")), "{response_a}": F.coalesce(a, F.lit("")), "{response_b}": F.coalesce(b, F.lit("")), "{criteria}": F.lit(", ".join(criteria))}
+    return F.concat(*[places.get(x, F.lit(x)) for x in re.split(r"(\{question\}|\{response_a\}|\{response_b\}|\{criteria\})", template) if x])
+
+
+def score_prompt(a: Column, b: Column) -> Column:
+    return F.concat(F.lit("How well does the description cover the reference? Reply with one number from 0 to 1.\n\nDescription:\n"), a, F.lit("\n\nReference:\n"), b)
+
+
 def events_prompt(text: Column) -> Column:
     return F.concat(F.lit("List the events of this description, at most ten, one short sentence each.\n\n"), text, F.lit('\n\nReply with JSON alone: {"events": [text, ...]}'))
 

@@ -1,4 +1,4 @@
-"""Commands: run, list, validate, init, display, compare."""
+"""Commands: run, list, validate, init, display, compare, versus."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import importlib.util
 import logging
 import sys
+import time
 
 from scorelake import adapters, evaluators
 from scorelake.config import Config, scaffold
@@ -18,7 +19,7 @@ def listed(text: str | None) -> list[str]:
 
 
 def catalogue(config: Config, what: str = "all") -> dict[str, list[str]]:
-    every = {"models": {*config.models, *adapters.MODELS}, "datasets": {*config.datasets, *loaders.LOADERS}, "evaluators": {*config.evaluators, *evaluators.EVALUATORS}}
+    every = {"models": {*config.models, *adapters.MODELS}, "datasets": {*config.datasets, *loaders.LOADERS}, "evaluators": {*config.evaluators, *evaluators.EVALUATORS, *evaluators.JUDGED}}
     return {k: sorted(v) for k, v in every.items() if what in ("all", k)}
 
 
@@ -43,9 +44,18 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("validate", help="check the environment")
     commands.add_parser("init", help="lay out a project").add_argument("path", nargs="?", default=".")
     commands.add_parser("display", help="show stored results").add_argument("path", nargs="?", default="output")
-    compare = commands.add_parser("compare", help="win rates of two models by recorded verdicts")
-    for name in ("--pred-a", "--pred-b", "--verdicts"):
+    compare = commands.add_parser("compare", help="win rates of two prediction files, by recorded verdicts or a judge")
+    for name in ("--pred-a", "--pred-b"):
         compare.add_argument(name, required=True)
+    versus = commands.add_parser("versus", help="answer with two models, where that isn't done yet, and compare them")
+    versus.add_argument("models", nargs=2)
+    versus.add_argument("-d", "--dataset", required=True)
+    for command in (compare, versus):
+        command.add_argument("--verdicts", help="JSON lines of id and verdict")
+        command.add_argument("--judge", help="a model of the configuration")
+        command.add_argument("--criteria", nargs="+", help="for a generic judge: what is compared")
+        command.add_argument("--task", default="video description")
+        command.add_argument("-o", "--output")
     compare.add_argument("--name-a", default="A")
     compare.add_argument("--name-b", default="B")
     return p
@@ -76,31 +86,45 @@ def main(argv: list[str] | None = None) -> int:
         rows = Benchmark(spark, config, args.path).results().orderBy("model", "dataset", "evaluator", "metric", "task").collect()
         print(report.grid([r.asDict() for r in rows]))
         return 0
-    if args.command == "compare":
-        print(report.grid([r.asDict() for r in compare(spark, args.pred_a, args.pred_b, args.verdicts).collect()]))
+    if args.command in ("compare", "versus"):
+        bench = Benchmark(spark, config, args.output or "output")
+        if args.command == "compare":
+            a, b, names = loaders.predictions(spark, args.pred_a), loaders.predictions(spark, args.pred_b), (args.name_a, args.name_b)
+        else:
+            (a, b), names = (bench.predicted(m, args.dataset) for m in args.models), tuple(args.models)
+        if not (args.verdicts or args.judge):
+            raise SystemExit("a comparison needs --verdicts or --judge")
+        judge = adapters.Recorded(spark.read.schema("id string, verdict string").json(args.verdicts), ["id"], "verdict") if args.verdicts else bench.adapter(args.judge)
+        began = time.monotonic()
+        judged_rows, rates = compare(a, b, judge, args.task, args.criteria)
+        if args.output:
+            judged_rows.write.mode("overwrite").json(f"{args.output}/detailed_results")
+            judged_rows = spark.read.schema(judged_rows.schema).json(f"{args.output}/detailed_results")
+            summary = rates(judged_rows) if args.criteria else judging.ranking_report(judged_rows, args.task, *names, time.monotonic() - began)
+            summary.coalesce(1).write.mode("overwrite").json(f"{args.output}/summary")
+        print(f"A: {names[0]}, B: {names[1]}")
+        print(report.grid([r.asDict() for r in rates(judged_rows).collect()]))
         return 0
     bench = Benchmark(spark, config, args.output)
     rows = bench.run(listed(args.models), listed(args.datasets), listed(args.evaluators)).collect()
     if rows:
+        bench.save_summary()
         print(report.grid([r.asDict() for r in rows]))
     return 0
 
 
-def compare(spark, path_a: str, path_b: str, verdicts: str):
-    """Win rates by category, with an OVERALL row, of the ids that both prediction files have; verdicts: JSON lines of id and verdict."""
+def compare(a, b, judge, task: str = "video description", criteria: list[str] | None = None):
+    """Verdicts on the ids that two tables of predictions share, and what sums them up: win rates by category with an OVERALL row; with criteria, a generic judge's counts by category."""
     from pyspark.sql import functions as F
 
-    from scorelake.functions import jsons
+    from scorelake import judged
 
-    a, b = (judging.latest(loaders.predictions(spark, p).select("id", "pos", "source", F.get("prediction", 0).alias("text")), "id", ["pos"]) for p in (path_a, path_b))
-    pairs = judging.common(a, b)
-    if pairs.isEmpty():
+    sides = [p.select("id", "pos", "source", F.get("prompt", 0).alias("question"), F.get("prediction", 0).alias("text")) for p in (a, b)]
+    if judging.common(*(judging.latest(p, "id", ["pos"]).select("id", "text") for p in sides)).isEmpty():
         raise ValueError("the files have no id in common")
-    pairs = judging.screened(pairs.select("id", F.coalesce("a.source", F.lit("unknown")).alias("category"), F.col("a.text").alias("response_a"), F.col("b.text").alias("response_b")))
-    replies = spark.read.schema("id string, verdict string").json(verdicts)
-    judged = adapters.Recorded(replies, ["id"], "verdict").answer(pairs).withColumn("v", jsons.verdict(F.col("reply")))
-    rows = judged.select("category", F.when(F.col("skipped"), "skipped").otherwise(F.col("v.winner")).alias("winner"), (~F.col("skipped") & (F.col("v.status") == "ok")).alias("success"))
-    return judging.win_rates_by_category(rows)
+    if criteria:
+        return judged.compared(*sides, judge, criteria), lambda rows: judging.pairwise_stats(rows, "category")
+    return judged.ranked(*(p.drop("question") for p in sides), judge, task), judging.win_rates_by_category
 
 
 if __name__ == "__main__":

@@ -27,7 +27,7 @@ class Named:
 class Config:
     models: dict[str, Named] = field(default_factory=lambda: {"echo": Named("echo", "rule"), "http": Named("http", "http")})
     datasets: dict[str, DatasetSpec] = field(default_factory=lambda: {t: DatasetSpec(t, name=t) for t in ("capability", "dream-1k", "etbench-captioning", "video-hallucer", "event-hallusion", "perception-test", "test50-camera", "test50-dense", "tvbench", "tomato")})
-    evaluators: dict[str, Named] = field(default_factory=lambda: {t: Named(t, t) for t in ("bleu", "rouge", "cider", "dsg", "video-hallucer", "event-hallusion", "perception-test", "tomato", "tvbench", "etbench")})
+    evaluators: dict[str, Named] = field(default_factory=lambda: {t: Named(t, t) for t in ("bleu", "rouge", "cider", "dsg", "video-hallucer", "event-hallusion", "event-hallusion-judged", "perception-test", "tomato", "tvbench", "etbench", "autodq", "etva", "test-50-ranking", "test50-dense-ranking", "pairwise")})
     logging: dict[str, Any] = field(default_factory=lambda: {"level": "INFO", "file": None})
 
     def merged(self, data: dict[str, Any]) -> Config:

@@ -1,4 +1,7 @@
-"""Evaluators by name: from samples with predictions to rows (task, source, metric, value), and per-sample rows where there are any."""
+"""Evaluators by name: from samples with predictions to rows (task, source, metric, value).
+
+Those of JUDGED also get a judge, an adapter, and the evaluator's settings; MAIN names the metric that stands for an evaluator in a summary.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake import judged
 from scorelake.functions import parse, text
 from scorelake.functions.temporal import f1, ratio
-from scorelake.operators import answers, captions, dense, grounding
+from scorelake.operators import answers, captions, dense, events, grounding, judging
 from scorelake.schema import canonical
+from scorelake.sources import loaders
 
 RESULT = "task string, source string, metric string, value double"
 
@@ -104,9 +109,12 @@ def _captioning(samples: DataFrame) -> DataFrame:
 
 
 def et_bench(samples: DataFrame) -> DataFrame:
-    """Grounding tasks by their codes, choices by letter, dense captions by intervals and similarity, and the overall mean."""
+    """Grounding tasks by their codes, choices by letter or else by similarity with the options, dense captions by intervals and similarity, and the overall mean.
+    An answer is the stored one, or else the first prediction."""
     rows = samples.filter((F.coalesce("task", F.lit("")) != "") & (F.coalesce("source", F.lit("")) != ""))
-    read = rows.select("task", "source", parse.time_spans(F.col("answer_text")).alias("pred"), F.flatten("gt_segments").alias("gold"), parse.first_number(F.col("answer_text")).alias("number"), parse.choice(F.col("answer_text"), F.get(F.array(*map(F.lit, "abcde")), F.col("reference_idx"))).alias("outcome"))
+    rows = canonical(rows).withColumn("answer_text", F.coalesce("answer_text", _text("prediction")))
+    chosen = (F.col("answer_text"), F.get(F.array(*map(F.lit, parse.LETTERS)), F.col("reference_idx")), F.col("options"), captions.hashed_similarity)
+    read = rows.select("task", "source", parse.time_spans(F.col("answer_text")).alias("pred"), F.flatten("gt_segments").alias("gold"), parse.first_number(F.col("answer_text")).alias("number"), F.when(F.col("task") == "gvq", parse.leading_choice(*chosen)).otherwise(parse.choice(*chosen)).alias("outcome"))
     of = lambda *tasks: read.filter(F.col("task").isin(*tasks))
     plans = [
         ("referring", answers.choice_accuracy(of("rar", "eca", "rvq").withColumn("task", F.concat_ws("\x1f", "task", "source")), "task").select(F.split("task", "\x1f")[0].alias("task"), F.split("task", "\x1f")[1].alias("source"), "acc"), "acc"),
@@ -121,17 +129,101 @@ def et_bench(samples: DataFrame) -> DataFrame:
     return every.select("task", "source", "metric", "value").union(total)
 
 
+def _described(samples: DataFrame) -> DataFrame:
+    """(id, source, prediction, reference, events) for a judge of descriptions."""
+    return canonical(samples).select("id", "source", _text("prediction").alias("prediction"), F.coalesce(_text("reference_text"), "ground_truth").alias("reference"), "events")
+
+
+def autodq(samples: DataFrame, judge, settings: dict) -> DataFrame:
+    """Recall, precision and F1 of described events by source, and over all."""
+    rows = judged.autodq(_described(samples), judge)
+    whole = F.col("source") == events.OVERALL
+    named = rows.select(F.when(~whole, "source").alias("task"), F.when(~whole, F.col("source")).alias("source"), *[c for c in rows.columns if c != "source"])
+    return _rows(named, ["recall", "precision", "f1", "success", "failed"], "task", "source")
+
+
+def direct(samples: DataFrame, judge, settings: dict) -> DataFrame:
+    """A judge's number for each sample: mean, deviation and count."""
+    return _summary(judged.direct_score(_described(samples), judge), "score")
+
+
+def scene_questions(samples: DataFrame, judge, settings: dict) -> DataFrame:
+    """Yes, no and unclear answers to questions made from each sample's description: its reference is described, and the model's words are what is asked."""
+    described = canonical(samples).select("id", _text("prediction").alias("description")).filter(F.coalesce(F.trim("description"), F.lit("")) != "")
+    own = judged.scene_score(described, judge, settings.get("vlm_adapter") or judge)
+    total = answers.rates(own.agg(F.count("*").alias("samples"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "answered", "n_yes", "n_no", "n_unclear")]))
+    return _rows(total, ["samples", "total", "answered", "n_yes", "n_no", "n_unclear", "yes_rate", "no_rate", "clarity"])
+
+
+def _sides(samples: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """Both models' texts (id, pos, source, question, text): of predictions_a, or else the samples, and of predictions_b."""
+    if not settings.get("predictions_b"):
+        raise ValueError("a comparison needs predictions_b, the path of the other model's predictions")
+    held = lambda key: loaders.predictions(samples.sparkSession, settings[key]) if settings.get(key) else samples
+    told = lambda rows: canonical(rows).select("id", "pos", F.coalesce("source", "task").alias("source"), _text("prompt").alias("question"), _text("prediction").alias("text"))
+    return told(held("predictions_a")), told(held("predictions_b"))
+
+
+def ranking(task: str) -> Callable[[DataFrame, object, dict], DataFrame]:
+    def evaluate(samples: DataFrame, judge, settings: dict) -> DataFrame:
+        """Win rates over all pairs and by category."""
+        a, b = _sides(samples, settings)
+        verdicts = judged.ranked(a, b, judge, settings.get("task", task))
+        whole = judging.win_rates(verdicts)
+        by = judging.win_rates_by_category(verdicts).filter(F.col("category") != judging.OVERALL)
+        return _rows(whole, ["total", "valid", "errors", "a_wins", "b_wins", "ties", "win_rate_a", "win_rate_b", "tie_rate"]).union(_rows(by, ["total", "a_wins", "b_wins", "ties", "a_rate", "b_rate", "tie_rate"], "category"))
+
+    return evaluate
+
+
+def pairwise(samples: DataFrame, judge, settings: dict) -> DataFrame:
+    """Counts, rates and mean confidence of a generic judge's comparisons by criteria."""
+    a, b = _sides(samples, settings)
+    verdicts = judged.compared(a, b, judge, settings.get("criteria") or CRITERIA, settings.get("template"))
+    return _rows(judging.pairwise_stats(verdicts), ["total", "a_wins", "b_wins", "ties", "a_rate", "b_rate", "tie_rate", "mean_confidence"])
+
+
+def judged_event_hallucination(samples: DataFrame, judge, settings: dict) -> DataFrame:
+    """event_hallucination with the last questions, the descriptions, judged."""
+    told = judged.described(canonical(samples), judge)
+    return event_hallucination(samples, told.select("task", F.when(F.col("matched"), "yes").otherwise("no").alias("reply")))
+
+
+CRITERIA = ["accuracy", "completeness", "clarity"]
 EVALUATORS: dict[str, Callable[..., DataFrame]] = {
-    "bleu": bleu, "rouge": rouge, "cider": cider, "dsg": scene_graph, "video-hallucer": hallucination, "event-hallusion": event_hallucination, "perception-test": perception, "tomato": tomato, "tvbench": tvbench, "etbench": et_bench,
+    "bleu": bleu, "rouge": rouge, "cider": cider, "dsg": scene_graph, "davidsonian-sg": scene_graph, "davidsonian-scene-graph": scene_graph, "video-hallucer": hallucination, "event-hallusion": event_hallucination, "perception-test": perception, "tomato": tomato, "tvbench": tvbench, "etbench": et_bench,
+}
+JUDGED: dict[str, Callable[[DataFrame, object, dict], DataFrame]] = {
+    "autodq": autodq, "autodq-direct": direct, "etva": scene_questions, "test-50-ranking": ranking("camera movement"), "test50-ranking": ranking("camera movement"), "test-50-dense-ranking": ranking("dense video description"), "test50-dense-ranking": ranking("dense video description"),
+    "pairwise-ranking": pairwise, "pairwise": pairwise, "event-hallusion-judged": judged_event_hallucination,
+}
+MAIN = {
+    "bleu": "bleu", "rouge": "rougel", "cider": "cider", "dsg": "scene", "davidsonian-sg": "scene", "davidsonian-scene-graph": "scene", "video-hallucer": "both", "event-hallusion": "acc", "event-hallusion-judged": "acc", "perception-test": "acc", "tomato": "acc", "tvbench": "acc", "etbench": "OVERALL",
+    "autodq": "f1", "autodq-direct": "score", "etva": "clarity", "test-50-ranking": "win_rate_a", "test50-ranking": "win_rate_a", "test-50-dense-ranking": "win_rate_a", "test50-dense-ranking": "win_rate_a", "pairwise-ranking": "a_rate", "pairwise": "a_rate",
 }
 
 
-def register(name: str, evaluate: Callable[[DataFrame], DataFrame]) -> None:
-    EVALUATORS[name.lower().replace("_", "-")] = evaluate
+def _key(name: str) -> str:
+    return name.lower().replace("_", "-")
+
+
+def register(name: str, evaluate: Callable[[DataFrame], DataFrame], main: str | None = None) -> None:
+    EVALUATORS[_key(name)] = evaluate
+    if main:
+        MAIN[_key(name)] = main
 
 
 def evaluator_for(name: str, type: str | None = None) -> Callable[..., DataFrame]:
     for key in (type, name):
-        if key and (found := EVALUATORS.get(key.lower().replace("_", "-"))):
+        if key and (found := EVALUATORS.get(_key(key))):
             return found
-    raise KeyError(f"no evaluator {name!r}; known: {', '.join(sorted(EVALUATORS))}")
+    raise KeyError(f"no evaluator {name!r}; known: {', '.join(sorted(EVALUATORS | JUDGED))}")
+
+
+def judged_evaluator(name: str, type: str | None = None) -> Callable[[DataFrame, object, dict], DataFrame] | None:
+    """The evaluator that needs a judge, if the type, or else the name, is one's."""
+    return next((JUDGED[_key(key)] for key in (type, name) if key and _key(key) in JUDGED), None)
+
+
+def main_metric(name: str, type: str | None = None) -> str | None:
+    return next((MAIN[_key(key)] for key in (type, name) if key and _key(key) in MAIN), None)

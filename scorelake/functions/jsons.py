@@ -72,3 +72,8 @@ def pairwise(text: Column) -> Column:
         )
 
     return _once(strip_fences(text), lambda body: _once(F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, PAIRWISE)), checked))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and without white space between values; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))

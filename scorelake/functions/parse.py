@@ -5,12 +5,14 @@ A number is digits, dots and digits; text of that form that is no number (two do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelake.functions.temporal import SEGMENT, segment
 
-# The phrase before a choice, the words that announce times, and the seconds around a single time.
+# The phrase before a choice, the words that announce times, the seconds around a single time, and the patterns of numbers and ranges.
 CHOICE_PHRASE = "best option:"
 TIME_WORDS = ["starts", "ends", "happens in", "start time", "end time"]
 RADIUS = 20
@@ -26,19 +28,56 @@ def bracketed_letter(text: Column) -> Column:
 
 def leading_letter(text: Column) -> Column:
     """The letter before any `.`, `,`, space or `)` at the start of an answer (or its only one), lower case; `` for a blank answer, else null."""
-    low = F.lower(text)
-    rest = F.when(low.startswith(CHOICE_PHRASE), F.substring(low, F.lit(len(CHOICE_PHRASE) + 1), F.length(low))).otherwise(low)
-    rest = F.regexp_replace(rest, r"^\s*\(*\s*", "")
+    rest = _bare(text)
     alone = (F.length(rest) == 1) | F.substring(rest, 2, 1).isin(".", ",", " ", ")")
     return F.when(rest == "", "").when(alone, F.substring(rest, 1, 1))
 
 
-def choice(text: Column, gold: Column) -> Column:
-    """struct(hit, failed) of a choice against a letter: by the bracketed letter, or else the leading one; blank answers and those with neither fail."""
+LETTERS = "abcde"
+
+
+def option_lines(options: Column) -> Column:
+    """Options as they stand in a question: `(A) text`; a pair, written as a JSON list of two, as `a - b`."""
+    plain = lambda o: F.regexp_replace(o, r"^\s*\[\s*\"?([^,\"]*?)\"?\s*,\s*\"?([^,\"]*?)\"?\s*\]\s*$", "$1 - $2")
+    return F.transform(options, lambda o, i: F.concat(F.lit("("), F.substring(F.lit(LETTERS.upper()), (i + 1).cast("int"), F.lit(1)), F.lit(") "), plain(o)))
+
+
+def likest(text: Column, options: Column, similarity: Callable[[Column, Column], Column]) -> Column:
+    """The letter of the option most similar to a text, the first among equals; null without options."""
+    scored = F.transform(option_lines(options), lambda o, i: F.struct(similarity(text, o).alias("sim"), (-i).alias("i")))
+    return F.when(F.size(options) > 0, F.substring(F.lit(LETTERS), (1 - F.array_max(scored)["i"]).cast("int"), F.lit(1)))
+
+
+def _bare(text: Column) -> Column:
+    """An answer without its phrase, and without brackets and white space at its start."""
+    low = F.lower(text)
+    rest = F.when(low.startswith(CHOICE_PHRASE), F.substring(low, F.lit(len(CHOICE_PHRASE) + 1), F.length(low))).otherwise(low)
+    return F.regexp_replace(rest, r"^\s*\(*\s*", "")
+
+
+def choice(text: Column, gold: Column, options: Column | None = None, similarity: Callable[[Column, Column], Column] | None = None) -> Column:
+    """struct(hit, failed) of a choice against a letter: by the bracketed letter, or else the leading one, or else, with options and a similarity, by the option most similar to the answer.
+    Blank answers fail, and those with neither letter; these may still be hits by similarity."""
     first, second = bracketed_letter(text), leading_letter(text)
     hit = F.coalesce(first == gold, F.lit(False)) | F.coalesce((second == gold) & (second != ""), F.lit(False))
-    blank = F.coalesce(second == "", F.lit(False))
+    blank = F.coalesce(second == "", F.lit(False)) | text.isNull()
     failed = ~hit & (blank | (first.isNull() & second.isNull()))
+    if options is not None and similarity is not None:
+        hit = hit | (~blank & F.coalesce(likest(_bare(text), options, similarity) == gold, F.lit(False)))
+    return F.struct(hit.alias("hit"), failed.alias("failed"))
+
+
+def leading_choice(text: Column, gold: Column, options: Column | None = None, similarity: Callable[[Column, Column], Column] | None = None) -> Column:
+    """struct(hit, failed) of a choice that is read at the start of an answer alone: a letter of an option decides there, right or wrong; other answers go by similarity, if there is one.
+    Blank answers fail, and, without a similarity, those without a letter. Without options there are four letters."""
+    letter = leading_letter(text)
+    n = F.lit(4) if options is None else F.coalesce(F.when(F.size(options) > 0, F.size(options)), F.lit(4))
+    known = F.coalesce((letter != "") & (F.instr(F.lit(LETTERS), letter) > 0) & (F.instr(F.lit(LETTERS), letter) <= n), F.lit(False))
+    blank = F.coalesce(letter == "", F.lit(False)) | text.isNull()
+    hit, failed = known & F.coalesce(letter == gold, F.lit(False)), blank | ~known
+    if options is not None and similarity is not None:
+        like = likest(_bare(text), options, similarity)
+        hit, failed = F.when(known | blank, hit).otherwise(F.coalesce(like == gold, F.lit(False))), blank | (~known & like.isNull())
     return F.struct(hit.alias("hit"), failed.alias("failed"))
 
 
@@ -62,15 +101,23 @@ def _paired(numbers: Column) -> Column:
     return F.when(n > 0, many).otherwise(F.array().cast(f"array<{SEGMENT}>"))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def time_spans(text: Column) -> Column:
     """Intervals of an answer: all of the form `a - b`, or else `a to b`, or else the numbers of sentences with a word of time, in twos. Null if there are none or one is no number."""
-    low = F.lower(text)
-    dashes, tos = _all(low, DASH), _all(low, TO)
-    told = F.filter(F.split(low, r"[!?\n]"), lambda s: F.exists(F.array(*map(F.lit, TIME_WORDS)), lambda w: F.contains(s, w)))
-    numbers = F.flatten(F.transform(told, lambda s: F.regexp_extract_all(s, F.lit(r"\b(\d+\.\d+\b|\b\d+)\b"), F.lit(1))))
-    found = F.when(F.size(dashes) > 0, dashes).when(F.size(tos) > 0, tos).otherwise(_paired(numbers))
-    broken = F.exists(found, lambda s: s["start"].isNull() | s["end"].isNull())
-    return F.when((F.size(found) > 0) & ~broken, found)
+
+    def told(low: Column) -> Column:
+        timed = F.filter(F.split(low, r"[!?\n]"), lambda s: F.exists(F.array(*map(F.lit, TIME_WORDS)), lambda w: F.contains(s, w)))
+        return _once(F.flatten(F.transform(timed, lambda s: F.regexp_extract_all(s, F.lit(r"\b(\d+\.\d+\b|\b\d+)\b"), F.lit(1)))), _paired)
+
+    def read(low: Column) -> Column:
+        return _once(_all(low, DASH), lambda dashes: F.when(F.size(dashes) > 0, dashes).otherwise(_once(_all(low, TO), lambda tos: F.when(F.size(tos) > 0, tos).otherwise(told(low)))))
+
+    whole = lambda found: F.when((F.size(found) > 0) & ~F.exists(found, lambda s: s["start"].isNull() | s["end"].isNull()), found)
+    return _once(F.lower(text), lambda low: F.when(low.isNotNull(), _once(read(low), whole)))
 
 
 def _trimmed(caption: Column) -> Column:

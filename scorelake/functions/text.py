@@ -133,3 +133,8 @@ def is_filtered(text: Column) -> Column:
 
 def audit_filtered(text: Column) -> Column:
     return F.coalesce(F.contains(text, F.lit(AUDIT_MARKS[0])) | F.contains(F.lower(text), F.lit(AUDIT_MARKS[1])), F.lit(False))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The first so many characters, for display."""
+    return F.substring(text, 1, most)

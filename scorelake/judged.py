@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.adapters import events_prompt, ranking_prompt, relations_prompt
-from scorelake.functions import jsons, text
+from scorelake.adapters import events_prompt, pairwise_prompt, ranking_prompt, relations_prompt, score_prompt
+from scorelake.functions import jsons, parse, text
 from scorelake.operators import answers, events, judging
 
 
@@ -60,11 +60,25 @@ def ranked(a: DataFrame, b: DataFrame, judge, task: str = "video description") -
     return done.union(skipped)
 
 
+def compared(a: DataFrame, b: DataFrame, judge, criteria: list[str], template: str | None = None) -> DataFrame:
+    """(id, category, winner, confidence, reasoning, status) by a generic judge, for the ids that both predictions (id, pos, source, question, text) have."""
+    pairs = judging.common(judging.latest(a, "id", ["pos"]), judging.latest(b, "id", ["pos"]))
+    pairs = pairs.select("id", F.coalesce("a.source", F.lit("unknown")).alias("category"), F.col("a.question").alias("question"), F.col("a.text").alias("response_a"), F.col("b.text").alias("response_b"))
+    told = _asked(judge, pairs, pairwise_prompt(F.col("response_a"), F.col("response_b"), F.col("question"), criteria, template), "told")
+    return told.select("id", "category", jsons.pairwise(F.col("told")).alias("v")).select("id", "category", "v.*")
+
+
+def direct_score(samples: DataFrame, judge) -> DataFrame:
+    """(id, score): the first number of a judge's reply, held between 0 and 1; 0 where there is none. samples: id, prediction, reference."""
+    told = _asked(judge, samples.select("id", "prediction", "reference"), score_prompt(F.col("prediction"), F.col("reference")), "told")
+    return told.select("id", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), parse.first_number(F.col("told")))), F.lit(0.0)).alias("score"))
+
+
 def scene_graph(samples: DataFrame, writer) -> DataFrame:
     """samples (id, description) with graph: lines `entity`, then attributes `entity | attribute | value`, then relations `id | entity | relation | entity`, asked for in this order."""
     ask = lambda what: F.concat(F.lit(what), F.col("description"))
     rows = _asked(writer, samples, ask("Name the background, the camera and each entity of this description, one to a line, as `id | entity`.\n\n"), "entities")
-    rows = _asked(writer, rows, F.concat(F.lit("Give the attributes of these entities, one to a line, as `entity | attribute | value`; say `no mention` for those without any.\n\n"), F.col("entities"), F.lit("\n\n"), F.col("description")), "attributes")
+    rows = _asked(writer, rows, F.concat(F.lit("Give the attributes of these entities, one to a line, as `entity | attribute | value`; say `no mention` for those without any.\n\n"), F.col("entities"), F.lit("\n\nAll entities: "), answers.entity_names(F.col("entities")), F.lit("\n\n"), F.col("description")), "attributes")
     rows = _asked(writer, rows, F.concat(F.lit("Give the relations between these entities, one to a line, as `id | entity | relation | entity`.\n\n"), F.col("entities"), F.lit("\n\n"), F.col("description")), "relations")
     return rows.withColumn("graph", F.concat_ws("\n", "entities", "attributes", "relations")).drop("entities", "attributes", "relations")
 

@@ -26,9 +26,13 @@ def pair_accuracy(rows: DataFrame, by: str = "task") -> DataFrame:
     return marked.groupBy(by).agg(F.count("*").alias("n"), share(F.col("basic_hit")).alias("basic"), share(F.col("halluc_hit")).alias("halluc"), share(F.col("basic_hit") & F.col("halluc_hit")).alias("both"))
 
 
+def _fine(rows: DataFrame) -> DataFrame:
+    return rows.filter("error is null") if "error" in rows.columns else rows
+
+
 def macro(rows: DataFrame, *columns: str) -> DataFrame:
-    """Unweighted means of columns over rows of tasks; a null counts as 0."""
-    return rows.agg(F.count("*").alias("tasks"), *[F.round(F.avg(F.coalesce(F.col(c), F.lit(0.0))), 5).alias(c) for c in columns])
+    """Unweighted means of columns over rows of tasks; a null counts as 0. Tasks with an error, if rows have such a column, take no part."""
+    return _fine(rows).agg(F.count("*").alias("tasks"), *[F.round(F.avg(F.coalesce(F.col(c), F.lit(0.0))), 5).alias(c) for c in columns])
 
 
 def prefix_accuracy(rows: DataFrame, by: str = "task") -> DataFrame:
@@ -39,8 +43,8 @@ def prefix_accuracy(rows: DataFrame, by: str = "task") -> DataFrame:
 
 
 def micro(rows: DataFrame, correct: str = "correct", total: str = "total") -> DataFrame:
-    """Sums over tasks and their ratio."""
-    summed = rows.agg(F.sum(correct).alias("correct"), F.sum(total).alias("total"))
+    """Sums over tasks and their ratio; tasks with an error, if rows have such a column, take no part."""
+    summed = _fine(rows).agg(F.sum(correct).alias("correct"), F.sum(total).alias("total"))
     return summed.withColumn("acc", F.round(ratio(F.col("correct"), F.col("total")), 5))
 
 
@@ -63,30 +67,36 @@ def scene_answers(rows: DataFrame, by: str) -> DataFrame:
     """By sample: questions, those answered, yes, no and unclear, with rates over all; clarity is the share of yes and no. rows has status and raw_answer."""
     read = rows.withColumn("said", F.when(F.col("status") == "success", text.yes_no(F.col("raw_answer"))))
     counts = read.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("answered"), F.count_if(F.col("said")).alias("n_yes"), F.count_if(~F.col("said")).alias("n_no"))
-    return _rates(counts.withColumn("n_unclear", F.col("answered") - F.col("n_yes") - F.col("n_no")))
+    return rates(counts.withColumn("n_unclear", F.col("answered") - F.col("n_yes") - F.col("n_no")))
 
 
 def scene_overall(rows: DataFrame, by: str) -> DataFrame:
     own = scene_answers(rows, by)
-    return _rates(own.agg(F.count("*").alias("samples"), *[F.sum(c).alias(c) for c in ("total", "answered", "n_yes", "n_no", "n_unclear")]))
+    return rates(own.agg(F.count("*").alias("samples"), *[F.sum(c).alias(c) for c in ("total", "answered", "n_yes", "n_no", "n_unclear")]))
 
 
-def _rates(counts: DataFrame) -> DataFrame:
+def rates(counts: DataFrame) -> DataFrame:
     share = lambda c: F.round(ratio(c, F.col("total")), 4)
     return counts.withColumns({"yes_rate": share(F.col("n_yes")), "no_rate": share(F.col("n_no")), "clarity": share(F.col("n_yes") + F.col("n_no"))})
 
 
 def scene_questions(lines: Column) -> Column:
     """Questions of a scene graph's text: its lines with a pipe, without those that mention nothing, one each, first come first."""
-    piped = F.filter(F.split(lines, "\n"), lambda x: F.contains(x, F.lit("|")) & ~F.contains(F.lower(x), F.lit("no mention")))
-    return F.array_distinct(F.transform(piped, F.trim))
+    return F.array_distinct(F.transform(F.filter(piped_lines(lines), lambda x: ~F.contains(F.lower(x), F.lit("no mention"))), F.trim))
+
+
+def piped_lines(lines: Column) -> Column:
+    return F.filter(F.split(lines, "\n"), lambda x: F.contains(x, F.lit("|")))
+
+
+def entity_names(lines: Column) -> Column:
+    """The entities of a scene graph's first lines, `id | entity`, comma-joined: what stands after the first pipe, but for the first two lines, which are background and camera."""
+    named = F.slice(piped_lines(lines), F.lit(3), F.greatest(F.lit(0), F.size(piped_lines(lines)) - 2))
+    return F.array_join(F.transform(named, lambda x: F.trim(F.get(F.split(x, r"\|"), 1))), ", ")
 
 
 def nearest_option(rows: DataFrame, vector: str, options: DataFrame, option_id: str, option_vector: str) -> DataFrame:
-    """rows with the option of the largest dot product, the first by id among equals. options is a table of few rows: its size is checked."""
-    few = options.limit(10_001).count()
-    if few > 10_000:
-        raise ValueError("more than 10000 options: use an index")
+    """rows with the option of the largest dot product, the first by id among equals. options is one question's: they are held in one row, in the order of their ids."""
     listed = options.agg(F.sort_array(F.collect_list(F.struct(F.col(option_id).alias("i"), F.col(option_vector).alias("v")))).alias("options"))
     scored = rows.join(F.broadcast(listed)).withColumn("best", F.array_max(F.transform("options", lambda o: F.struct(F.round(dot(F.col(vector), o["v"]), 9).alias("sim"), (-o["i"]).alias("i")))))
     return scored.drop("options").withColumns({"choice": (-F.col("best.i")).cast("int"), "sim": F.col("best.sim")}).drop("best")

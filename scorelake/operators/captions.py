@@ -1,7 +1,7 @@
 """Scores of texts against references by bags of n-grams.
 
-Bags are tables (key, n, gram, count) made by an explode and one aggregation with partial sums, so a text of any length
-takes no memory of its own, and all scores of a pair share one join of both bags.
+Words and n-grams are 64-bit hashes. A pair's texts are shuffled once, by its key; both sides' n-grams of all orders are exploded and counted in the
+partition where their key is, so nothing but sums leaves it, and a text of any length takes no memory of its own.
 """
 
 from __future__ import annotations
@@ -21,26 +21,52 @@ def tokens(column: str) -> Column:
     return text.words(text.normalise(F.col(column)))
 
 
-def bags(rows: DataFrame, key: str, column: str, orders: tuple[int, ...]) -> DataFrame:
-    """(key, n, gram, count) of the n-grams of a text column, for each order n."""
-    held = rows.select(key, tokens(column).alias("w"))
-    each = held.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), text.ngrams(F.col("w"), n).alias("g")) for n in orders])).alias("x"))
-    return each.select(key, F.col("x.n").alias("n"), F.explode("x.g").alias("gram")).groupBy(key, "n", "gram").agg(F.count("*").alias("count"))
+def _hashed(column: str) -> Column:
+    return F.transform(tokens(column), lambda w: F.xxhash64(w))
+
+
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of the n-grams of hashed words."""
+    if n == 1:
+        return words
+    many = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))
+    return F.when(F.size(words) >= n, many).otherwise(F.array().cast("array<long>"))
+
+
+def _by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows by the last of keys, in as many partitions as shuffles have: their n-grams are many times their texts, so few large partitions wouldn't do."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys[-1:])
+
+
+def bags(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+    """(keys, n, gram, c, r): how often each n-gram stands in the candidates and in the references of a key, for each order n; and for each key a row of order 0, without a gram, so that keys without words are there."""
+    held = _by_key(rows.select(*keys, candidate, reference), keys).select(*keys, _hashed(candidate).alias("a"), _hashed(reference).alias("b"))
+    part = lambda n, side, grams: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams.alias("grams"))
+    parts = F.array(part(0, 0, F.array(F.lit(0).cast("long"))), *[part(n, i, _grams(F.col(side), n)) for n in orders for i, side in enumerate("ab")])
+    each = held.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.n", "x.side", F.explode("x.grams").alias("gram"))
+    return each.groupBy(*keys, "n", "gram").agg(F.sum(1 - F.col("side")).alias("c"), F.sum("side").alias("r"))
 
 
 def matches(rows: DataFrame, key: str, candidate: str, reference: str, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(key, n, matched (clipped), n_candidate, n_reference) of both texts' n-grams, a row for each order that either has."""
-    a = bags(rows, key, candidate, orders).select(key, "n", "gram", F.col("count").alias("c"), F.lit(0).cast("long").alias("r"))
-    b = bags(rows, key, reference, orders).select(key, "n", "gram", F.lit(0).cast("long").alias("c"), F.col("count").alias("r"))
-    met = a.union(b).groupBy(key, "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    return met.groupBy(key, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))
+    return _counted(rows, [key], candidate, reference, orders).filter("n > 0")
+
+
+def _counted(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+    met = bags(rows, keys, candidate, reference, orders)
+    return met.groupBy(*keys, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))
+
+
+def _wide(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each key: matched1, n_candidate1, ... of the orders up to 4; 0 where there is none."""
+    return counted.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in (1, 2, 3, 4) for c in ("matched", "n_candidate", "n_reference")])
 
 
 def bleu(rows: DataFrame, key: str, candidate: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, bleu): sentence BLEU of up to 4-grams. Orders without a match count 1 / (2^j * 5 / ln c) matches, for the j-th such order and c > 1 words of the
     candidate; 0 without a common word. Rows with a null side are left out; an empty side gives 0."""
     kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull())
-    wide = matches(kept, key, candidate, reference).groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in (1, 2, 3, 4) for c in ("matched", "n_candidate", "n_reference")])
+    wide = _wide(_counted(kept, [key], candidate, reference, (1, 2, 3, 4)), [key])
     c, r = F.col("n_candidate1"), F.col("n_reference1")
     zeros = F.lit(0)
     logs = F.lit(0.0)
@@ -51,14 +77,13 @@ def bleu(rows: DataFrame, key: str, candidate: str = "prediction", reference: st
         logs = logs + F.ln(F.when(own > 0, own.cast("double")).otherwise(smoothed) / total) / 4
     penalty = F.when(c > r, 1.0).otherwise(F.exp(1 - r / c))
     score = F.when((F.col("matched1") == 0) | ((c <= 1) & (F.col("matched2") == 0)), 0.0).otherwise(penalty * F.exp(logs))
-    return kept.select(key).join(wide.select(key, F.round(score, 6).alias("bleu")), key, "left").select(key, F.coalesce("bleu", F.lit(0.0)).alias("bleu"))
+    return wide.select(key, F.coalesce(F.round(score, 6), F.lit(0.0)).alias("bleu"))
 
 
 def corpus_bleu(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference") -> DataFrame:
     """(group, bleu_1 to bleu_4): n-gram counts and lengths are summed over a group's pairs; 0 where an order up to k has no match."""
-    pooled = matches(rows, key, candidate, reference).join(rows.select(key, group), key)
-    pooled = pooled.groupBy(group, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "n_candidate", "n_reference")])
-    wide = pooled.groupBy(group).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in (1, 2, 3, 4) for c in ("matched", "n_candidate", "n_reference")])
+    pooled = _counted(rows, [group, key], candidate, reference, (1, 2, 3, 4)).groupBy(group, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "n_candidate", "n_reference")])
+    wide = _wide(pooled, [group])
     c, r = F.col("n_candidate1"), F.col("n_reference1")
     penalty = F.when(c >= r, 1.0).otherwise(F.exp(1 - r / c))
     out, logs, some = [], F.lit(0.0), F.lit(True)
@@ -69,12 +94,14 @@ def corpus_bleu(rows: DataFrame, group: str, key: str, candidate: str = "predict
     return wide.select(group, *out)
 
 
-def rouge_n(rows: DataFrame, key: str, n: int, candidate: str = "prediction", reference: str = "reference") -> DataFrame:
-    """(key, rouge): F-measure of the n-grams of normalised words."""
+def rouge_n(rows: DataFrame, key: str, orders: tuple[int, ...], candidate: str = "prediction", reference: str = "reference") -> DataFrame:
+    """(key, n, rouge): F-measure of the n-grams of normalised words, for each order n; 0 where a side has none."""
     kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull())
-    met = matches(kept, key, candidate, reference, (n,))
-    score = F.round(f1(ratio(F.col("matched"), F.col("n_reference")), ratio(F.col("matched"), F.col("n_candidate"))), 6)
-    return kept.select(key).join(met.select(key, score.alias("rouge")), key, "left").select(key, F.coalesce("rouge", F.lit(0.0)).alias("rouge"))
+    counted = _counted(kept, [key], candidate, reference, orders)
+    held = F.collect_list(F.struct("n", "matched", "n_candidate", "n_reference"))  # a struct for each order
+    each = counted.groupBy(key).agg(held.alias("held")).select(key, F.explode(F.array(*map(F.lit, orders))).alias("n"), "held")
+    found = each.select(key, "n", F.get(F.filter("held", lambda x: x["n"] == F.col("n")), 0).alias("x"))
+    return found.select(key, "n", F.coalesce(F.round(f1(ratio(F.col("x.matched"), F.col("x.n_reference")), ratio(F.col("x.matched"), F.col("x.n_candidate"))), 6), F.lit(0.0)).alias("rouge"))
 
 
 def _stems(value: str) -> list[str]:
@@ -173,9 +200,7 @@ def cider_d(rows: DataFrame, group: str, key: str, candidate: str = "prediction"
     A gram's document frequency counts the group's references that have it."""
     kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(group, key, candidate, reference)
     orders = (1, 2, 3, 4)
-    a = bags(kept, key, candidate, orders).select(key, "n", "gram", F.col("count").alias("c"), F.lit(0).cast("long").alias("r"))
-    b = bags(kept, key, reference, orders).select(key, "n", "gram", F.lit(0).cast("long").alias("c"), F.col("count").alias("r"))
-    met = a.union(b).groupBy(key, "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).join(kept.select(key, group), key)
+    met = bags(kept, [group, key], candidate, reference, orders).filter("n > 0")
     seen = met.groupBy(group, "n", "gram").agg(F.count_if(F.col("r") > 0).alias("df"))
     pairs = kept.groupBy(group).agg(F.count("*").alias("pairs"))
     idf = F.ln(F.col("pairs").cast("double")) - F.ln(F.greatest(F.lit(1), F.col("df")).cast("double"))
@@ -203,15 +228,18 @@ def document_frequency(rows: DataFrame, column: str = "reference") -> DataFrame:
 def cider_lite(rows: DataFrame, key: str, candidate: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, cider): overlap of 4-gram bags, each gram weighted 1 / (1 + df of its first word; 1 if unknown): the sum of the smaller counts over that of the larger."""
     kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull())
-    df = document_frequency(kept, reference)
-    a = bags(kept, key, candidate, (4,)).select(key, "gram", F.col("count").alias("c"), F.lit(0).cast("long").alias("r"))
-    b = bags(kept, key, reference, (4,)).select(key, "gram", F.lit(0).cast("long").alias("c"), F.col("count").alias("r"))
-    met = a.union(b).groupBy(key, "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    df = document_frequency(kept, reference).select(F.xxhash64("word").alias("word"), "df")
+    held = _by_key(kept.select(key, candidate, reference), [key]).select(key, _hashed(candidate).alias("a"), _hashed(reference).alias("b"))
+    grams = lambda words, side: F.transform(F.sequence(F.lit(0), F.size(words) - 4), lambda i: F.struct(F.get(words, i).alias("word"), F.xxhash64(*[F.get(words, i + j) for j in range(4)]).alias("gram"), F.lit(side).alias("side")))
+    some = lambda words, side: F.when(F.size(words) >= 4, grams(words, side)).otherwise(F.array().cast("array<struct<word:bigint,gram:bigint,side:int>>"))
+    # a row without a word, so that texts without grams are there
+    none = F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("side")))
+    each = held.select(key, F.inline(F.concat(none, some(F.col("a"), 0), some(F.col("b"), 1))))
+    met = each.groupBy(key, "word", "gram").agg(F.sum(1 - F.col("side")).alias("c"), F.sum("side").alias("r"))
     # counts of a first word's grams are summed before the words meet their frequencies
-    by_word = met.groupBy(key, F.substring_index("gram", " ", 1).alias("word")).agg(F.sum(F.least("c", "r")).alias("low"), F.sum(F.greatest("c", "r")).alias("high"))
-    weighed = by_word.join(df, "word", "left").withColumn("w", 1.0 / (1 + F.coalesce("df", F.lit(1))))
-    score = weighed.groupBy(key).agg(ratio(F.sum(F.col("low") * F.col("w")), F.sum(F.col("high") * F.col("w"))).alias("cider"))
-    return kept.select(key).join(score, key, "left").select(key, F.round(F.coalesce("cider", F.lit(0.0)), 6).alias("cider"))
+    by_word = met.groupBy(key, "word").agg(F.sum(F.least("c", "r")).alias("low"), F.sum(F.greatest("c", "r")).alias("high"))
+    weighed = by_word.join(df, "word", "left").withColumn("w", F.when(F.col("word").isNotNull(), 1.0 / (1 + F.coalesce("df", F.lit(1)))).otherwise(0.0))
+    return weighed.groupBy(key).agg(F.round(F.coalesce(ratio(F.sum(F.col("low") * F.col("w")), F.sum(F.col("high") * F.col("w"))), F.lit(0.0)), 6).alias("cider"))
 
 
 def scene_scores(rows: DataFrame, key: str, column: str = "prediction") -> DataFrame:

@@ -72,3 +72,19 @@ def throughput(elapsed: float, items: int, sequential_each: float = 5.0) -> dict
     """Seconds per item, items per minute, and speed-up against so many seconds each."""
     each = elapsed / items if items else 0.0
     return {"elapsed": elapsed, "per_item": each, "per_minute": 60 / each if each else 0.0, "speedup": items * sequential_each / elapsed if elapsed else 0.0}
+
+
+def ranking_report(judgments: DataFrame, task: str, name_a: str, name_b: str, elapsed: float, concurrent: int = 1, frames: int = 0) -> DataFrame:
+    """One row for a run of comparisons (winner, success): task, names, time and throughput, win_rates' counts and rates, and how it was run."""
+    n = F.col("total")
+    rows = win_rates(judgments)
+    return rows.select(
+        F.lit(task).alias("task"), F.lit(name_a).alias("model_a"), F.lit(name_b).alias("model_b"), F.lit(elapsed).alias("elapsed_time"), ratio(F.lit(elapsed), n).alias("avg_per_comparison"), ratio(n * 60, F.lit(elapsed)).alias("throughput"),
+        F.col("a_wins").alias("wins_a"), F.col("b_wins").alias("wins_b"), "ties", "errors", "win_rate_a", "win_rate_b", "tie_rate", F.lit(concurrent).alias("concurrent"), F.lit(frames).alias("video_frames"), F.lit(frames > 0).alias("video_aware"),
+    )
+
+
+def save_ranking(judgments: DataFrame, summary: DataFrame, output: str) -> None:
+    """Both as JSON: detailed_results, a line for each comparison, and summary, one line."""
+    judgments.write.mode("overwrite").json(f"{output}/detailed_results")
+    summary.coalesce(1).write.mode("overwrite").json(f"{output}/summary")

@@ -50,3 +50,9 @@ def page(title: str, summary: list[dict], details: list[dict], hidden: tuple[str
         return "<table><tr>" + "".join(cell("th", c) for c in columns) + "</tr>" + "".join("<tr>" + "".join(cell("td", r.get(c, "")) for c in columns) + "</tr>" for r in rows) + "</table>"
 
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{table(summary)}{table(details)}</body></html>"
+
+
+def progress(done: int, total: int, elapsed: float) -> str:
+    """Share done, and about how many seconds are left."""
+    left = elapsed / done * (total - done) if done else 0.0
+    return f"{done}/{total} ({100 * done / total if total else 100.0:.1f} %), {elapsed:.1f} s, about {left:.1f} s left"

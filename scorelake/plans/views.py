@@ -75,8 +75,7 @@ def pairwise_replies(spark: SparkSession, d: str) -> DataFrame:
 def captions(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a prediction, paired with one benchmark item as its reference."""
     items = table(spark, d, "benchmark")
-    n = items.count()
-    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n)
+    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % items.select(F.count("*")).scalar())
     return docs.join(items.withColumnRenamed("text", "reference"), "item_id").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("source"), F.col("text").alias("prediction"), "reference")
 
 
@@ -157,10 +156,14 @@ pairs AS (
     "words": """words AS (
   SELECT sample_id, source, CASE WHEN pn = '' THEN [] ELSE string_split(pn, ' ') END AS p, CASE WHEN rn = '' THEN [] ELSE string_split(rn, ' ') END AS r
   FROM (SELECT sample_id, source, lower(trim(regexp_replace(prediction, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS pn, lower(trim(regexp_replace(reference, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS rn FROM captions)),
+told AS (
+  SELECT sample_id, unnest(p) AS w, unnest(range(len(p))) AS i, 1 AS c, 0 AS f FROM words UNION ALL SELECT sample_id, unnest(r), unnest(range(len(r))), 0, 1 FROM words),
+ahead AS (
+  SELECT sample_id, c, f, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM told WINDOW o AS (PARTITION BY sample_id, c ORDER BY i)),
 grams AS (
   SELECT sample_id, n, gram, sum(c)::BIGINT AS c, sum(f)::BIGINT AS f FROM (
-    SELECT sample_id, n, array_to_string(p[i : i + n - 1], ' ') AS gram, 1 AS c, 0 AS f FROM words, unnest([1, 2, 3, 4]) AS o(n), unnest(range(1, len(p) - n + 2)) AS u(i)
-    UNION ALL SELECT sample_id, n, array_to_string(r[i : i + n - 1], ' '), 0, 1 FROM words, unnest([1, 2, 3, 4]) AS o(n), unnest(range(1, len(r) - n + 2)) AS u(i))
+    SELECT sample_id, 1 AS n, w AS gram, c, f FROM ahead UNION ALL SELECT sample_id, 2, w || ' ' || w2, c, f FROM ahead WHERE w2 IS NOT NULL
+    UNION ALL SELECT sample_id, 3, w || ' ' || w2 || ' ' || w3, c, f FROM ahead WHERE w3 IS NOT NULL UNION ALL SELECT sample_id, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4, c, f FROM ahead WHERE w4 IS NOT NULL)
   GROUP BY 1, 2, 3),
 counts AS (SELECT sample_id, n, sum(least(c, f))::BIGINT AS matched, sum(c)::BIGINT AS nc, sum(f)::BIGINT AS nr FROM grams GROUP BY 1, 2)""",
 }

@@ -49,3 +49,9 @@ def structure(spark: SparkSession, folder: str, annotation: str | None = None) -
     if "images" not in kinds:
         amiss += [("issue", "no image folder", 0), ("suggestion", f"create {folders[0]}", 0)]
     return found.union(spark.createDataFrame(amiss, "kind string, name string, n long"))
+
+
+def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, content binary, encoded string) of the files under a folder: their bytes, and these in base64."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return read.select("path", "content", F.base64("content").alias("encoded"))

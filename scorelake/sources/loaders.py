@@ -257,9 +257,26 @@ def _intervals(column: str) -> Column:
     return F.when(depth == 3, F.transform(three, lambda a: F.transform(a, pair))).when(depth == 2, F.array(F.transform(two, pair))).when(depth == 1, F.array(F.array(pair(one))))
 
 
+def _fields() -> list[list[str]]:
+    return [f.split(":") for f in STORED.removeprefix("struct<").removesuffix(">").replace(" ", "").split(",")]
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Rows of a Parquet table with STORED's columns: lists are written as JSON, as in the other forms, and missing columns are null."""
+    have = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    text = lambda c: F.to_json(c) if have[c].startswith(("array", "struct", "map")) else F.col(c)
+    return rows.select(*[(text(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in _fields()], (F.col("pos").cast("long") if "pos" in have else F.monotonically_increasing_id()).alias("pos"))
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Stored predictions: a JSON list, or one under annotations or data. prompt, prediction and reference may each be a text or a list."""
-    rows = read_wrapped(spark, path, STORED)
+    """Stored predictions: a JSON list, or one under annotations or data, which is one row for one task; or JSON lines (.jsonl) or Parquet, which are split among tasks.
+    prompt, prediction and reference may each be a text or a list. Lines have no order but their file's; pos then grows with it."""
+    if path.rstrip("/").endswith((".jsonl", ".ndjson")):
+        rows = spark.read.schema(", ".join(map(" ".join, _fields()))).json(path).withColumn("pos", F.monotonically_increasing_id())
+    elif path.rstrip("/").endswith(".parquet"):
+        rows = _stored(spark.read.parquet(path))
+    else:
+        rows = read_wrapped(spark, path, STORED)
     made = rows.select(
         F.coalesce("id", "idx").alias("id"), "video_path", "image_path", _texts("prompt").alias("prompt"), _texts("prediction").alias("prediction"), _texts("reference").alias("reference_text"), F.coalesce("p", F.col("reference").try_cast("int")).alias("reference_idx"), "ground_truth",
         _texts("events").alias("events"), F.coalesce(_texts("options"), _texts("o")).alias("options"), F.col("a").alias("answer_text"), _intervals("tgt").alias("gt_segments"), "n_subjects", "n_shots", F.col("duration").alias("duration_raw"), "task", "source", F.col("pos").cast("long").alias("pos"),

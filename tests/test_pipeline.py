@@ -9,6 +9,7 @@ from scorelake.functions import jsons
 from scorelake.functions.porter import stem
 from scorelake.operators import answers, captions, dense, events, grounding, judging, report
 from scorelake.pipeline import Benchmark
+from scorelake.sources import loaders
 from scorelake.streaming.win_rates import windowed
 
 
@@ -59,7 +60,7 @@ def test_adapters(spark):
     def flaky():
         calls.append(1)
         if len(calls) < 3:
-            raise RuntimeError("429 Too Many Requests")
+            raise adapters.ReplyError(429, "later")
         return "done"
 
     assert adapters.with_retries(flaky, sleep=lambda s: None) == "done" and len(calls) == 3
@@ -122,8 +123,25 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "v.json").write_text("\n".join(json.dumps({"id": str(i), "verdict": json.dumps({"winner": "AB"[i % 2]})}) for i in range(1, 6)))
     for name in ("a", "b"):
         (tmp_path / f"{name}.json").write_text(json.dumps([{"id": i, "prediction": "[Content filtered" if i == 5 else name, "source": "x"} for i in range(1, 6 if name == "a" else 7)]))
-    got = {r.category: r for r in cli.compare(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"), str(tmp_path / "v.json")).collect()}
-    assert (got["OVERALL"].a_wins, got["OVERALL"].b_wins, got["OVERALL"].total) == (2, 2, 4)
+    out = tmp_path / "compared"
+    both = ["compare", "--pred-a", str(tmp_path / "a.json"), "--pred-b", str(tmp_path / "b.json")]
+    assert cli.main([*both, "--verdicts", str(tmp_path / "v.json"), "--name-a", "one", "--name-b", "two", "-o", str(out)]) == 0
+    assert "A: one, B: two" in capsys.readouterr().out
+    (summary,) = spark.read.json(str(out / "summary")).collect()
+    assert (summary.model_a, summary.wins_a, summary.wins_b, summary.errors) == ("one", 2, 2, 1) and len(summary.asDict()) == 16
+    assert sorted(r.id for r in spark.read.json(str(out / "detailed_results")).collect()) == ["1", "2", "3", "4", "5"]
+    with pytest.raises(SystemExit):
+        cli.main(both)
+    told = F.lit('{"winner": "Model A", "confidence": 0.5}')
+    adapters.register_model("fair", lambda c: adapters.Rule(lambda rows: F.transform("prompt", lambda p: told) if rows.schema["prompt"].dataType.simpleString().startswith("array") else told))
+    (tmp_path / "c.json").write_text(json.dumps({"models": {"fair": {"type": "fair"}}, "datasets": {"mine": {"type": "capability", "data_path": str(tmp_path)}}}))
+    assert cli.main(["--config", str(tmp_path / "c.json"), *both, "--judge", "fair", "--criteria", "detail", "-o", str(out)]) == 0
+    assert spark.read.json(str(out / "summary")).first().a_wins == 5
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images/a.jpg").write_text("x")
+    (tmp_path / "annotations.json").write_text(json.dumps([{"image": "a.jpg", "caption": "c", "id": "i"}]))
+    assert cli.main(["--config", str(tmp_path / "c.json"), "versus", "echo", "fair", "-d", "mine", "--judge", "fair", "-o", str(out)]) == 0
+    assert spark.read.json(str(out / "summary")).first().model_b == "fair"
 
 
 def test_config(tmp_path):
@@ -245,3 +263,92 @@ def test_false_captions_lower_the_scores(spark):
     # 0.6 of the interval is met: at 0.3 and 0.5 one caption of two is right, above none
     assert sorted(got) == [0.3, 0.5, 0.7, 0.9] and {r.videos for r in got.values()} == {1}
     assert [got[t].sim for t in sorted(got)] == pytest.approx([0.5, 0.5, 0, 0]) and [got[t].bleu_1 for t in sorted(got)] == pytest.approx([0.5, 0.5, 0, 0])
+
+
+def test_retries_by_status():
+    import io
+    from email.message import Message
+    from urllib.error import HTTPError, URLError
+
+    error = lambda code: HTTPError("http://x", code, "no", Message(), io.BytesIO(b"content_filter"))
+    assert [adapters.is_transient(e) for e in (error(429), error(502), error(400), URLError(TimeoutError()), URLError("refused"), ConnectionResetError(), ValueError("429"), adapters.ReplyError(503, ""), adapters.ReplyError(400, ""))] == [True, True, False, True, True, True, False, True, False]
+    refuse = lambda *a: (_ for _ in ()).throw(adapters.ReplyError(400, '{"code": "content_filter"}'))
+    assert adapters.Http("m", post=refuse).ask("x").startswith("[Content filtered")
+    assert adapters.contents("p", [b"ab", "http://f"])[1:] == [{"type": "media", "uri": "data:image/jpeg;base64,YWI="}, {"type": "media", "uri": "http://f"}]
+
+
+def test_batched_model(spark):
+    def make():
+        def model(prompts, media):
+            if "bad" in prompts or len(prompts) > 3:
+                raise RuntimeError("no")
+            return [f"{len(prompts)}:{p}" for p in prompts]
+
+        return model
+
+    frame = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["bad", "e"]), (3, None)], "id long, prompt array<string>").coalesce(1)
+    got = {r.id: r.reply for r in adapters.Batched(make, 3).answer(frame).collect()}
+    assert got == {1: ["3:a", "3:b", "3:c", "1:d"], 2: ["[Error: no]", "1:e"], 3: []}
+
+
+def test_chat_message(spark):
+    frame = spark.createDataFrame([("p", None, "v.mp4", 2.0), ("q", "i.jpg", None, None)], "prompt string, image string, video string, fps double")
+    told = [r.m for r in frame.select(adapters.chat_message(F.col("prompt"), F.col("image"), F.col("video"), F.col("fps")).alias("m")).collect()]
+    assert [[(c.type, c.text, c.uri, c.fps) for c in m.content] for m in told] == [[("video", None, "v.mp4", 2.0), ("text", "p", None, None)], [("image", None, "i.jpg", None), ("text", "q", None, None)]]
+
+
+def test_judged_evaluators(spark, tmp_path):
+    def judge(rows):
+        p = F.col("prompt")
+        found = F.when(p.contains("List the events"), '{"events": ["one", "two"]}').when(p.contains("entails it"), '{"events": [{"event": "one", "relationship": "entailment"}, {"event": "two", "relationship": "contradiction"}]}')
+        found = found.when(p.contains("Decide which is better"), '{"winner": "A"}').when(p.contains("Compare them by"), '{"winner": "Tie", "confidence": 0.4}').when(p.contains("one number from 0 to 1"), "about 1.7").when(p.contains("mention the following"), "yes")
+        return found.when(p.contains("Turn this line"), "Is it so?").when(p.contains("Name the background"), "1 | cat").otherwise("Yes")
+
+    adapters.register_model("ruled", lambda c: adapters.Rule(judge))
+    rows = [{"id": i, "prediction": ["yes", "a cat"], "reference": ["Yes.", "a dog"], "prompt": "what", "source": "s", "task": "t"} for i in range(1, 4)]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "b.json").write_text(json.dumps(rows[:2]))
+    names = ["autodq", "autodq-direct", "etva", "test-50-ranking", "test50-dense-ranking", "pairwise", "event-hallusion-judged"]
+    judged = {n: {"type": n, "judge": "ruled", "predictions_b": str(tmp_path / "b.json")} for n in names}
+    config = Config().merged({"models": {"ruled": {"type": "ruled"}, "m": {"type": "http"}, "missing": {"type": "nowhere"}}, "datasets": {"stored": {"type": "generic", "load_predictions_from_file": str(tmp_path / "p.jsonl")}, "none": {"type": "capability", "data_path": str(tmp_path / "none")}}, "evaluators": judged})
+    bench = Benchmark(spark, config, str(tmp_path / "out"))
+    got = {(r.dataset, r.evaluator, r.task, r.metric): (r.value, r.error) for r in bench.run(["m"], ["stored", "none"], names).collect()}
+    value = lambda *key: got["stored", *key][0]
+    assert value("autodq", None, "recall") == 0.5 and value("autodq", "source", "success") == 3 and value("autodq-direct", None, "score") == 1.0
+    assert value("etva", None, "clarity") == 1.0 and value("test-50-ranking", None, "win_rate_a") == 1.0 and value("test50-dense-ranking", "s", "total") == 2
+    assert value("pairwise", None, "ties") == 2 and value("pairwise", None, "mean_confidence") == 0.4 and value("event-hallusion-judged", None, "description_acc") == 1.0
+    assert all(got["none", n, None, "score"][1] for n in names)  # a dataset that isn't there fails alone
+    row = bench.summary().first().asDict()
+    assert row["stored_autodq"] == "0.5000" and row["stored_pairwise"] == "0.0000" and row["stored_test-50-ranking"] == "1.0000"
+    assert spark.read.json(bench.save_summary()).count() == 1
+
+
+def test_main_metrics(spark, tmp_path):
+    samples = [{"id": i, "prediction": ["no", "no"], "reference": ["yes", "no"], "task": "t", "source": "s"} for i in range(3)]
+    (tmp_path / "p.json").write_text(json.dumps(samples))
+    config = Config().merged({"datasets": {"stored": {"type": "generic", "load_predictions_from_file": str(tmp_path / "p.json")}}})
+    bench = Benchmark(spark, config, str(tmp_path / "out"))
+    found = {(r.evaluator, r.metric): r.value for r in bench.run(["http"], ["stored"], ["video-hallucer", "rouge"]).collect() if r.task is None}
+    row = bench.summary().first().asDict()
+    assert row["stored_video-hallucer"] == f"{found['video-hallucer', 'both']:.4f}" and row["stored_rouge"] == f"{found['rouge', 'rougel']:.4f}"
+
+
+def test_predictions_in_parquet(spark, tmp_path):
+    rows = [("a", ["x", "y"], "r", 3)]
+    spark.createDataFrame(rows, "id string, prediction array<string>, reference string, p int").write.parquet(str(tmp_path / "t.parquet"))
+    (row,) = loaders.predictions(spark, str(tmp_path / "t.parquet")).collect()
+    assert (row.id, row.prediction, row.reference_text, row.reference_idx, row.task) == ("a", ["x", "y"], ["r"], 3, None)
+
+
+def test_choices_by_similarity(spark):
+    segment = [[(0.0, 10.0)]]
+    rows = [
+        ("gvq", "s", "I think it is (B) 0 - 10", segment, 1, ["red car", "blue sky", "tree", "dog"]), ("gvq", "s2", "(C) 0 - 10", segment, 2, ["red car", "blue sky", "tree", "dog"]), ("gvq", "s3", "the blue sky 0 - 10", segment, 1, ["red car", "blue sky", "tree", "dog"]), ("gvq", "s4", "a. 0 - 10", segment, 1, ["a", "b", "c", "d"]),
+        ("rar", "s", "it is the blue sky", None, 1, ["red car", "blue sky"]), ("rar", "s2", "(A) but rather blue sky", None, 1, ["red car", "blue sky"]), ("rar", "s3", "12.0 - 20.0", None, 1, ["[1.0, 2.0]", "[12.0, 20.0]"]), ("rar", "s4", "", None, 1, ["x", "y"]),
+    ]
+    frame = spark.createDataFrame(rows, "task string, source string, answer_text string, gt_segments array<array<struct<start:double,end:double>>>, reference_idx int, options array<string>")
+    got = {(r.task, r.source): r.value for r in evaluators.et_bench(frame).collect() if r.task}
+    assert (got["gvq", "s2"], got["gvq", "s3"], got["gvq", "s4"]) == (1.0, 1.0, 0.0)
+    assert (got["rar", "s"], got["rar", "s2"], got["rar", "s3"], got["rar", "s4"]) == (1.0, 1.0, 1.0, 0.0)
+    replies = frame.filter("task = 'rar' and source = 's'").select("task", "source", F.lit(None).cast("string").alias("answer_text"), F.array(F.lit("(B)")).alias("prediction"), "gt_segments", "reference_idx", "options")
+    assert {(r.task, r.source): r.value for r in evaluators.et_bench(replies).collect() if r.task} == {("rar", "s"): 1.0}
