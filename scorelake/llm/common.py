@@ -40,10 +40,22 @@ def written(df: DataFrame, what: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scorelake/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _place(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written has made and that nothing reads any longer."""
+    system, target = _place(df.sparkSession, df.written_path)
+    system.delete(target, True)
 
 
 @contextlib.contextmanager

@@ -9,8 +9,8 @@
    members on, with the differences combined.
 3. Members of a root that aren't in its component are compared with all its members, exactly, within the task; it gives out only links that join
    what was apart. No pairs leave it, so a group of n near copies costs about n links and not n * n.
-4. Where a bucket still spans several components, members of different roots are compared by bit counts. Each keeps its best partner in each
-   other component; these are confirmed on full sets, and then all candidates that are still apart.
+4. Where a bucket still spans several components, members of different roots are compared by bit counts. Those that have a partner which the
+   counts can't rule out bring their full sets along, and are compared exactly, again within the task and with joining links alone given out.
 
 Large groups are compared in pairs of blocks, each a group of its own. Nothing is sampled or capped. A pair of similarity 0.8 shares no
 bucket with a probability of 5e-8, one of 0.85 with 6e-11.
@@ -19,16 +19,16 @@ bucket with a probability of 5e-8, one of 0.85 with 6e-11.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import written
-from scorelake.llm.components import components
+from scorelake.llm.components import components, extended
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
@@ -36,6 +36,8 @@ HASHES = BANDS * ROWS
 MARGIN = 5.5
 #: Members of a bucket that are compared in one group, twice this many for a pair of blocks.
 BLOCK = 4096
+#: Shingles that the full sets of a block have together, about.
+BLOCK_SHINGLES = 1 << 20
 #: Bytes hashed at a time, and of a word from which it is hashed on its own.
 STEP, LONG_WORD = 1 << 18, 4096
 LAST_ID = (1 << 63) - 1
@@ -195,23 +197,6 @@ def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", text_column
     return docs.select(_ids(id_column).alias("doc"), F.col(text_column).alias("text")).mapInArrow(run, "doc long, n_shingles long, s1 long, s2 long, bands array<long>, bits binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b): whether 100 * intersection >= percent * union of their full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = shingles(x.as_py(), words), shingles(y.as_py(), words)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                found.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
-
-    one = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
-
-
 def deltas(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b, linked, n_a, n_b, delta) for pairs (a, b): as confirmed, with the sizes of both sets and the shingles that only one of them has."""
 
@@ -273,10 +258,12 @@ def exact_links(rows: pa.Table, cols: pa.Table, percent: int) -> list[tuple[int,
 
 def _within_roots(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between members (root, doc, n, delta, component) of one root, where they aren't all of the root's component."""
-    root = members.filter("doc = root").select("root", F.col("component").alias("own"))
-    marked = members.join(root, "root").withColumn("minor", F.col("component") != F.col("own")).drop("own")
-    sizes = marked.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK).cast("int").alias("minor_blocks")).filter("minor_blocks > 0")
-    dealt = marked.join(sizes, "root")
+    counts = members.groupBy("root", "component").agg(F.count("*").alias("n"), F.max(F.col("doc") == F.col("root")).alias("own"))
+    counts = counts.groupBy("root").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_own"), F.max(F.when(F.col("own"), F.col("component"))).alias("own"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    # a table of its own, of the roots that matter: a join with it can be split, whatever one root has for members
+    sizes = written(counts.filter("n > n_own").select("root", "own", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("n_own")).alias("minor_blocks")), "roots")
+    dealt = members.join(sizes, "root").withColumn("minor", F.col("component") != F.col("own"))
     own = lambda blocks: F.pmod(F.xxhash64("doc"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     kept = ["root", "i", "j", "side", "doc", "component", "n", "delta"]
@@ -303,71 +290,108 @@ def _rebased(rooted: DataFrame) -> DataFrame:
         step = joined.select(F.when(moves, F.col("next_root")).otherwise(F.col("root")).alias("root"), "doc", "n", F.when(moves, F.col("both")).otherwise(F.col("delta")).alias("delta"), moves.alias("moved"))
         step = written(step, "based")
         based = step.drop("moved")
-        if not step.filter("moved").limit(1).count():
+        if step.filter("moved").isEmpty():
             return based
 
 
-def _across(members: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """(a, b, est) of members (bucket, doc, root, component, bits) of one bucket but different components and roots, with an estimate of at least least.
-
-    best_only: for each member and other component of a group, the best alone.
-    """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+def _blocks(members: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """members (bucket, doc and columns) of the buckets of blocks (bucket, blocks), dealt to pairs of blocks: bucket, i, j, block, doc and columns."""
+    rows = members.join(blocks, "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "component", "bits")
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", *columns)
+
+
+def alike(group: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a group (i, j, block, doc, root, component, bits), as two arrays of equal length, that are of different components and roots and whose estimate is at least
+    least: each pair of block i and block j once."""
+    doc, root, component, block = (group.column(c).to_numpy() for c in ("doc", "root", "component", "block"))
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    labels, code = np.unique(component, return_inverse=True)
+    if len(labels) == 1:
+        return
+    # within the largest component there is nothing to find: one of each pair is of another
+    major = code == np.bincount(code).argmax()
+    rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    sides = [(rows[~major[rows]], cols)] + ([(rows[major[rows]], cols[~major[cols]])] if i != j else [])
+    for left, right in sides:
+        for at in range(0, len(left), 256):
+            here = left[at : at + 256]
+            for to in range(0, len(right), 2048):
+                there = right[to : to + 2048]
+                good = (component[here][:, None] != component[there][None, :]) & (estimate(equal_bits(bits[here][:, None, :], bits[there][None, :, :])) >= least)
+                good &= (root[here][:, None] != root[there][None, :]) & (doc[here][:, None] != root[there][None, :]) & (root[here][:, None] != doc[there][None, :])
+                x, y = np.nonzero(good)
+                x, y = here[x], there[y]
+                once = (major[y] | (x < y)) if i == j else slice(None)
+                yield x[once], y[once]
+
+
+def _across(members: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, percent: int) -> DataFrame:
+    """(a, b): links of members (bucket, doc, root, component, bits) of one bucket but different components and roots. sets gives (doc, shingles array<long>) for (doc)."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
+    sizes = written(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+
+    def likely(group: pa.Table) -> pa.Table:
+        active = np.zeros(group.num_rows, bool)
+        for x, y in alike(group, least):
+            active[x] = active[y] = True
+        return group.filter(pa.array(active)).select(["bucket", "doc", "root", "component", "bits"])
+
+    few = ["root", "component", "bits"]
+    kinds = "bucket long, doc long, root long, component long, bits binary"
+    active = _blocks(members, sizes, few).groupBy("bucket", "i", "j").applyInArrow(likely, kinds)
+    active = written(active.dropDuplicates(["bucket", "doc"]), "active")
+    if active.isEmpty():
+        return active.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    full = written(sets(active.select("doc").distinct()), "sets")
+    with_sizes = active.join(full.select("doc", F.size("shingles").alias("n")), "doc")
+    # buckets with the same members do the same work: one of each stays
+    facts = with_sizes.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all_docs"))
+    facts = facts.groupBy("n_docs", "n", "all_docs").agg(F.min("bucket").alias("bucket"))
+    blocks = written(facts.select("bucket", F.least(F.col("n_docs"), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
 
     def compare(group: pa.Table) -> pa.Table:
-        doc, root, component, block = (group.column(c).to_numpy() for c in ("doc", "root", "component", "block"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        labels, code = np.unique(component, return_inverse=True)
-        # pairs within the largest component are none; every other member meets all that come after it
-        out_a, out_b, out_e = [], [], []
-        rows = np.flatnonzero(block == i) if i != j else np.arange(len(doc))
-        cols = np.flatnonzero(block == j) if i != j else rows
-        if len(labels) > 1:
-            counts = np.bincount(code)
-            giant = int(counts.argmax())
-            minor = rows[code[rows] != giant]
-            sides = [(minor, cols)] if i == j else [(minor, cols), (rows[code[rows] == giant], cols[code[cols] != giant])]
-            for left, right in sides:
-                for at in range(0, len(left), 256):
-                    here = left[at : at + 256]
-                    for to in range(0, len(right), 2048):
-                        there = right[to : to + 2048]
-                        est = estimate(equal_bits(bits[here][:, None, :], bits[there][None, :, :]))
-                        good = (est >= least) & (code[here][:, None] != code[there][None, :]) & (root[here][:, None] != root[there][None, :])
-                        good &= (doc[here][:, None] != root[there][None, :]) & (root[here][:, None] != doc[there][None, :])
-                        x, y = np.nonzero(good)
-                        a, b, e = here[x], there[y], est[x, y]
-                        if best_only and len(a):
-                            order = np.lexsort((doc[b], -e, code[b], a))
-                            a, b, e = a[order], b[order], e[order]
-                            first = np.ones(len(a), bool)
-                            first[1:] = (a[1:] != a[:-1]) | (code[b][1:] != code[b][:-1])
-                            a, b, e = a[first], b[first], e[first]
-                        out_a.append(np.minimum(doc[a], doc[b]))
-                        out_b.append(np.maximum(doc[a], doc[b]))
-                        out_e.append(e)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"a": join(out_a, np.int64), "b": join(out_b, np.int64), "est": join(out_e, np.float64)})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, est double")
+        doc, component = group.column("doc").to_numpy(), group.column("component").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        links = []
+        for xs, ys in alike(group, least):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                p, q = find(int(component[x])), find(int(component[y]))
+                if p == q:
+                    continue
+                one, two = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both and 100 * both >= percent * (len(one) + len(two) - both):
+                    parent[p] = q
+                    links.append((int(doc[x]), int(doc[y])))
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    dealt = _blocks(active, blocks, few).join(full, "doc")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def _nodes(all_rows: DataFrame) -> DataFrame:
+def _nodes(all_rows: DataFrame, repeated: bool) -> DataFrame:
     """(s1, s2, node, doc, shared, bands, bits): one row for each distinct set. Its node is the smallest id that has it; where rows repeat an id with several sets
     (shared), all but one have a hash as their node."""
     sets = all_rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    by_id = Window.partitionBy("doc")
-    ranked = sets.withColumns({"place": F.row_number().over(by_id.orderBy("s1", "s2")), "shared": F.count("*").over(by_id) > 1})
-    return ranked.select("s1", "s2", F.when(F.col("place") == 1, F.col("doc")).otherwise(F.xxhash64("s1", "s2")).alias("node"), "doc", "shared", "bands", "bits")
+    if not repeated:
+        return sets.select("s1", "s2", F.col("doc").alias("node"), "doc", F.lit(False).alias("shared"), "bands", "bits")
+    of_id = sets.groupBy("doc").agg(F.min(F.struct("s1", "s2")).alias("first"), (F.count("*") > 1).alias("shared"))
+    ranked = sets.join(of_id, "doc")
+    return ranked.select("s1", "s2", F.when(F.struct("s1", "s2") == F.col("first"), F.col("doc")).otherwise(F.xxhash64("s1", "s2")).alias("node"), "doc", "shared", "bands", "bits")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
@@ -386,13 +410,29 @@ def _texts(docs: DataFrame, nodes: DataFrame, words: int, id_column: str, text_c
     return rows.select("node", "text", "shared", "s1", "s2").mapInArrow(run, "doc long, text string")
 
 
+def _shingle_lists(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, shingles array<long>) of texts (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                lists = [shingles(x.as_py(), words).view(np.int64) for x in part.column(1)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists)))], names=["doc", "shingles"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, shingles array<long>")
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, n_shingles, component) for each row of docs; ids as longs, LAST_ID for a null one."""
     least = least_estimate(percent / 100)
     all_rows = written(sketches(docs, words, id_column, text_column), "sketches")
-    nodes = written(_nodes(all_rows), "nodes")
+    repeated = not all_rows.groupBy("doc").count().filter("count > 1").isEmpty()
+    nodes = written(_nodes(all_rows, repeated), "nodes")
     keyed = nodes.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("bucket"))
-    leaders = keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
+    # a table of its own, so that the join with it can be split where a bucket is very large
+    leaders = written(keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader"), "leaders")
     members = written(keyed.join(leaders, "bucket"), "members")
     bits = nodes.select(F.col("node").alias("doc"), "bits")
     candidates = members.filter("doc <> leader").select("doc", "leader").distinct()
@@ -401,41 +441,30 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     first = written(rated.groupBy("doc").agg(F.min("leader").alias("a")).select("a", F.col("doc").alias("b")), "first")
     needed = nodes.select("node", "doc", "shared", "s1", "s2").join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
     texts = written(_texts(docs, needed, words, id_column, text_column), "texts")
-    if all_rows.groupBy("doc").count().filter("count > 1").limit(1).count():
+    if repeated:
         texts = written(texts.groupBy("doc").agg(F.min("text").alias("text")), "texts")  # rows with equal sets
     rooted = written(deltas(first, texts, words, percent), "rooted")
-    of_row = all_rows.filter("n_shingles > 0").select("s1", "s2", F.col("doc").alias("own")).join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
-    # rows with equal ids are one document
-    several = of_row.groupBy("own").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("own", "a")
-    alike = of_row.join(several, "own").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    edges = written(rooted.filter("linked").select("a", "b").union(alike), "edges")
+    edges = rooted.filter("linked").select("a", "b")
+    if repeated:  # rows with equal ids are one document
+        of_row = all_rows.filter("n_shingles > 0").select("s1", "s2", F.col("doc").alias("own")).join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+        several = written(of_row.groupBy("own").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("own", "a"), "several")
+        edges = edges.union(of_row.join(several, "own").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
     labels = written(components(edges), "labels")
     none = F.array().cast("array<long>")
     of_roots = _rebased(rooted)
     roots = rooted.groupBy("a").agg(F.min("n_a").alias("n")).select(F.col("a").alias("root"), F.col("a").alias("doc"), "n", none.alias("delta"))
-    edges = written(edges.union(_within_roots(_labelled(of_roots.union(roots), labels), percent)), "edges")
-    tested = rooted.select("a", "b")
+    labels = extended(labels, _within_roots(_labelled(of_roots.union(roots), labels), percent))
     own_roots = of_roots.select("doc", "root")
-    for best_only in (True, False):
-        labels = written(components(edges), "labels")
-        apart = _labelled(members.select("bucket", "doc"), labels)
-        spans = apart.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
-        known = bits.join(own_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        open_members = apart.join(spans, "bucket").join(known, "doc")
-        pairs = _across(open_members, least, best_only).groupBy("a", "b").agg(F.max("est").alias("est"))
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if best_only:
-            other = _labelled(pairs.withColumnRenamed("b", "doc"), labels).withColumnRenamed("doc", "b")
-            pairs = other.groupBy("a", "component").agg(F.max(F.struct("est", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-        found = written(confirmed(pairs.select("a", "b"), texts, words, percent), "links")
-        tested = tested.union(found.select("a", "b"))
-        edges = edges.union(found.filter("linked").select("a", "b"))
-    labels = written(components(edges), "labels")
+    known = bits.join(own_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    open_members = _labelled(members.select("bucket", "doc"), labels).join(known, "doc")
+    sets = lambda asked: _shingle_lists(texts.join(asked, "doc"), words)
+    labels = extended(labels, _across(open_members, sets, least, percent))
     of_set = _labelled(nodes.select("s1", "s2", F.col("node").alias("doc"), F.col("doc").alias("least")), labels)
-    smallest = of_set.groupBy("component").agg(F.min("least").alias("first_id"))
-    of_set = of_set.join(smallest, "component").select("s1", "s2", "first_id")
-    joined = all_rows.select("doc", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"], "left")
-    return joined.select("doc", "n_shingles", F.coalesce("first_id", "doc").alias("component"))
+    if repeated:  # a node may be a hash
+        smallest = written(of_set.groupBy("component").agg(F.min("least").alias("first_id")), "smallest")
+        of_set = of_set.join(smallest, "component").select("s1", "s2", F.col("first_id").alias("component"))
+    joined = all_rows.select("doc", "n_shingles", "s1", "s2").join(of_set.select("s1", "s2", "component"), ["s1", "s2"], "left")
+    return joined.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
 def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,3 +147,33 @@ def test_exact_links():
     links = nd.exact_links(table, table, 85)
     assert set(links) <= {x for a, b in true for x in ((a, b), (b, a))} and len(links) < 120
     assert join(true) == join(links) and len(set(join(true))) > 3
+
+
+def test_extended(spark):
+    rng = random.Random(11)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(80)]
+    more = [(rng.randrange(260), rng.randrange(260)) for _ in range(60)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    labels = cc.components(frame(first))
+    got = {r.id: r.component for r in cc.extended(labels, frame(more)).collect()}
+    whole = {r.id: r.component for r in cc.components(frame(first + more)).collect()}
+    assert got == whole
+    assert cc.extended(labels, frame([(5, 5)])).count() == labels.count()
+
+
+def test_families_below_and_above_the_threshold(spark, monkeypatch):
+    """Many texts that are close to the threshold, with roots that aren't linked with all of theirs: what the roots leave apart is found across them."""
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 300)
+    rng = random.Random(5)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(45):
+            text = list(base)
+            for at in rng.sample(range(0, 118, 4), rng.choice([1, 2, 3, 5, 6])):
+                text[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    want = brute(rows, 3, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert 3 < len({c for _, _, c, _ in want}) < 120
