@@ -4,14 +4,14 @@ A text is split into words by the tokenizer's own pattern. Merges never cross a
 wherever it stands: each distinct word is encoded once, and the ids are joined back by the words' positions. Decoding
 joins each id with the piece of bytes that it stands for.
 
-1. Documents are dealt to blocks of some megabytes. A block's row holds its distinct words and, in place of each text, the words' numbers,
-   in the order of their positions; the text itself goes no further.
-2. The blocks' words meet by word. Each distinct word is encoded once, and its ids go back to each block and number that asked.
+1. Documents are dealt to blocks of some megabytes. In place of its texts, a block keeps the words' numbers, in the order of their positions; its
+   distinct words are dealt to parts by a hash. Both go through one exchange, by block and by part; the texts go no further.
+2. In each part, the blocks' words are sorted. Each distinct word is encoded once, and its ids go back to every block and number that asked.
 3. Blocks and ids meet by block. A document's ids are gathered by its words' numbers; the ids are joined with the table of pieces, which has a row
    for each id of the vocabulary and so a bound, and the pieces' bytes are the decoded text.
 
-So a word travels once for each block that has it and not once for each place where it stands. Blocks are made by a deterministic pass
-over the input, in the order of its partitions; a lost task makes the same ones again.
+So a word travels once for each block that has it and not once for each place where it stands; words, numbers and ids travel packed. Blocks are made by
+a deterministic pass over the input, in the order of its partitions; a lost task makes the same ones again.
 
 Texts with characters that versions of Unicode may class differently are split by the library's own pre-tokenizer, all others by the same pattern in
 regex, which is faster.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import zstandard
@@ -33,10 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scorelake.llm.common import partitions
+
 #: Bytes of text of a block, about; a longer text has a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Words encoded at a time.
 AT_ONCE = 8192
+#: Words whose ids are packed at a time.
+PACKED = 1 << 19
+#: Parts of the words for each partition of an exchange; numbers of blocks begin beyond those of parts.
+FINER, FIRST_BLOCK = 8, 1 << 40
 #: Entries of the table of distinct words that one ByteBpe keeps for encode; it then starts afresh, which changes no result.
 CACHED = 200_000
 #: Longer words are encoded each time they occur in encode; the ids are the same.
@@ -168,26 +175,74 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _joined(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def _split(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    at = 8 * (n + 1)
+    out = []
+    for size in np.frombuffer(data, np.int64, n, 8).tolist():
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers of which small ones are frequent, compressed: a byte for each, and three more planes of bytes for those that don't fit in one."""
+    """Numbers of which small ones are frequent, compressed: a byte for each, and four more planes of bytes for those that don't fit in one."""
     large = numbers[numbers >= 255] - 255
     planes = [np.minimum(numbers, 255).astype(np.uint8), *((large >> (8 * i) & 255).astype(np.uint8) for i in range(4))]
-    pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [pack(p.tobytes()) for p in planes]
-    return np.array([len(numbers), len(large), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+    return _joined(*(_pack(p.tobytes()) for p in planes))
 
 
 def _spread(data: bytes) -> np.ndarray:
-    n, n_large, *sizes = np.frombuffer(data, np.int64, 7).tolist()
-    unpack, at, planes = zstandard.ZstdDecompressor().decompress, 56, []
-    for i, size in enumerate(sizes):
-        planes.append(np.frombuffer(unpack(data[at : at + size], max_output_size=max(1, n if i == 0 else n_large)), np.uint8).astype(np.int64))
-        at += size
-    out = planes[0]
-    out[out == 255] += sum(p << (8 * i) for i, p in enumerate(planes[1:]))
+    out, *planes = (np.frombuffer(_unpack(p), np.uint8).astype(np.int64) for p in _split(data))
+    out[out == 255] += sum(p << (8 * i) for i, p in enumerate(planes))
     return out
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=max(1, int.from_bytes(data[:8], "little")))
+
+
+def _rising(numbers: np.ndarray) -> bytes:
+    """Rising numbers, by their steps."""
+    return _squeezed(np.diff(numbers, prepend=0))
+
+
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(_spread(data))
+
+
+def coded_numbers(number: np.ndarray, n_single: int, n_words: int) -> bytes:
+    """The words' numbers by position; the last n_single words stand once each, in the order of their numbers, and are all written as 0."""
+    repeated = n_words - n_single
+    return _squeezed(np.where(number < repeated, number + 1, 0)) + repeated.to_bytes(8, "little")
+
+
+def decoded_numbers(data: bytes) -> np.ndarray:
+    codes, repeated = _spread(data[:-8]), int.from_bytes(data[-8:], "little")
+    single = codes == 0
+    return np.where(single, repeated + np.cumsum(single) - 1, codes - 1)
+
+
+def packed_words(numbers: np.ndarray, words: pa.Array) -> bytes:
+    """Words with their rising numbers."""
+    data = [w.encode() for w in words.to_pylist()]
+    return _joined(_rising(numbers), _squeezed(np.array([len(w) for w in data], np.int64)), _pack(b"".join(data)))
+
+
+def unpacked_words(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    numbers, lengths, letters = _split(data)
+    offsets = np.concatenate([[0], np.cumsum(_spread(lengths))]).astype(np.int32)
+    return _risen(numbers), pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_unpack(letters)))
+
+
 def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """values[starts[r] : starts[r] + lengths[r]] for each r of rows, one after the other."""
     own = lengths[rows]
@@ -195,26 +250,54 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows:
     return values[np.repeat(starts[rows] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def blocks(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(block long, data): data has the block's distinct words, the ids of its rows, how many words each row's text has, and the words' numbers by position."""
+def packed_ids(numbers: np.ndarray, ids: pa.Array) -> bytes:
+    """Each number's ids, by rising number."""
+    flat, starts, lengths = _ids_of(ids)
+    order = np.argsort(numbers, kind="stable")
+    every = _gathered(flat, starts, lengths, order)
+    planes = [(every >> (8 * i) & 255).astype(np.uint8) for i in range(3)]
+    return _joined(_rising(numbers[order]), _squeezed(lengths[order]), *(_pack(p.tobytes()) for p in planes))
+
+
+def unpacked_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, how many ids each has, and all ids."""
+    numbers, lengths, *planes = _split(data)
+    return _risen(numbers), _spread(lengths), sum(np.frombuffer(_unpack(p), np.uint8).astype(np.uint32) << np.uint32(8 * i) for i, p in enumerate(planes))
+
+
+def _ids_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of an array of packed 32-bit ones, and where each row's start and how many it has."""
+    if not len(ids):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset).astype(np.int64) // 4
+    flat = np.frombuffer(ids.buffers()[2], np.uint32, int(bounds[-1])) if ids.buffers()[2] is not None else np.zeros(0, np.uint32)
+    return flat, bounds[:-1], np.diff(bounds)
+
+
+ROW = ["key", "block", "ids", "counts", "data"]
+
+
+def blocks(docs: DataFrame, tokenizer: str, parts: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(key long, block long, ids, counts, data binary): for each block a row whose key is the block, with the ids of its rows, how many words each row's text has, and the words' numbers by position;
+    and for each block and part, which is the key, a row with the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, task, made = coder(tokenizer), TaskContext.get().partitionId(), 0
         ids, words, counts, size = [], [], [], 0
 
-        def block() -> pa.RecordBatch:
-            if words:
-                coded = pa.chunked_array([pa.array(words, pa.string())]).combine_chunks().dictionary_encode()
-                number, distinct = np.asarray(coded.indices), coded.dictionary
-                order = np.argsort(-np.bincount(number, minlength=len(distinct)), kind="stable")  # frequent ones first
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                number, distinct = rank[number], distinct.take(pa.array(order))
-            else:
-                number, distinct = np.zeros(0, np.int64), pa.array([], pa.string())
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-            data = pa.StructArray.from_arrays([one(distinct, pa.string()), one(pa.concat_arrays(ids), ids[0].type), one(pa.array(counts), pa.int64()), pa.array([_squeezed(number)], pa.binary())], names=["words", "ids", "counts", "numbers"])
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), data], names=["block", "data"])
+        def block() -> Iterator[pa.RecordBatch]:
+            own = FIRST_BLOCK + (task << 32) + made
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            number, distinct, n_single = numbered(words)
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([own]), one(pa.concat_arrays(ids)), one(pa.array(counts, pa.int64())), pa.array([coded_numbers(number, n_single, len(distinct))], pa.binary())], names=ROW)
+            part = (pd.util.hash_array(np.asarray(distinct), categorize=False) % np.uint64(parts)).astype(np.int64) if len(distinct) else np.zeros(0, np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, first = np.unique(part[order], return_index=True)
+            groups = [order[at:to] for at, to in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)] if len(order) else []
+            data = [packed_words(g, distinct.take(pa.array(g))) for g in groups]
+            if groups:
+                none = pa.nulls(len(groups))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([own] * len(groups), pa.int64()), none.cast(pa.list_(ids[0].type)), none.cast(pa.list_(pa.int64())), pa.array(data, pa.binary())], names=ROW)
 
         for batch in batches:
             column = batch.column(0)
@@ -226,22 +309,43 @@ def blocks(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
                 size += sum(map(len, own))
                 if size >= BLOCK_BYTES:
                     ids.append(column.slice(since, i + 1 - since))
-                    yield block()
+                    yield from block()
                     made, since = made + 1, i + 1
                     ids, words, counts, size = [], [], [], 0
             if since < batch.num_rows:
                 ids.append(column.slice(since))
         if counts:
-            yield block()
+            yield from block()
 
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = plain.schema[0].dataType.simpleString()
-    return plain.mapInArrow(run, f"block long, data struct<words:array<string>,ids:array<{kind}>,counts:array<bigint>,numbers:binary>")
+    return plain.mapInArrow(run, f"key long, block long, ids array<{plain.schema[0].dataType.simpleString()}>, counts array<long>, data binary")
+
+
+def numbered(words: list[str]) -> tuple[np.ndarray, pa.Array, int]:
+    """Each position's number, the words by number, and how many of these, the last, stand at one position alone: first the repeated ones by frequency, then the others in their order."""
+    if not words:
+        return np.zeros(0, np.int64), pa.array([], pa.string()), 0
+    coded = pa.array(words, pa.string()).dictionary_encode()  # in the order in which they come
+    number, distinct = np.asarray(coded.indices), coded.dictionary
+    times = np.bincount(number, minlength=len(distinct))
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[number], distinct.take(pa.array(order)), int((times == 1).sum())
 
 
 def encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[pa.RecordBatch]:
-    """(block, number, ids) for batches (block, number, word) sorted by word: each distinct word is encoded once."""
+    """(key, data) for batches (block, number, word) sorted by word: each distinct word is encoded once. data has ids of several numbers of a block, which is the key."""
     last, known = None, b""
+    blocks_of, numbers, ids = [], [], []
+
+    def packed() -> pa.RecordBatch:
+        block, number, own = np.concatenate(blocks_of), np.concatenate(numbers), pa.concat_arrays(ids)
+        order = np.argsort(block, kind="stable")
+        keys, first = np.unique(block[order], return_index=True)
+        groups = [order[at:to] for at, to in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([packed_ids(number[g], own.take(pa.array(g))) for g in groups], pa.binary())], names=["key", "data"])
+
     for batch in batches:
         for first in range(0, batch.num_rows, AT_ONCE):
             part = batch.slice(first, AT_ONCE)
@@ -251,17 +355,14 @@ def encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[pa.Reco
             if words[0] == last:
                 table[last] = known
             last, known = words[-1], table[words[-1]]
-            own = pa.array([table[w] for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), own.take(coded.indices)], names=["block", "number", "ids"])
-
-
-def encode_words(asked: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, number, ids binary) for asked (block long, number int, word string): words meet by word, and each distinct one is encoded once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return encoded(batches, coder(tokenizer))
-
-    return asked.repartition("word").sortWithinPartitions("word").select("block", "number", "word").mapInArrow(run, "block long, number int, ids binary")
+            blocks_of.append(np.asarray(part.column(0)))
+            numbers.append(np.asarray(part.column(1)))
+            ids.append(pa.array([table[w] for w in words], pa.binary()).take(coded.indices))
+            if sum(map(len, numbers)) >= PACKED:
+                yield packed()
+                blocks_of, numbers, ids = [], [], []
+    if numbers:
+        yield packed()
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -273,25 +374,25 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column(0), batch.column(1), strict=True):
-                own = data["words"].values
-                for first in range(0, len(own), 65536):
-                    part = own.slice(first, 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(first, first + len(part), dtype=np.int32)), part], names=["block", "number", "word"])
+            for key, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), strict=True):
+                if key < FIRST_BLOCK:
+                    number, own = unpacked_words(data.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), block)), pa.array(number.astype(np.int32)), own], names=["block", "number", "word"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, coder(tokenizer))
 
     def joined(block: pa.Table, found: pa.Table) -> pa.Table:
-        if not block.num_rows:
+        if block.num_rows != 1 or block.column("key")[0] != block.column("block")[0]:  # a part's words
             return empty
-        data = block.column("data").combine_chunks()
         pieces, piece_starts, piece_lengths = coder(tokenizer).piece_table
-        order = np.argsort(found.column("number").to_numpy(), kind="stable")
-        by_number = found.column("ids").combine_chunks()
-        by_number = by_number.chunk(0) if isinstance(by_number, pa.ChunkedArray) else by_number
-        bounds = np.frombuffer(by_number.buffers()[1], np.int32, len(by_number) + 1, 4 * by_number.offset).astype(np.int64) // 4 if len(by_number) else np.zeros(1, np.int64)
-        flat = np.frombuffer(by_number.buffers()[2], np.uint32, int(bounds[-1])) if len(by_number) and by_number.buffers()[2] is not None else np.zeros(0, np.uint32)
-        starts, lengths = bounds[:-1][order], np.diff(bounds)[order]
-        whole = data[0]
-        numbers, counts = _spread(whole["numbers"].as_py()), np.asarray(whole["counts"].values)
+        told = [unpacked_ids(x) for x in found.column("data").to_pylist()]
+        join = lambda i, kind: np.concatenate([x[i] for x in told]) if told else np.zeros(0, kind)
+        order = np.argsort(join(0, np.int64), kind="stable")
+        flat, lengths = join(2, np.uint32).astype(np.uint32), join(1, np.int64)
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        numbers, counts = decoded_numbers(block.column("data")[0].as_py()), np.asarray(block.column("counts")[0].values)
         out: dict[str, list] = {name: [] for name in names}
         at = 0
         for n in counts.tolist():
@@ -304,16 +405,18 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
             if keep_ids:
                 out["ids"].append(ids.tobytes())
                 out["decoded"].append(decoded)
-        return pa.table([whole["ids"].values, *(pa.array(out[n], t) for n, t in types)], names=[id_column, *names])
+        return pa.table([block.column("ids")[0].values, *(pa.array(out[n], t) for n, t in types)], names=[id_column, *names])
 
     types = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary()), ("decoded", pa.string())] * keep_ids
     names = [n for n, _ in types]
-    whole = blocks(docs, tokenizer, id_column, text_column).repartition("block")  # one exchange, which both uses below read
-    kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
-    empty = pa.schema([(id_column, to_arrow_type(docs.select(F.col(id_column)).schema[0].dataType)), *types]).empty_table()
-    found = encode_words(whole.mapInArrow(words, "block long, number int, word string"), tokenizer)
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
-    return whole.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, schema)
+    id_type = docs.select(F.col(id_column)).schema[0].dataType
+    empty = pa.schema([(id_column, to_arrow_type(id_type)), *types]).empty_table()
+    whole = blocks(docs, tokenizer, FINER * partitions(docs.sparkSession), id_column, text_column).repartition("key")  # one exchange, which both uses below read
+    # equal words are of one part, and so in one partition
+    asked = whole.mapInArrow(words, "block long, number int, word string").sortWithinPartitions("word").select("block", "number", "word")
+    found = asked.mapInArrow(encode, "key long, data binary")
+    schema = f"`{id_column}` {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
+    return whole.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(joined, schema)
 
 
 def decode(tokens: DataFrame, tokenizer: str, keys: list[str]) -> DataFrame:

@@ -76,16 +76,19 @@ def test_small_blocks_and_each_word_once(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 40)
     texts = [t for t in TEXTS if t is None or len(t) < 1000] + [f"word{i % 7} and some more of them \U0001f600\n" * (i % 4) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = byte_bpe.blocks(docs, PATH).collect()
-    assert len(rows) > 20 and len({r.block for r in rows}) == len(rows)
-    assert sorted(i for r in rows for i in r.data.ids) == list(range(len(texts)))
-    words = [(r.block, n, w) for r in rows for n, w in enumerate(r.data.words)]
-    assert len({(b, w) for b, _, w in words}) == len(words)  # a word once in each block
-    by = {(b, n): w for b, n, w in words}
+    rows = byte_bpe.blocks(docs, PATH, 5).collect()
+    held = [r for r in rows if r.key == r.block]
+    assert len(held) > 20 and len({r.block for r in held}) == len(held)
+    assert sorted(i for r in held for i in r.ids) == list(range(len(texts)))
+    words = [(r.block, int(n), w.as_py(), r.key) for r in rows if r.key < byte_bpe.FIRST_BLOCK for n, w in zip(*byte_bpe.unpacked_words(bytes(r.data)), strict=True)]
+    assert len({(b, w) for b, _, w, _ in words}) == len({(b, n) for b, n, _, _ in words}) == len(words)  # a word once in each block
+    assert len({w for _, _, w, _ in words}) == len({(w, k) for _, _, w, k in words})  # and in one part
+    of = {(b, n): w for b, n, w, _ in words}
+    by_id = dict(enumerate(texts))
+    for r in held:
+        numbers = byte_bpe.decoded_numbers(bytes(r.data)).tolist()
+        assert "".join(of[r.block, n] for n in numbers) == "".join(by_id[i] or "" for i in r.ids) and sum(r.counts) == len(numbers)
     t = library_once()
-    found = byte_bpe.encode_words(spark.createDataFrame(words, "block long, number int, word string"), PATH).collect()
-    assert len(found) == len(words)
-    assert all(list(memoryview(bytes(r.ids)).cast("I")) == t.encode(by[r.block, r.number], add_special_tokens=False).ids for r in found)
     got = {r.doc_id: r for r in byte_bpe.encode_decode(docs, PATH).collect()}
     for i, text in enumerate(texts):
         ids = t.encode(text or "", add_special_tokens=False).ids
@@ -102,11 +105,17 @@ def test_each_distinct_word_is_encoded_once(monkeypatch):
 
     monkeypatch.setattr(byte_bpe, "AT_ONCE", 4)
     words = sorted(["the"] * 11 + ["a", "a", " word", "b"] * 3 + ["zz"])
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, to)), pa.array(range(at, to), pa.int32()), pa.array(words[at:to])], names=["block", "number", "word"]) for at, to in ((0, 7), (7, 8), (8, len(words)))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i % 3 for i in range(at, to)]), pa.array(range(at, to), pa.int32()), pa.array(words[at:to])], names=["block", "number", "word"]) for at, to in ((0, 7), (7, 8), (8, len(words)))]
     bpe = Counting(PATH)
+    monkeypatch.setattr(byte_bpe, "PACKED", 6)
     found = pa.Table.from_batches(list(byte_bpe.encoded(batches, bpe)))
     assert bpe.asked == sorted(set(words))
-    assert [list(memoryview(x).cast("I")) for x in found.column("ids").to_pylist()] == [library_once().encode(w, add_special_tokens=False).ids for w in words]
+    got = {}
+    for block, data in zip(found.column("key").to_pylist(), found.column("data").to_pylist(), strict=True):
+        numbers, lengths, ids = byte_bpe.unpacked_ids(data)
+        for n, own in zip(numbers.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            got[block, n] = own.tolist()
+    assert got == {(i % 3, i): library_once().encode(w, add_special_tokens=False).ids for i, w in enumerate(words)}
 
 
 def test_numbers_round_trip():
