@@ -138,3 +138,8 @@ def audit_filtered(text: Column) -> Column:
 def shortened(text: Column, most: int) -> Column:
     """The first so many characters, for display."""
     return F.substring(text, 1, most)
+
+
+def encoded(data: Column) -> Column:
+    """Bytes in base64, on one line."""
+    return F.regexp_replace(F.base64(data), r"\s", "")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake import adapters, judged
 from scorelake.functions import jsons, parse, temporal, text
 from scorelake.operators import answers, captions, dense, events, grounding, judging, report
 from scorelake.plans import views
@@ -37,9 +38,11 @@ def s2_prediction_scan(spark, d):
     return rows.select(F.col("doc_id").cast("string").alias("id"), "source", F.col("lang").alias("task"), "n_chars", F.size(captions.tokens("text")).cast("long").alias("n_words"))
 
 
-@query(with_views("keyed", then="SELECT id, part, supp, price FROM keyed WHERE side = 0 AND id <> 0"))
+@query(with_views("keyed", then="SELECT side || '/' || id AS id, part, supp, price FROM keyed WHERE id <> 0"))
 def s16_last_wins_index(spark, d):
-    return judging.latest(views.keyed(spark, d, 0), "id", views.KEYED_ORDER).select("id", "part", "supp", "price")
+    """Both sides' records, each side's by keys of its own."""
+    sided = lambda side: views.keyed(spark, d, side).filter("id <> 0").withColumn("id", F.concat(F.lit(f"{side}/"), F.col("id").cast("string")))
+    return judging.latest(sided(0).union(sided(1)), "id", views.KEYED_ORDER).select("id", "part", "supp", "price")
 
 
 @query(with_views("qa", then="SELECT sample_id, 0 AS pos, r0 AS reference, p0 AS prediction FROM qa UNION ALL SELECT sample_id, 1, r1, p1 FROM qa"))
@@ -272,6 +275,67 @@ def a6_choice_letters(spark, d):
     return answers.choice_accuracy(rows, "task")
 
 
+OPTIONS = ["red", "green", "blue", "[1.5, 20]"]
+
+
+def _chosen(spark, d, *texts):
+    """Answers of six forms, with the gold letter and the options."""
+    n = F.col("p_partkey") % 6
+    said = F.lit(texts[-1])
+    for i, told in reversed(list(enumerate(texts[:-1]))):
+        said = F.when(n == i, told).otherwise(said)
+    return table(spark, d, "part").select(F.col("p_brand").alias("task"), said.alias("said"), F.get(F.array(*map(F.lit, "abcd")), F.col("p_size") % 4).alias("gold"), F.array(*map(F.lit, OPTIONS)).alias("options"))
+
+
+@query("""SELECT p_brand AS task, count(*) AS total, count(*) FILTER (n IN (1, 2, 3, 5)) AS failed, round(avg(CAST(CASE n WHEN 0 THEN g = 0 WHEN 1 THEN g = 2 WHEN 2 THEN g = 0 WHEN 3 THEN false WHEN 4 THEN g = 3 OR g = 2 ELSE g = 1 END AS INTEGER)), 5) AS acc
+  FROM (SELECT p_brand, p_partkey % 6 AS n, p_size % 4 AS g FROM part) GROUP BY p_brand""")
+def t3_choice_similarity(spark, d):
+    """Letters that aren't there, or are wrong, fall through to the option most similar to the answer."""
+    rows = _chosen(spark, d, "(A) first", "it is blue", "none of them fits", "", "(D) but blue", "green one")
+    return answers.choice_accuracy(rows.select("task", parse.choice(F.col("said"), F.col("gold"), F.col("options"), captions.hashed_similarity).alias("outcome")), "task")
+
+
+@query("""SELECT p_brand AS task, count(*) AS total, count(*) FILTER (n = 3) AS failed, round(avg(CAST(CASE n WHEN 0 THEN g = 0 WHEN 1 THEN g = 2 WHEN 2 THEN g = 1 WHEN 3 THEN false WHEN 4 THEN g = 3 ELSE g = 3 END AS INTEGER)), 5) AS acc
+  FROM (SELECT p_brand, p_partkey % 6 AS n, p_size % 4 AS g FROM part) GROUP BY p_brand""")
+def t4_gvq_choice(spark, d):
+    """Letters at the start alone count, and decide; brackets within a sentence don't."""
+    rows = _chosen(spark, d, "(A) first", "it is blue", "I think it is (A), no, green", " ", "Best option: d, or blue", "from 1.5 - 20 s")
+    return answers.choice_accuracy(rows.select("task", parse.leading_choice(F.col("said"), F.col("gold"), F.col("options"), captions.hashed_similarity).alias("outcome")), "task")
+
+
+@query("""SELECT p_partkey, ['(A) ' || p_brand, '(B) ' || p_size || ' - ' || (p_size + 1), '(C) ' || p_type] AS lines FROM part""")
+def p15_option_lines(spark, d):
+    pair = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(", "), (F.col("p_size") + 1).cast("string"), F.lit("]"))
+    return table(spark, d, "part").select("p_partkey", parse.option_lines(F.array("p_brand", pair, "p_type")).alias("lines"))
+
+
+@query("""SELECT lang AS task, count(*) AS total, count(*) FILTER (doc_id % 5 <> 0 AND contains(source, '1')) AS correct, round(count(*) FILTER (doc_id % 5 <> 0 AND contains(source, '1')) / count(*), 5) AS acc FROM documents GROUP BY lang""")
+def a20_description(spark, d):
+    """Descriptions by a judge's yes or no; a blank one isn't asked about and is wrong."""
+    text = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("it shows "), "source"))
+    samples = table(spark, d, "documents").select(F.col("lang").alias("task"), F.array(F.lit("yes"), text).alias("prediction"), F.array(F.lit("Yes."), F.lit("a place")).alias("reference_text"))
+    judge = adapters.Rule(lambda rows: F.when(F.contains("prompt", F.lit("1")), "**Yes**, it does").otherwise("No."))
+    told = judged.described(samples, judge).groupBy("task").agg(F.count("*").alias("total"), F.count_if("matched").alias("correct"))
+    return told.withColumn("acc", F.round(F.col("correct") / F.col("total"), 5))
+
+
+@query("""SELECT doc_id, 'e' || (doc_id % 3) || ', last' AS entities FROM documents""")
+def l5_entities(spark, d):
+    lines = F.concat(F.lit("Background | field\nCamera | still\nno line\n1 | e"), (F.col("doc_id") % 3).cast("string"), F.lit("\n2 |  last "))
+    return table(spark, d, "documents").select("doc_id", answers.entity_names(lines).alias("entities"))
+
+
+@query("""SELECT event_id, '{"a":{"k":' || json_extract_string(props, '$.k') || '},"b":[1,2]}' AS canonical, 'm_d_' || substr(md5('{"a":{"k":' || json_extract_string(props, '$.k') || '},"b":[1,2]}'), 1, 8) AS key FROM events""")
+def n6_canonical_json(spark, d):
+    odd = jsons.canonical_json(F.concat(F.lit('{ "b": [1, 2], "a": '), "props", F.lit("}")))
+    return table(spark, d, "events").select("event_id", odd.alias("canonical"), temporal.cache_key(F.lit("m"), F.lit("d"), odd).alias("key"))
+
+
+@query("""SELECT page_id, to_base64(encode(html)) AS encoded, substr(html, 1, 100) AS shown FROM pages""")
+def m9_base64(spark, d):
+    return table(spark, d, "pages").select("page_id", text.encoded(F.col("html").cast("binary")).alias("encoded"), text.shortened(F.col("html"), 100).alias("shown"))
+
+
 @query(with_views("qa", then="""SELECT task, count(*) AS n, round(avg(CAST(h0 AS INTEGER)), 5) AS basic, round(avg(CAST(h1 AS INTEGER)), 5) AS halluc, round(avg(CAST(h0 AND h1 AS INTEGER)), 5) AS both FROM (
   SELECT task, regexp_matches(lower(p0), '(^|[^a-z])' || r0 || '($|[^a-z])') AS h0, regexp_matches(lower(p1), '(^|[^a-z])' || r1 || '($|[^a-z])') AS h1 FROM qa) GROUP BY task""".replace(" AS both", ' AS "both"')))
 def a17_hallucination_task(spark, d):
@@ -399,8 +463,8 @@ _RIGHT = "CASE WHEN sample_id % 3 = 0 AND NOT failed THEN i11 ELSE 0 END"
   round(avg(CASE WHEN sample_id % 3 = 0 THEN 1 ELSE 0 END), 5) AS acc, round(avg({_RIGHT}), 5) AS miou, {_over(_RIGHT, 'r')} FROM ious GROUP BY task, source)"""))
 def a13_gvq(spark, d):
     n = F.col("sample_id") % 3
-    said = F.when(n == 0, "(B) here").when(F.col("sample_id") % 5 == 4, "").otherwise("(A) there")
-    return grounding.grounded_choice(views.grounding(spark, d).withColumn("outcome", parse.choice(said, F.lit("b"))))
+    said = F.when(n == 0, "(B) here").when(F.col("sample_id") % 5 == 4, "").otherwise("a, not (B)")
+    return grounding.grounded_choice(views.grounding(spark, d).withColumn("outcome", parse.leading_choice(said, F.lit("b"))))
 
 
 DETECTION_SQL = """taus AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau), videos AS (SELECT g.video, n_gold, coalesce(n_pred, 0) AS n_pred FROM (SELECT video, count(*) AS n_gold FROM gold GROUP BY 1) g LEFT JOIN (SELECT video, count(*) AS n_pred FROM pred GROUP BY 1) USING (video)),
@@ -445,14 +509,33 @@ def a15_dvc_caption_suite(spark, d):
     return each.agg(F.max("videos").alias("videos"), *[F.round(F.avg(c), 5).alias(c) for c in dense.SCORES])
 
 
-@query(with_views("grounding", then=f"""SELECT coalesce(metric, 'OVERALL') AS metric, count(*) AS tasks, round(avg(value), 5) AS value FROM (
-  SELECT metric, task, avg(value) AS value FROM (
-    SELECT 'grounding' AS metric, task, source, {_mean('x')} AS value FROM (SELECT task, source, {_over(_FIRST, 'x')} FROM ious GROUP BY ALL)
-    UNION ALL SELECT 'complex', task, source, {_mean('x')} FROM (SELECT task, source, {_over(_BEST, 'x')} FROM ious GROUP BY ALL)) GROUP BY 1, 2) GROUP BY ROLLUP (metric)"""))
+SIMILARITY_SQL = """sets AS (SELECT 'p' AS side, video, idx, list_distinct(CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END) AS w FROM (SELECT video, idx, lower(trim(regexp_replace(sentence, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS t FROM pred)
+  UNION ALL SELECT 'g', video, idx, list_distinct(CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END) FROM (SELECT video, idx, lower(trim(regexp_replace(sentence, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS t FROM gold)),
+sims AS (SELECT q.video, q.pred_i, iou, CASE WHEN len(p.w) * len(g.w) = 0 THEN 0 ELSE len(list_intersect(p.w, g.w)) / sqrt(len(p.w) * len(g.w)) END AS sim FROM pairs q JOIN sets p ON p.side = 'p' AND p.video = q.video AND p.idx = q.pred_i JOIN sets g ON g.side = 'g' AND g.video = q.video AND g.idx = q.ref_i),
+scored AS (SELECT tau, video, sim FROM sims JOIN taus ON iou >= tau UNION ALL SELECT tau, p.video, 0 FROM pred p, taus WHERE p.video IN (SELECT video FROM gold) AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.video = p.video AND q.pred_i = p.idx AND q.iou >= tau)),
+alike AS (SELECT tau, avg(coalesce(sim, 0)) AS sim FROM (SELECT DISTINCT video FROM gold) CROSS JOIN taus LEFT JOIN (SELECT tau, video, avg(sim) AS sim FROM scored GROUP BY 1, 2) USING (tau, video) GROUP BY tau)"""
+
+
+@query(f"WITH {views.SQL['dense']},\n{DETECTION_SQL},\n{SIMILARITY_SQL} SELECT tau, round(sim, 6) AS sim FROM alike")
+def a15_dvc_caption_similarity(spark, d):
+    """At each threshold: captions against those whose intervals they meet, and against none where they meet none; means over the videos."""
+    return dense.caption_scores(*views.dense(spark, d)).select("tau", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH {views.SQL['grounding']},\n{views.SQL['dense']},\n{DETECTION_SQL},\n{SIMILARITY_SQL},
+parts AS (
+  SELECT 'referring' AS metric, p_brand AS task, 's' AS source, round(avg(CASE WHEN p_partkey % 6 < 4 AND p_partkey % 6 = p_size % 4 THEN 1 ELSE 0 END), 5) AS value FROM part GROUP BY p_brand
+  UNION ALL SELECT 'grounding', task, source, {_mean('x')} FROM (SELECT task, source, {_over(_FIRST, 'x')} FROM ious GROUP BY ALL)
+  UNION ALL SELECT 'captioning', 'dvc', 's', round(avg(f1), 5) FROM detected UNION ALL SELECT 'captioning_similarity', 'dvc', 's', round(avg(sim), 5) FROM alike
+  UNION ALL SELECT 'complex', task, source, {_mean('x')} FROM (SELECT task, source, {_over(_BEST, 'x')} FROM ious GROUP BY ALL))
+SELECT coalesce(metric, 'OVERALL') AS metric, count(*) AS tasks, round(avg(value), 5) AS value FROM (SELECT metric, task, avg(value) AS value FROM parts GROUP BY 1, 2) GROUP BY ROLLUP (metric)""")
 def a16_overall(spark, d):
-    rows = views.grounding(spark, d)
-    part = lambda frame, metric, c: frame.select(F.lit(metric).alias("metric"), "task", "source", F.col(c).alias("value"))
-    return grounding.overall(part(grounding.first_span(rows), "grounding", "f1").union(part(grounding.event_match(rows), "complex", "mrec")))
+    rows, (pred, gold) = views.grounding(spark, d), views.dense(spark, d)
+    part = lambda frame, metric, c, task=None: frame.select(F.lit(metric).alias("metric"), F.lit(task).alias("task") if task else "task", F.col("source") if "source" in frame.columns else F.lit("s").alias("source"), F.col(c).alias("value"))
+    mean = lambda frame, c: frame.agg(F.round(F.avg(c), 5).alias(c))
+    every = part(a6_choice_letters(spark, d), "referring", "acc").union(part(grounding.first_span(rows), "grounding", "f1")).union(part(mean(dense.detection(pred, gold), "f1"), "captioning", "f1", "dvc"))
+    every = every.union(part(mean(dense.caption_scores(pred, gold), "sim"), "captioning_similarity", "sim", "dvc")).union(part(grounding.event_match(rows), "complex", "mrec"))
+    return grounding.overall(every)
 
 
 # ---- head to head ----

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.text import encoded
+
 
 def plain_path(path: Column) -> Column:
     """A path without the scheme of the local file system."""
@@ -54,4 +56,4 @@ def structure(spark: SparkSession, folder: str, annotation: str | None = None) -
 def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, content binary, encoded string) of the files under a folder: their bytes, and these in base64."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return read.select("path", "content", F.base64("content").alias("encoded"))
+    return read.select("path", "content", encoded(F.col("content")).alias("encoded"))
