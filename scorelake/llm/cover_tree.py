@@ -30,8 +30,8 @@ SHARD, BLOCK, PIVOTS, SEEDS = 4096, 2048, 512, 2048
 LEAF = 48
 #: A child's radius against its parent's, at most.
 SHRINK = 0.7
-#: Centres that are tried at a time.
-TRIED = 256
+#: Centres that are tried at a time; points of leaves that are compared at a time at most, about (at first LEAF, then more and more).
+TRIED, TOGETHER = 256, 1024
 LONGEST = (1 << 63) - 1
 
 
@@ -170,24 +170,39 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data:
     count("nodes", d.size)
     count("query_nodes", q.size)
     count("all", len(queries) * len(data))
-    stack = [(0, 0, float(bounds(0, np.array([0]))[0]))]
+    inner = np.array([c is not None for c in d.children])
+
+    def alive(a: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of nodes that may hold something for the query group, and their bounds: the others' are less than the group's worst kth score."""
+        tops = bounds(a, nodes)
+        keep = ~(tops < worst[q.members[a]].min())
+        count("visited", len(nodes))
+        count("pruned", int((~keep).sum()))
+        return nodes[keep], tops[keep]
+
+    stack = [(0, np.array([0]))]
     while stack:
-        a, b, top = stack.pop()
-        count("visited")
-        if top < worst[q.members[a]].min():  # the query group's worst kth score
-            count("pruned")
+        a, nodes = stack.pop()
+        nodes, tops = alive(a, nodes)
+        while (wide := inner[nodes] & ((dr[nodes] >= qr[a]) | (q.children[a] is None))).any():
+            below, their_tops = alive(a, np.concatenate([d.children[n] for n in nodes[wide]]))
+            nodes, tops = np.concatenate([nodes[~wide], below]), np.concatenate([tops[~wide], their_tops])
+        if q.children[a] is not None:
+            stack += [(int(child), nodes) for child in q.children[a]]
             continue
-        qk, dk = q.children[a], d.children[b]
-        if qk is None and dk is None:
-            count("compared", len(q.members[a]) * len(d.members[b]))
-            compare(q.members[a], d.members[b])
-        elif qk is None or dk is not None and dr[b] >= qr[a]:
-            tops = bounds(a, dk)
-            for i in np.argsort(tops):  # the most promising is next
-                stack.append((a, int(dk[i]), float(tops[i])))
-        else:
-            for child in qk:
-                stack.append((int(child), b, float(bounds(int(child), np.array([b]))[0])))
+        order = np.argsort(-tops)  # the most promising come first, some points at a time
+        nodes, tops = nodes[order], tops[order]
+        sizes = np.cumsum([len(d.members[n]) for n in nodes])
+        at, most = 0, LEAF
+        while at < len(nodes):
+            if tops[at] < worst[q.members[a]].min():
+                count("pruned", len(nodes) - at)
+                break
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+            cols = np.concatenate([d.members[n] for n in nodes[at:to]])
+            count("compared", len(q.members[a]) * len(cols))
+            compare(q.members[a], cols)
+            at, most = to, min(2 * most, TOGETHER)
     return best, owners, best != low
 
 
