@@ -4,7 +4,7 @@ A text is cut into pre-tokens, at places over which no piece of the vocabulary r
 character, and on both sides of a line feed. That no piece reaches over them is checked against the vocabulary when the model is
 loaded. Merges of one pre-token then never depend on another, so the counts add up.
 
-Offline, each vocabulary string is encoded alone; those that give one token are whole tokens. A pre-token among them counts 1 without
+Offline, once on the driver, each vocabulary string is encoded alone; those that give one token are whole tokens, and tasks get their list. A pre-token among them counts 1 without
 any merge. Only the rest is merged, by the library, each distinct pre-token of a task once while the cache (CACHED entries) lasts.
 """
 
@@ -12,20 +12,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 200_000
-LONGEST_CACHED = 64
+#: Merged pre-tokens that are kept, and the longest of them; the cache starts afresh when it is full, which changes no count.
+CACHED, LONGEST_CACHED = 200_000, 64
 #: How the library writes a space; such a character in a text counts as one.
 MARK = "▁"
 
 
 class PieceCounter:
-    def __init__(self, path: str):
+    """whole: the whole tokens, if they have been proved before."""
+
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -34,7 +35,7 @@ class PieceCounter:
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in pieces) and self._plain_spaces()
         strings = [p.replace(MARK, " ") for p in pieces] if self.apart else []
         #: Pre-tokens that the library encodes as one token, proved one by one.
-        self.whole = {s: 1 for s in strings if self._merged(s) == 1}
+        self.whole = dict.fromkeys(whole if whole is not None else [s for s in strings if self._merged(s) == 1], 1)
         self.known: dict[str, int] = {}
 
     def _plain_spaces(self) -> bool:
@@ -85,9 +86,14 @@ class PieceCounter:
 PRE_TOKENS = re.compile(r" *[^ ]+| +").findall
 
 
-@cache
-def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+_counters: dict[str, PieceCounter] = {}
+
+
+def counter(path: str, whole: frozenset[str] | None = None) -> PieceCounter:
+    """One for each process and file."""
+    if path not in _counters:
+        _counters[path] = PieceCounter(path, whole)
+    return _counters[path]
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -96,8 +102,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_column: str
     A null text counts as empty, with no bytes and no tokens. Repeated rows give repeated results; other columns are ignored.
     """
 
+    proved = docs.sparkSession.sparkContext.broadcast(frozenset(counter(model).whole))  # the vocabulary's strings at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model).count
+        count = counter(model, proved.value).count
         for batch in batches:
             counts = [count(text.as_py() or "") for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=[id_column, "n_bytes", "n_tokens"])
