@@ -176,8 +176,8 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
     return Filters.of({lang: sorted(g for g, n in own.items() if n / totals[lang] >= SHARE * most[g]) for lang, own in table.items()})
 
 
-def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of docs: the columns of carry, lang_pred string, score double (0 to 1: the share of n-grams explained).
+def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row of docs: the columns of carry, lang_pred string, score double (0 to 1: the share of n-grams explained); out are these two's names, which carry must not have.
 
     A text that is null or has no letter gets und and 0; any other the best learnt language (ties to the first by name; und if none
     was learnt). Repeated rows give repeated results. An empty table gives no rows.
@@ -188,11 +188,11 @@ def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry:
         model = shared.value
         for batch in batches:
             found = [model.predict(text.as_py()) for text in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carry, *out])
 
-    plain = docs.select(*(F.col(c) for c in carry), F.col(text_column).alias(spare(list(carry), "whole")[0]))
+    plain = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text_column).alias(spare(list(carry), "whole")[0]))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(run, f"{kept}lang_pred string, score double")
+    return plain.mapInArrow(run, f"{kept}`{out[0]}` string, `{out[1]}` double")
 
 
 def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:

@@ -180,8 +180,8 @@ def repeated_lines(docs: DataFrame, least: int = 10, id_column: str = "doc_id",
     return probe(built, probes).groupBy("doc", "row").agg(F.collect_set(F.struct("h", "check")).alias("hashes"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: the id column, the columns of carry, n_lines long, n_dropped long, kept_text string.
+def dedup_lines(docs: DataFrame, least: int = 10, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), out: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
+    """Per row of docs: the id column, the columns of carry, n_lines long, n_dropped long, kept_text string; out are these three's names, which carry must not have.
 
     A text is split at line feeds; a null or empty one has one empty line. A line's key is the line without white space at its ends and with
     A-Z lower-cased. Keys of at least so many code points that are found in at least two documents keep their lines only in the document
@@ -211,9 +211,9 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_column: str = "doc_id", tex
                         n = whole.count("\n") + 1
                         found.append((n, n, whole))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-2], pa.array([n for n, *_ in found], pa.int64()), pa.array([n - m for n, m, _ in found], pa.int64()), pa.array([x[2] for x in found], pa.string())], names=[*columns, "n_lines", "n_dropped", "kept_text"],
+                    [*part.columns[:-2], pa.array([n for n, *_ in found], pa.int64()), pa.array([n - m for n, m, _ in found], pa.int64()), pa.array([x[2] for x in found], pa.string())], names=[*columns, *out],
                 )
 
     asked = joined.select(*(F.col(f"`{c}`") for c in columns), text, hashes)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.schema.fields[: len(columns)])
-    return asked.mapInArrow(strip, f"{kept}n_lines long, n_dropped long, kept_text string")
+    return asked.mapInArrow(strip, f"{kept}`{out[0]}` long, `{out[1]}` long, `{out[2]}` string")

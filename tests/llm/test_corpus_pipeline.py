@@ -1,11 +1,14 @@
 import re
+import zlib
 
 import corpus_pipeline as cp
+import pytest
 from pyspark.sql import functions as F
 
-from scorelake.llm import language_id, secret_scan
+from scorelake.llm import byte_bpe, language_id, secret_scan
 from test_line_dedup import brute as brute_lines
 from test_near_dedup import brute as brute_near
+from test_secret_scan import link
 
 DIR = "/root/testdata/sf0.001"
 
@@ -84,3 +87,66 @@ def test_documents_without_languages_stay(spark):
     # a language of which too little is known to have n-grams explains nothing
     few = spark.createDataFrame([(1, "Ab", "en", "s", 2), (2, "cd", None, "s", 2), (3, "7", None, "s", 1)], docs.schema)
     assert sorted(r.doc_id for r in cp.identify(spark, few, "").collect()) == [1, 2]
+
+
+def hidden(text):
+    """The text with each secret, and what overlaps it, replaced."""
+    out, at = [], 0
+    for start, _, end in link(text, secret_scan.REACH):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_run_against_brute_force(spark):
+    """The pipeline's pieces are those of the texts that brute-force versions of its stages leave, in sequences without gaps."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in cp.identify(spark, docs, DIR).collect()]
+    rows = [(int(i), t) for i, _, n, t in brute_lines(rows) if not (n and not t.strip(" \t\n\x0b\x0c\r"))]
+    first = {i for i, _, _, kept in brute_near(rows, 5, 80) if kept}
+    bpe = byte_bpe.coder(cp.TOKENIZER)
+    want = {}
+    for i, text in rows:
+        if i in first:
+            ids = bpe.library.encode(hidden(text), add_special_tokens=False).ids + [0]
+            head = len(ids) % cp.CAPACITY
+            want[i] = ids, head
+    got = {}
+    for r in cp.run(spark, DIR).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(want)
+    placed = {}
+    for i, pieces in got.items():
+        ids, _ = want[i]
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.piece):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + r.length]))
+            at += r.length
+            placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert at == len(ids) and (len(pieces) == 1 or len(ids) > cp.CAPACITY)
+    for own in placed.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= cp.CAPACITY
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows(spark, name):
+    """Null ids and texts, repeated rows and clashing names, in each stage alone: no stage fails, and those that filter keep what is clean."""
+    text = lambda word: "\n".join(f"{word} line of the text number {word}{i}, with words" for i in range(8))
+    rows = [(1, text("alpha")), (None, text("beta")), (None, text("gamma")), (2, None), (3, ""), (4, text("delta")), (4, text("delta")), (5, "token=abcdefghijklmnop " + text("omega")), (6, "x" * 60_000), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "a", 2, "b", 3.0, 4, 5, 6, "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, found string, row int, lang_pred string, score double, h int, n_lines int, n_dropped int, kept_text string")
+    got = dict(cp.STAGES)[name](spark, docs, "")
+    if name == "best_fit_packing":
+        assert got.groupBy("doc_id").count().count() == 7 and got.filter("doc_id is null").count() >= 3
+        return
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    clean = [(1, text("alpha")), (None, text("beta")), (None, text("gamma"))]
+    assert all(kept.count(x) == 1 for x in clean)
+    assert kept.count((4, text("delta"))) == (1 if name == "near_dedup" else 2)
+    if name == "secret_scan":
+        assert len(kept) == len(rows) and any("[SECRET]" in (t or "") for _, t in kept)
