@@ -30,28 +30,30 @@ def _retold(frame: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language: lang is the predicted one. Those without a letter, and those that no learnt language explains, go.
-    Where no language was learnt, only those without a letter go, and lang is und."""
+    Where no language was learnt, only those without a letter go, and lang is und. Null ids don't matter; repeated rows stay repeated."""
     lang, score = spare(docs.columns, "lang_pred", "score")
     columns = docs.columns
     filters = language_id.fit(docs)
     if not filters.learnt:
         kept = language_id.lettered(docs)
         return kept.select(*[F.lit(language_id.NONE).alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])
-    found = language_id.predict(docs, filters, carry=tuple(columns)).toDF(*columns, lang, score)
+    found = language_id.predict(docs, filters, carry=tuple(columns), out=(lang, score))
     kept = found.filter((F.col(lang) != language_id.NONE) & (F.col(score) >= LEAST_SCORE))
     return kept.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds; a document that has lost its lines and has no other text goes."""
+    """Drops lines that an earlier document holds; a document that has lost its lines and has no other text goes. Rows of one id, and those with a null one, count as one document each; a null text is an empty one."""
     columns = docs.columns
-    found = line_dedup.dedup_lines(docs, least=10, carry=tuple(columns))
-    emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r"))) == 0)
-    return _retold(found.filter(~emptied), columns, "kept_text")
+    lines, dropped, kept = spare(columns, "n_lines", "n_dropped", "kept_text")
+    found = line_dedup.dedup_lines(docs, least=10, carry=tuple(columns), out=(lines, dropped, kept))
+    emptied = (F.col(dropped) > 0) & (F.length(F.btrim(kept, F.lit(" \t\n\x0b\x0c\r"))) == 0)
+    return _retold(found.filter(~emptied), columns, kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each near-duplicate group, that with the smallest id, a null id last. Rows are told apart by numbers of their own, so texts aren't linked by equal or null ids."""
+    """Keeps one row of each near-duplicate group, that with the smallest id, a null id last. Rows are told apart by numbers of their own, so texts aren't linked by equal or null ids; of
+    repeated rows one stays. Rows without words are no one's copies and stay."""
     columns = docs.columns
     row = spare(columns, "row")[0]
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -65,13 +67,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; every document stays."""
+    """Replaces secrets by a mark; every row stays, with null and empty texts as they are."""
     clean = secret_scan.redact(docs)
     return _retold(clean, docs.columns, "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Packs all documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is an empty one; repeated rows are packed as often, and a null id stays null."""
     return packing.best_fit(docs, TOKENIZER, CAPACITY, end_id=0)
 
 
