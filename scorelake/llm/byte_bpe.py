@@ -37,11 +37,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from scorelake.llm.common import partitions
 
 #: Bytes of text of a block, about; a longer text has a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Words encoded at a time.
 AT_ONCE = 8192
 #: Words whose ids are packed at a time.
-PACKED = 1 << 19
+PACKED = 1 << 18
 #: Parts of the words for each partition of an exchange; numbers of blocks begin beyond those of parts.
 FINER, FIRST_BLOCK = 8, 1 << 40
 #: Entries of the table of distinct words that one ByteBpe keeps for encode; it then starts afresh, which changes no result.
@@ -312,6 +312,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, id_column: str = "doc_id
                     yield from block()
                     made, since = made + 1, i + 1
                     ids, words, counts, size = [], [], [], 0
+                    pa.default_memory_pool().release_unused()
             if since < batch.num_rows:
                 ids.append(column.slice(since))
         if counts:
@@ -361,6 +362,7 @@ def encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[pa.Reco
             if sum(map(len, numbers)) >= PACKED:
                 yield packed()
                 blocks_of, numbers, ids = [], [], []
+                pa.default_memory_pool().release_unused()
     if numbers:
         yield packed()
 
