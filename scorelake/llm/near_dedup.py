@@ -315,10 +315,10 @@ def alike(group: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarra
     rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
     sides = [(rows[~major[rows]], cols)] + ([(rows[major[rows]], cols[~major[cols]])] if i != j else [])
     for left, right in sides:
-        for at in range(0, len(left), 256):
-            here = left[at : at + 256]
-            for to in range(0, len(right), 2048):
-                there = right[to : to + 2048]
+        for at in range(0, len(left), 128):  # bounds what a comparison holds at once
+            here = left[at : at + 128]
+            for to in range(0, len(right), 1024):
+                there = right[to : to + 1024]
                 good = (component[here][:, None] != component[there][None, :]) & (estimate(equal_bits(bits[here][:, None, :], bits[there][None, :, :])) >= least)
                 good &= (root[here][:, None] != root[there][None, :]) & (doc[here][:, None] != root[there][None, :]) & (root[here][:, None] != doc[there][None, :])
                 x, y = np.nonzero(good)
