@@ -48,9 +48,10 @@ def revisits(pages: DataFrame, id_column: str = "page_id", html_column: str = "h
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     base = pages.select(F.col(id_column).alias("page_id"), url.alias("url"), payload.alias("payload"))
     base = base.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
-    # partial sums meet first, so a payload that a third of all pages share is one row for each task here
-    firsts = base.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    joined = base.join(firsts, "sha1", "left")
+    # partial sums meet first, so a payload that a third of all pages share is one row for each task here; a table of its own, of payloads that are repeated, so that the join
+    # with it sends no page where it is small, and can be split where it isn't
+    firsts = base.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha1", "first_id")
+    joined = base.join(written(firsts, "firsts"), "sha1", "left")
     again = (F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", base32(F.col("sha1")).alias("payload_digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
