@@ -18,6 +18,8 @@ from scorelake.schema import canonical
 from scorelake.sources import loaders
 
 RESULT = "task string, source string, metric string, value double"
+#: How alike two texts are, for choices and captions; encoders.encoder_similarity makes one from a sentence encoder.
+SIMILARITY: list[Callable[[Column, Column], Column]] = [captions.hashed_similarity]
 
 
 def _rows(frame: DataFrame, metrics: list[str], task: str | None = None, source: str | None = None) -> DataFrame:
@@ -102,7 +104,7 @@ def _captioning(samples: DataFrame) -> DataFrame:
     gold = last.select(*keys, "video", "s.events", F.posexplode("s.gold").alias("idx", "span")).select(*keys, "video", "idx", "span", F.get("events", F.col("idx")).alias("sentence"))
     found = dense.detection(pred, gold, keys=grounding.KEYS).join(total, keys)
     met = found.groupBy(*keys).agg(F.round(F.avg(f1(F.col("recall") * F.col("k"), F.col("precision") * F.col("k"))), 5).alias("f1"))
-    like = dense.caption_scores(pred, gold, keys=grounding.KEYS).groupBy(*keys).agg(F.round(F.avg("sim"), 5).alias("sim"))
+    like = dense.caption_scores(pred, gold, keys=grounding.KEYS, similarity=SIMILARITY[0]).groupBy(*keys).agg(F.round(F.avg("sim"), 5).alias("sim"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), zero(c).alias("value")) for m, c in (("captioning", "f1"), ("captioning_similarity", "sim"))])).alias("x")
     return total.join(met, keys, "left").join(like, keys, "left").select(*keys, both).select("x.metric", *keys, "x.value")
@@ -113,7 +115,7 @@ def et_bench(samples: DataFrame) -> DataFrame:
     An answer is the stored one, or else the first prediction."""
     rows = samples.filter((F.coalesce("task", F.lit("")) != "") & (F.coalesce("source", F.lit("")) != ""))
     rows = canonical(rows).withColumn("answer_text", F.coalesce("answer_text", _text("prediction")))
-    chosen = (F.col("answer_text"), F.get(F.array(*map(F.lit, parse.LETTERS)), F.col("reference_idx")), F.col("options"), captions.hashed_similarity)
+    chosen = (F.col("answer_text"), F.get(F.array(*map(F.lit, parse.LETTERS)), F.col("reference_idx")), F.col("options"), SIMILARITY[0])
     read = rows.select("task", "source", parse.time_spans(F.col("answer_text")).alias("pred"), F.flatten("gt_segments").alias("gold"), parse.first_number(F.col("answer_text")).alias("number"), F.when(F.col("task") == "gvq", parse.leading_choice(*chosen)).otherwise(parse.choice(*chosen)).alias("outcome"))
     of = lambda *tasks: read.filter(F.col("task").isin(*tasks))
     plans = [

@@ -43,7 +43,9 @@ def option_lines(options: Column) -> Column:
 
 
 def likest(text: Column, options: Column, similarity: Callable[[Column, Column], Column]) -> Column:
-    """The letter of the option most similar to a text, the first among equals; null without options."""
+    """The letter of the option most similar to a text, the first among equals; null without options. A similarity that finds the place itself does so (its attribute best)."""
+    if best := getattr(similarity, "best", None):
+        return F.when(F.size(options) > 0, F.substring(F.lit(LETTERS), best(text, option_lines(options)) + 1, F.lit(1)))
     scored = F.transform(option_lines(options), lambda o, i: F.struct(similarity(text, o).alias("sim"), (-i).alias("i")))
     return F.when(F.size(options) > 0, F.substring(F.lit(LETTERS), (1 - F.array_max(scored)["i"]).cast("int"), F.lit(1)))
 

@@ -6,7 +6,7 @@ partition where their key is, so nothing but sums leaves it, and a text of any l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -213,9 +213,10 @@ def cider_d(rows: DataFrame, group: str, key: str, candidate: str = "prediction"
     return lengths.join(own, key, "left").select(key, F.round(10 * F.coalesce("cosine", F.lit(0.0)) * F.col("penalty"), 6).alias("cider"))
 
 
-def caption_suite(rows: DataFrame, group: str, key: str) -> DataFrame:
+def caption_suite(rows: DataFrame, group: str, key: str, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(group, bleu_1 to bleu_4, rouge_l, meteor, cider, sim): corpus BLEU of a group's pairs, and means of the others over them."""
-    each = alignment_scores(rows, key).join(cider_d(rows, group, key), key).join(rows.select(key, group, hashed_similarity(F.col("prediction"), F.col("reference")).alias("sim")), key)
+    alike = (similarity or hashed_similarity)(F.col("prediction"), F.col("reference"))
+    each = alignment_scores(rows, key).join(cider_d(rows, group, key), key).join(rows.select(key, group, alike.alias("sim")), key)
     means = each.groupBy(group).agg(*[F.avg(c).alias(c) for c in ("rouge_l", "meteor", "cider", "sim")])
     return corpus_bleu(rows, group, key).join(means, group, "left")
 

@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -352,3 +353,24 @@ def test_choices_by_similarity(spark):
     assert (got["rar", "s"], got["rar", "s2"], got["rar", "s3"], got["rar", "s4"]) == (1.0, 1.0, 1.0, 0.0)
     replies = frame.filter("task = 'rar' and source = 's'").select("task", "source", F.lit(None).cast("string").alias("answer_text"), F.array(F.lit("(B)")).alias("prediction"), "gt_segments", "reference_idx", "options")
     assert {(r.task, r.source): r.value for r in evaluators.et_bench(replies).collect() if r.task} == {("rar", "s"): 1.0}
+
+
+def test_encoder(spark, monkeypatch):
+    import numpy as np
+
+    from scorelake.functions.encoders import encoder_similarity
+    from scorelake.functions.parse import likest
+
+    def make():
+        return lambda texts: np.array([[t.count(c) for c in "abcdxyz"] for t in texts], float)
+
+    similarity = encoder_similarity(make)
+    rows = [("aab", "ab", ["xyz", "ab d"]), ("", "a", ["x"]), (None, "a", []), ("xyz", None, None)]
+    frame = spark.createDataFrame(rows, "a string, b string, options array<string>")
+    got = [(r.sim, r.letter) for r in frame.select(similarity(F.col("a"), F.col("b")).alias("sim"), likest(F.col("a"), F.col("options"), similarity).alias("letter")).collect()]
+    assert got[0] == (pytest.approx(3 / math.sqrt(10)), "b") and got[1] == (0.0, "a") and got[2] == (None, None) and got[3] == (None, None)
+    monkeypatch.setattr(evaluators, "SIMILARITY", [similarity])
+    sample = [("rar", "s", "aab", None, 1, ["xyz", "ab d"]), ("dvc", "s", "0 - 10 seconds, aab ab", [[(0.0, 10.0)]], None, None)]
+    held = spark.createDataFrame(sample, "task string, source string, answer_text string, gt_segments array<array<struct<start:double,end:double>>>, reference_idx int, options array<string>").withColumn("events", F.array(F.lit("aab ab"))).withColumn("id", F.col("task"))
+    got = {(r.metric, r.task): r.value for r in evaluators.et_bench(held).collect()}
+    assert got["referring", "rar"] == 1.0 and got["captioning_similarity", "dvc"] > 0
