@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,22 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold at most 8 MB, where the session hasn't set another size: several are held at once in the JVM and in each worker."""
+    with contextlib.suppress(PySparkException):  # no such setting in this version
+        if spark.conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+            spark.conf.set(BATCH_BYTES, "8m")
+
+
+#: The setting's value in a session that hasn't set it.
+DEFAULT_BYTES = "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +54,7 @@ def written(df: DataFrame, what: str = "stage") -> DataFrame:
     The folder goes when the application ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/scorelake/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     system, target = _place(spark, path)

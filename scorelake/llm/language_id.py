@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import spare
+from scorelake.llm.common import small_batches, spare
 
 #: Labelled rows of each language that fitting reads at most, equal texts counting as one: the bound of the sample.
 SAMPLE = 2000
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, filters: Filters, text_column: str = "text", carry:
     A text that is null or has no letter gets und and 0; any other the best learnt language (ties to the first by name; und if none
     was learnt). Repeated rows give repeated results. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the n-grams of SAMPLE texts of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
