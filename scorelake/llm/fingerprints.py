@@ -26,10 +26,10 @@ from scorelake.llm.common import partitions, settings, written
 #: Ends of paragraphs: line feeds, and white space after the end of a sentence or clause.
 BREAK = r"\n+|(?<=[.!?;:,])\s+"
 TABLES, BASE = 3, 8
-#: Digests that differ which BASE cells a part are trusted with; cells for each digest of larger tables, and how much an estimate is raised; peeling steps (each of one part).
-TRUSTED, LOAD, RAISED, STEPS = 8, 2.0, 1.25, 15
-#: How much larger the tables are when a comparison is tried again, and how often they grow.
-LARGER, GROWTH = 4.0, 4
+#: Digests that differ which BASE cells a part are trusted with; cells for each digest of larger tables, and how much an estimate is raised (by 12 digests more), so that about one comparison in a hundred fails; peeling steps (each of one part).
+TRUSTED, LOAD, RAISED, STEPS = 8, 2.0, 2.5, 15
+#: How much larger the tables are when a comparison is tried again, and how often they grow; cells of a part at least, where it isn't BASE; documents of a partition that are tried again, about.
+LARGER, GROWTH, SMALLEST, AGAIN_ROWS = 4.0, 4, 16, 512
 #: Ranges of ids by quantiles at most, documents of a range, about, and ranges in all, about, from which on these hold more documents; an id of more than this part of all rows is cut by texts.
 RANGES, RANGE_ROWS, MOST_RANGES, HEAVY = 512, 256, 200_000, 1000
 #: Partitions against the session's number for shuffles: a document's cells are many times its text.
@@ -42,9 +42,9 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def place(digest: Column, part: int, size: Column, salt: int = 0) -> Column:
-    """The digest's cell in a part of so many cells."""
-    return F.pmod(F.xxhash64(digest, F.lit(part + TABLES * salt)), size).cast("int")
+def place(digest: Column, part: int, size: Column) -> Column:
+    """The digest's cell in a part of so many cells; for each size another."""
+    return F.pmod(F.xxhash64(digest, F.lit(part), size), size).cast("int")
 
 
 def table(held: Column, size: int = BASE) -> Column:
@@ -134,8 +134,8 @@ def _entries(pairs: list[tuple[str, str]], attempt: int) -> Column:
     out = []
     for pair, (a, b) in enumerate(pairs):
         both = F.size(a) + F.size(b)
-        wanted = F.least(both, F.col(f"about_{b}") * RAISED + 4) if attempt == 0 else both
-        size = F.greatest(F.lit(4), F.ceil(wanted * (LOAD * LARGER ** max(0, min(attempt - 1, GROWTH))) / TABLES)).cast("int")
+        wanted = F.least(both, F.col(f"about_{b}") * RAISED + 12) if attempt == 0 else both
+        size = (F.greatest(F.lit(SMALLEST), F.ceil(wanted * (LOAD * LARGER ** min(attempt, GROWTH)) / TABLES)) + attempt).cast("int")
         digests_of = lambda held, sign: F.transform(held, lambda d: entry(pair, size, sign, d, none, zero, zero, zero))  # noqa: E731, B023
         large = F.concat(digests_of(a, 1), digests_of(b, -1))
         if attempt == 0:
@@ -154,7 +154,7 @@ def peeled(rows: DataFrame, pairs: list[tuple[str, str]], attempt: int = 0, step
     """(bucket, sub, n, pair, only_a, only_b, left) for rows (bucket, sub, n, arrays of digests and what _entries needs): how many digests only one of a pair's arrays has, as far as they
     were recovered, and how many cells are left. A pair without a difference has no row."""
     entries = rows.select(*KEYS, F.explode(_entries(pairs, attempt)).alias("e")).select(*KEYS, "e.*")
-    cell = lambda d, part: F.col("size") * part + place(d, part, F.col("size"), attempt)
+    cell = lambda d, part: F.col("size") * part + place(d, part, F.col("size"))
     item = lambda c, n, key, check: F.struct(c.cast("int").alias("cell"), n.cast("long").alias("count"), key.alias("key"), check.alias("check"))
     each = F.array(*[item(cell(F.col("d"), part), F.col("sign"), F.col("d"), F.xxhash64("d")) for part in range(TABLES)])
     ready = F.array(item(F.col("cell"), F.col("count"), F.col("key"), F.col("check")))
@@ -207,13 +207,18 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     done: DataFrame | None = None
     attempt = 0
-    while done is None or not info.isEmpty():
-        # each aggregation's first-level map takes a whole page of memory from the start, which a chain of thirty hasn't to spare
-        with settings(docs.sparkSession, spark__sql__codegen__aggregate__map__twolevel__enabled="false"):
+    left, spark = None, docs.sparkSession
+    while left != 0:
+        # each aggregation's first-level map takes a whole page of memory from the start, which a chain of thirty hasn't to spare; and the few that are tried again aren't worth
+        # compiling another chain
+        with settings(spark, spark__sql__codegen__aggregate__map__twolevel__enabled="false", spark__sql__codegen__wholeStage=str(attempt == 0).lower(), spark__sql__parquet__compression__codec="zstd"):
             found = written(_compared(info, attempt, steps if attempt == 0 else STEPS), "fingerprints")
         over = found.filter("left_e = 0 and left_x = 0")
         done = over if done is None else done.union(over)
-        info = found.filter("left_e > 0 or left_x > 0").select(*KEYS, "info", "a", "e", "x")
+        again = found.filter("left_e > 0 or left_x > 0")
+        left = again.count()
+        # dealt as before, so that peeling moves nothing, but to as few partitions as will do
+        info = again.select(*KEYS, "info", "a", "e", "x").repartition(max(1, min(FINER * partitions(spark), -(-left // AGAIN_ROWS))), *KEYS)
         attempt += 1
     return done.select(
         F.col("info.id").alias(id_column), "info.n_chars", F.col("info.sha").alias("edited_sha256"), F.col("info.own").alias("fingerprint"), F.col("info.other").alias("edited_fingerprint"), "near_edited", "near_next", "attempts",
