@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
+from scorelake.llm import byte_bpe, chat_format, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,12 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :t), (-1L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": probe})
+    return chat_format.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_secret_scan": op2_secret_scan,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_chat_format": op13_chat_format,
 }
 TOP_SQL = """
 WITH v AS (
@@ -133,10 +140,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(
 FROM marked GROUP BY doc_id
 """
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)
+), k AS (SELECT *, CASE WHEN conv_id IS NULL THEN concat_ws(chr(0), coalesce(CAST(turn AS VARCHAR), '-'), role, text) END AS lone,
+  20 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) AS chars FROM c),
+r AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+  row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS is_last FROM k)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id, lone
+"""
+
 ORACLES: dict[str, str] = {
     "op2_secret_scan": SECRET_SQL,
     "op3_cover_tree": TOP_SQL,
     "op4_warc_round_trip": WARC_SQL,
     "op5_bbit_minhash": NEAR_SQL,
     "op9_line_dedup": LINES_SQL,
+    "op13_chat_format": CHAT_SQL,
 }
