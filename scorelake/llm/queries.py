@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, chat_format, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, secret_scan, warc
+from scorelake.llm import byte_bpe, chat_format, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, resampling, secret_scan, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10_000, longest=1, least_words=20, percent=10, seed=2024)
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :t), (-1L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": probe})
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_resampling": op12_resampling,
     "op13_chat_format": op13_chat_format,
 }
 TOP_SQL = """
@@ -140,6 +145,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(
 FROM marked GROUP BY doc_id
 """
 
+RESAMPLING_SQL = r"""
+WITH crc_table AS (SELECT [list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)] AS codes),
+w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 'raw' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'aim', item_id, text FROM benchmark)
+), f AS (SELECT kind, id, unnest(w) AS f FROM w),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT) FOR i IN range(strlen(f))]), lambda c, x: xor(c >> 8, codes[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM f), crc_table
+), n AS (SELECT bucket, count(*) FILTER (kind = 'raw') AS s, count(*) FILTER (kind = 'aim') AS t FROM f JOIN b USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS gain FROM n),
+d AS (SELECT id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE kind = 'raw' GROUP BY id),
+p AS (
+  SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN d USING (id) WHERE kind = 'raw'
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM p WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM p LEFT JOIN r USING (doc_id)
+"""
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -160,5 +184,6 @@ ORACLES: dict[str, str] = {
     "op4_warc_round_trip": WARC_SQL,
     "op5_bbit_minhash": NEAR_SQL,
     "op9_line_dedup": LINES_SQL,
+    "op12_resampling": RESAMPLING_SQL,
     "op13_chat_format": CHAT_SQL,
 }
