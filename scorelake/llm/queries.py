@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, chat_format, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, resampling, secret_scan, warc
+from scorelake.llm import alignment, byte_bpe, chat_format, cover_tree, fingerprints, language_id, line_dedup, near_dedup, packing, piece_counts, resampling, secret_scan, warc
 from scorelake.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10_000, longest=1, least_words=20, percent=10, seed=2024)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_alignment": op11_alignment,
     "op12_resampling": op12_resampling,
     "op13_chat_format": op13_chat_format,
 }
