@@ -3,7 +3,7 @@
 Two tokenizers, side A (byte-level BPE) and side B (pieces), cut the same bytes, a space and the text. Byte offsets where tokens of both end cut them into groups, and each
 token of A is linked with each of B in its group. How many documents hold a pair of ids linked is counted over all of them; each link then gets its pair's count, and whether that is the highest of its id of side A.
 
-1. Documents are dealt to blocks of some megabytes. A block keeps each document's distinct pairs as numbers, and lists its distinct pairs with how many of its documents hold each, by stripe: an id of A belongs to stripe id mod STRIPES,
+1. Documents are dealt to blocks of some megabytes. Texts are cut into units that no token of either side reaches over, and each distinct unit is tokenised and aligned once. A block keeps each document's distinct pairs as numbers, and lists its distinct pairs with how many of its documents hold each, by stripe: an id of A belongs to stripe id mod STRIPES,
    which spreads the frequent ids, whose numbers are low. This is written once; all that follows reads it.
 2. Pairs are partitioned by stripe. Each stripe is a dense matrix (its ids of A by all ids of B, ROWS * 32,000 numbers for these files), into which the blocks' counts are added by np.add.at; the maxima of its rows are the best counts.
    Where there are many blocks, a stripe's are added in shares of about SHARE blocks first, so no task reads more than that many lists of one stripe.
@@ -16,6 +16,7 @@ So a pair travels once for each block that has it, however many documents and pl
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelake.llm.byte_bpe import LONGEST_FAST, ByteBpe, _joined, _pack, _split, _unpack
 from scorelake.llm.common import written
-from scorelake.llm.piece_counts import MARK, PRE_TOKENS, PieceCounter
+from scorelake.llm.piece_counts import MARK, PieceCounter
 
 #: Bytes of text of a block, about; a longer text has a block of its own. Links of a block that are listed at a time.
 BLOCK_BYTES, LINKS = 4 << 20, 4 << 20
@@ -38,103 +39,170 @@ ROWS, SHARE = 64, 4096
 LARGE = 64
 #: Bytes of a number or sum that is written.
 PLANES = 7
-#: Pre-tokens whose ids are kept, and the longest of them; no result depends on these.
-CACHED, LONGEST_CACHED = 200_000, 64
-
-
-class Pieces:
-    """Ids of texts for a BPE model of the sentencepiece library, by pre-tokens, each encoded once while the cache lasts."""
-
-    def __init__(self, path: str):
-        counter = PieceCounter(path, frozenset())
-        self.model, self.apart = counter.model, counter.apart
-        self.known: dict[str, bytes] = {}
-        self.space, self.line_feed = (self._packed(x) for x in (self.model.encode("\n")[:1], self.model.encode("\n")[1:]))
-
-    @property
-    def bytes_of(self) -> list[bytes]:
-        """The bytes of each id; U+2581 is a space."""
-        model = self.model
-        return [bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, np.uint32).tobytes()
-
-    def _learn(self, word: str) -> bytes:
-        """The library puts a space before a text; behind a line feed, nothing comes before a pre-token without one."""
-        if word == " ":
-            ids = self.space
-        elif word.startswith(" "):
-            ids = self._packed(self.model.encode(word[1:]))
-        else:
-            ids = self._packed(self.model.encode("\n" + word)[2:])
-        if len(word) <= LONGEST_CACHED:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not self.apart or "\0" in text or MARK in text:
-            return self._packed(self.model.encode(text))
-        known, learn = self.known.get, self._learn
-        lines = (b"".join([known(w) or learn(w) for w in PRE_TOKENS(line)]) for line in (" " + text).split("\n"))
-        return self.line_feed.join(lines)
+#: Characters of units that are tokenised together; no result depends on it.
+CHUNK = 16_000
 
 
 class Aligner:
-    """Tokens of both sides and what follows from them, for one text or a block of them."""
+    """Tokens of both sides and what follows from them, for the texts of a block.
+
+    A text, with the space before it, is cut into units where tokens of neither side reach over: before a space or a line feed that follows a character which isn't white space, and
+    behind a line feed between two such characters. Side A's pattern begins a word at these places, and side B's model has no piece over them, which is checked against its vocabulary. So groups don't
+    reach over them either, and what a unit gives is found once in a block. A text with characters that versions of Unicode may class differently, or that side B changes, is one unit.
+    """
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteBpe(a_path), Pieces(b_path)
+        counter = PieceCounter(b_path, frozenset())
+        self.a, self.b, self.apart = ByteBpe(a_path), counter.model, counter.apart
         self.a.library.encode_special_tokens = True  # their strings are plain text
-        self.a_bytes, self.b_bytes = self.a.pieces, self.b.bytes_of
+        model = self.b
+        self.a_bytes = self.a.pieces
+        self.b_bytes = [bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
         self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
         self.a_lengths, self.b_lengths = (np.array([len(p) for p in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.stripes = -(-self.n_a // ROWS)
-        #: What each id adds to a document's groups: A's before a comma or a bar, B's before a comma or a semicolon.
+        #: What each id adds to a text's groups: A's before a comma or a bar, B's before a comma or a semicolon.
         self.written = [b"%d%s" % (i, sep) for n, seps in ((self.n_a, (b",", b"|")), (self.n_b, (b",", b";"))) for i in range(n) for sep in seps]
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none for a null or empty text, and where the bytes of a side aren't those of a space and the text."""
-        none = np.zeros(0, np.uint32)
+    def units(self, text: str | None) -> list[str | tuple[str]]:
+        """None for a null or empty text; a text that isn't cut stands in a tuple."""
         if not text:
-            return none, none
-        spaced = " " + text
-        if len(spaced) <= LONGEST_FAST and self.a.ranked is not None and (spaced.isascii() or not self.a.unsettled(spaced)):
-            a = bytes(self.a.ranked(spaced, set()))
+            return []
+        if not self.apart or MARK in text or "\0" in text or not text.isascii() and self.a.unsettled(text):
+            return [(" " + text,)]
+        return UNITS(" " + text)
+
+    def tokens(self, unit: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of both sides for a unit, and whether the bytes of each side are the unit's; if not, there are no ids."""
+        if len(unit) <= LONGEST_FAST and self.a.ranked is not None and (unit.isascii() or not self.a.unsettled(unit)):
+            a = np.frombuffer(self.a.ranked(unit, set()), np.uint32)
         else:
-            a = self.a._plain(spaced)
-        a, b, data = np.frombuffer(a, np.uint32), np.frombuffer(self.b.encode(text), np.uint32), spaced.encode()
+            a = np.frombuffer(self.a._plain(unit), np.uint32)
+        # the library puts a space before a text; behind a line feed, nothing comes before a unit without one
+        b = self.b.encode("\n")[:1] if unit == " " else self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode("\n" + unit)[2:]
+        b = np.array(b, np.uint32)
+        data = unit.encode()
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
-            return none, none
-        return a, b
-
-    def block(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-        """Per document n_a, n_b, n_groups, n_links, groups_sha256 and how many distinct pairs; of all documents in turn each distinct pair's number and how many links it has; and the block's pairs, by stripe and cell, with how many documents hold each."""
-        n_docs = len(tokens)
-        counts = [np.array([len(t[side]) for t in tokens], np.int64) for side in (0, 1)]
-        a, b = (np.concatenate([t[side] for t in tokens]).astype(np.int64) for side in (0, 1))
-        # both sides of a document have as many bytes, so offsets run on over the documents, and each one's end is common
+            return NONE, NONE, False
+        return a, b, True
+
+    def sides(self, units: list[str | tuple[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of both sides of all units in turn, in parts: ids of A, ids of B, and for each unit where its ids of A and of B end. A unit whose bytes don't agree has none.
+
+        Units that may follow each other in a text are tokenised together, as such a text; whole texts stand in tuples."""
+        out, chunk, size = [], [], 0
+        for u in units:
+            if type(u) is str and len(u) <= CHUNK and not u[-1].isspace():
+                chunk.append(u)
+                size += len(u)
+                if size < CHUNK:
+                    continue
+                u = None
+            if chunk:
+                out += self._together(chunk)
+                chunk, size = [], 0
+            if u is not None:
+                out.append(self._alone(u if type(u) is str else u[0]))
+        return out + (self._together(chunk) if chunk else [])
+
+    def _alone(self, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b, _ = self.tokens(unit)
+        return a, b, np.array([len(a)]), np.array([len(b)])
+
+    def _together(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A unit that begins with no white space stands behind a line feed in texts."""
+        inner, asked = units, np.arange(len(units))
+        bare = np.array([u[0] not in " \n" for u in units])
+        if bare.any() or units[0][0] != " ":
+            inner = [x for u, alone in zip(units, bare.tolist(), strict=True) for x in (("\n", u) if alone else (u,))]
+            inner.insert(0, " a")
+            asked = np.arange(1, len(units) + 1) + np.cumsum(bare)
+        a, b, right = self.tokens("".join(inner))
+        ends = np.cumsum(list(map(len, map(str.encode, inner))))
+        cuts = []
+        for ids, lengths in ((a, self.a_lengths), (b, self.b_lengths)):
+            offsets = np.cumsum(lengths[ids])
+            at = np.searchsorted(offsets, ends)
+            right = right and len(offsets) and np.array_equal(offsets[np.minimum(at, len(offsets) - 1)], ends)
+            cuts.append(np.concatenate([[0], at + 1]))
+        if not right:
+            return [self._alone(u) for u in units]
+        out = []
+        for ids, cut in zip((a, b), cuts, strict=True):
+            n = np.diff(cut)[asked]
+            upto = np.cumsum(n)
+            out.append((ids[np.repeat(cut[asked] - (upto - n), n) + np.arange(int(upto[-1]))], upto))
+        return [(out[0][0], out[1][0], out[0][1], out[1][1])]
+
+    def described(self, units: list[str]) -> dict:
+        """Per unit n_a, n_b, n_groups, n_links, whether bytes agree (right), its groups as text (parts) and how many distinct pairs it has (many); of all units in turn, the pairs' codes (a * n_b + b) and how many links each has."""
+        found, n_units = self.sides(units), len(units)
+        a, b = (np.concatenate([NONE, *(x[side] for x in found)]).astype(np.int64) for side in (0, 1))
+        counts = [np.concatenate([np.zeros(0, np.int64), *(np.diff(x[side], prepend=0) for x in found)]) for side in (2, 3)]
+        # both sides of a unit have as many bytes, so offsets run on over the units, and each one's end is common
         a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
-        a_last, b_last = _found(a_ends, b_ends), _found(b_ends, a_ends)
+        marks = np.zeros(int(a_ends[-1]) + 1 if len(a_ends) else 1, np.int8)
+        marks[a_ends] = 1
+        b_last = marks[b_ends].astype(np.int64)
+        marks[a_ends] = 0
+        marks[b_ends] = 1
+        a_last = marks[a_ends].astype(np.int64)
         a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
         n_groups = int(a_last.sum())
         a_of, b_of = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
-        a_upto, b_upto = np.cumsum(counts[0]), np.cumsum(counts[1])
+        a_upto, both_upto = np.cumsum(counts[0]), np.cumsum(counts[0] + counts[1])
         groups_upto = np.concatenate([[0], np.cumsum(a_last)])[a_upto]
         links_upto = np.concatenate([[0], np.cumsum(a_of * b_of)])[groups_upto]
-        doc_of_group = np.repeat(np.arange(n_docs), np.diff(groups_upto, prepend=0))
-        keys, links = self._pairs(a, b, a_group, b_group, a_of, b_of, doc_of_group)
-        doc, code = keys // (self.n_a * self.n_b), keys % (self.n_a * self.n_b)
-        codes, number, docs = np.unique(code, return_inverse=True, return_counts=True)
+        groups = np.diff(groups_upto, prepend=0)
+        keys, links = self.pairs(a, b, a_group, b_group, a_of, b_of, np.repeat(np.arange(n_units), groups))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + (np.cumsum(b_of) - b_of)[a_group]] = 2 * a + a_last
+        order[np.arange(len(b)) + np.cumsum(a_of)[b_group]] = 2 * (self.n_a + b) + b_last
+        pieces, parts, at = list(map(self.written.__getitem__, order.tolist())), [], 0
+        for to in both_upto.tolist():
+            parts.append(b"".join(pieces[at:to]))
+            at = to
+        size = self.n_a * self.n_b
+        return {"n_a": counts[0], "n_b": counts[1], "n_groups": groups, "n_links": np.diff(links_upto, prepend=0), "right": counts[0] > 0, "parts": parts, "many": np.bincount(keys // size, minlength=n_units), "codes": keys % size, "links": links}
+
+    def block(self, texts: list[str | None]) -> dict:
+        """Per text n_a, n_b, n_groups, n_links, groups_sha256 and how many distinct pairs (distinct); of all texts in turn each distinct pair's number and how many links it is (links);
+        and the block's pairs, by stripe and cell, with how many texts hold each (docs)."""
+        number = _Numbers()
+        rows = [list(map(number.__getitem__, self.units(t))) for t in texts]
+        facts = self.described(list(number))
+        wrong = set(np.flatnonzero(~facts["right"]).tolist())
+        if wrong:
+            rows = [[] if wrong.intersection(r) else r for r in rows]
+        parts = facts["parts"]
+        shas = [hashlib.sha256(b"".join(map(parts.__getitem__, r))[:-1]).hexdigest() if r else "" for r in rows]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        unit = np.concatenate([np.zeros(0, np.int64), *(np.array(r, np.int64) for r in rows)])
+        upto = np.cumsum(sizes)
+        out = {c: np.diff(np.concatenate([[0], np.cumsum(facts[c][unit])])[upto], prepend=0) for c in PER_DOC}
+        codes, own = np.unique(facts["codes"], return_inverse=True)
         stripe, cell = self.place(codes)
         order = np.lexsort((cell, stripe))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return {
-            "n_a": counts[0], "n_b": counts[1], "n_groups": np.diff(groups_upto, prepend=0), "n_links": np.diff(links_upto, prepend=0), "groups_sha256": self._digests(a, b, a_group, b_group, a_last, b_last, a_of, b_of, a_upto, b_upto),
-            "distinct": np.bincount(doc, minlength=n_docs), "number": rank[number], "links": links, "stripe": stripe[order], "cell": cell[order], "docs": docs[order],
+        own = rank[own]
+        # each text's distinct units, then their pairs
+        n_units, n_pairs = max(1, len(parts)), max(1, len(codes))
+        held, times = np.unique(np.repeat(np.arange(len(rows)), sizes) * n_units + unit, return_counts=True)
+        doc, unit = held // n_units, held % n_units
+        many = facts["many"]
+        starts, found = np.cumsum(many) - many, []
+        for at, to in _slices(np.cumsum(many[unit]), LINKS):
+            n = many[unit[at:to]]
+            ends = np.cumsum(n)
+            pair = np.repeat(starts[unit[at:to]] - (ends - n), n) + np.arange(int(ends[-1]))
+            found.append(_summed(np.repeat(doc[at:to], n) * n_pairs + own[pair], np.repeat(times[at:to], n) * facts["links"][pair]))
+        keys, links = _merged(found)
+        number = keys % n_pairs
+        held_by = np.bincount(number, minlength=len(codes))
+        return out | {
+            "groups_sha256": shas, "distinct": np.bincount(keys // n_pairs, minlength=len(rows)), "number": number, "links": links,
+            "stripe": stripe[order], "cell": cell[order], "docs": held_by,
         }
 
     def place(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +210,8 @@ class Aligner:
         a, b = codes // self.n_b, codes % self.n_b
         return a % self.stripes, a // self.stripes * self.n_b + b
 
-    def _pairs(self, a, b, a_group, b_group, a_of, b_of, doc_of_group) -> tuple[np.ndarray, np.ndarray]:
-        """Each document's distinct pairs (document * n_a * n_b + code, rising) and how many links each has."""
+    def pairs(self, a, b, a_group, b_group, a_of, b_of, item_of_group) -> tuple[np.ndarray, np.ndarray]:
+        """Each item's distinct pairs (item * n_a * n_b + code, rising) and how many links each has."""
         found, size = [], self.n_a * self.n_b
         large = a_of * b_of > LARGE
         starts = np.cumsum(b_of) - b_of
@@ -154,7 +222,7 @@ class Aligner:
             group = a_group[rows]
             ends = np.cumsum(n)
             partner = np.repeat(starts[group] - (ends - n), n) + np.arange(int(ends[-1]))
-            found.append(_summed(np.repeat(doc_of_group[group] * size + a[rows] * self.n_b, n) + b[partner]))
+            found.append(_summed(np.repeat(item_of_group[group] * size + a[rows] * self.n_b, n) + b[partner]))
         if large.any():
             (ga, ia, ca), (gb, ib, cb) = (_distinct(g[large[g]], i[large[g]], n) for g, i, n in ((a_group, a, self.n_a), (b_group, b, self.n_b)))
             many_b = np.bincount(gb, minlength=len(large))
@@ -162,27 +230,23 @@ class Aligner:
             for at, to in _slices(np.cumsum(n), LINKS):
                 ends = np.cumsum(n[at:to])
                 partner = np.repeat(first[at:to] - (ends - n[at:to]), n[at:to]) + np.arange(int(ends[-1]))
-                found.append(_summed(np.repeat(doc_of_group[ga[at:to]] * size + ia[at:to] * self.n_b, n[at:to]) + ib[partner], np.repeat(ca[at:to], n[at:to]) * cb[partner]))
-                found = [_summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    def _digests(self, a, b, a_group, b_group, a_last, b_last, a_of, b_of, a_upto, b_upto) -> list[str]:
-        """Each document's groups, as ids of A, a bar and ids of B; hashed."""
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + (np.cumsum(b_of) - b_of)[a_group]] = 2 * a + a_last
-        order[np.arange(len(b)) + np.cumsum(a_of)[b_group]] = 2 * (self.n_a + b) + b_last
-        out, at = [], 0
-        for to in (a_upto + b_upto).tolist():
-            out.append(hashlib.sha256(b"".join(map(self.written.__getitem__, order[at:to].tolist()))[:-1]).hexdigest() if to > at else "")
-            at = to
-        return out
+                found.append(_summed(np.repeat(item_of_group[ga[at:to]] * size + ia[at:to] * self.n_b, n[at:to]) + ib[partner], np.repeat(ca[at:to], n[at:to]) * cb[partner]))
+                found = [_merged(found)]
+        return _merged(found)
+
 
+class _Numbers(dict):
+    """Numbers of different keys, in the order in which they come."""
 
-def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which of the rising values stand among others, as 0 and 1."""
-    return (among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values).astype(np.int64) if len(among) else np.zeros(len(values), np.int64)
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+PER_DOC = ["n_a", "n_b", "n_groups", "n_links"]
+NONE = np.zeros(0, np.uint32)
+#: A line feed between characters that aren't white space; white space and what follows, up to a space or line feed behind such a character; white space at the end.
+UNITS = re.compile(r"\n(?=\S)|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+\Z").findall
 
 
 def _slices(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -204,6 +268,12 @@ def _summed(keys: np.ndarray, links: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(links[order], first) if len(first) else links[:0]
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(found) == 1:
+        return found[0]
+    return _summed(*(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1)))
+
+
 def _distinct(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, times = np.unique(group * size + ids, return_counts=True)
     return keys // size, keys % size, times
@@ -218,9 +288,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-PER_DOC = ["n_a", "n_b", "n_groups", "n_links"]
-
-
 def blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each block a row without stripe: its rows' ids, PER_DOC, groups_sha256, how many distinct pairs each has and (links) their numbers and how many links they are; and
     for each of its stripes a row (stripe, block, first, cells, docs) with its pairs, numbered from first on."""
@@ -230,14 +297,14 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, task, made = aligner(a_path, b_path), TaskContext.get().partitionId(), 0
-        ids, tokens, size = [], [], 0
+        ids, texts, size = [], [], 0
 
         def lists(values: np.ndarray, starts: np.ndarray, element: pa.DataType) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, element))
 
         def block() -> Iterator[pa.RecordBatch]:
-            own, found = (task << 32) + made, both.block(tokens)
-            tokens.clear()
+            own, found = (task << 32) + made, both.block(texts)
+            texts.clear()
             columns = {c: lists(found[c], [0, len(found[c])], pa.int64()) for c in [*PER_DOC, "distinct"]}
             held = pa.concat_arrays(ids)
             columns |= {"block": pa.array([own]), "ids": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), "groups_sha256": lists(found["groups_sha256"], [0, len(held)], pa.string()), "links": pa.array([packed(found["number"], found["links"])], pa.binary())}
@@ -255,7 +322,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
             column, since = batch.column(0), 0
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                tokens.append(both.tokens(text))
+                texts.append(text)
                 size += len(text or "")
                 if size >= BLOCK_BYTES:
                     ids.append(column.slice(since, i + 1 - since))
@@ -265,7 +332,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
                     pa.default_memory_pool().release_unused()
             if since < batch.num_rows:
                 ids.append(column.slice(since))
-        if tokens:
+        if texts:
             yield from block()
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, schema)

@@ -102,12 +102,13 @@ def test_text_ids_and_empty_table(spark):
 
 def test_slices_give_the_same(monkeypatch):
     both = alignment.aligner(A, B)
-    texts = [both.tokens(t) for _, t in DOCS]
-    want = both.block(list(texts))
-    for links, large in ((1, 64), (50, 3), (1 << 22, 0), (1 << 22, 1 << 40)):
+    texts = [t for _, t in DOCS]
+    want = both.block(texts)
+    for links, large, chunk in ((1, 64, 16_000), (50, 3, 1), (1 << 22, 0, 0), (1 << 22, 1 << 40, 100)):
+        monkeypatch.setattr(alignment, "CHUNK", chunk)
         monkeypatch.setattr(alignment, "LINKS", links)
         monkeypatch.setattr(alignment, "LARGE", large)
-        found = both.block(list(texts))
+        found = both.block(texts)
         assert all(np.array_equal(found[k], want[k]) for k in want)
 
 
@@ -116,19 +117,25 @@ def test_far_common_ends():
     both = alignment.aligner(A, B)
     one = np.array([220] * 9000 + [262] * 9000)
     a, b = np.zeros(18000, np.int64), np.zeros(12000, np.int64)
-    keys, links = both._pairs(one, np.repeat([5, 6, 7], 4000), a, b, np.array([18000]), np.array([12000]), np.array([0]))
+    keys, links = both.pairs(one, np.repeat([5, 6, 7], 4000), a, b, np.array([18000]), np.array([12000]), np.array([0]))
     assert links.tolist() == [36_000_000] * 6 and len(keys) == 6
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n▁aest")), max_size=40), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t▁aest'．　é")), max_size=40), min_size=1, max_size=4))
 def test_any_text(texts):
     both, (a, b) = alignment.aligner(A, B), sides()
     for text in texts:
         want = tokens(a, b, text)
-        assert [x.tolist() for x in both.tokens(text)] == [[i for i, _ in x] for x in want]
-    found = both.block([both.tokens(t) for t in texts])
-    assert found["n_groups"].tolist() == [len(groups_of(*tokens(a, b, t))) for t in texts]
+        units = [u if type(u) is str else u[0] for u in both.units(text)]
+        made = [both.tokens(u) for u in units]
+        right = all(m[2] for m in made)
+        assert [[i for m in made for i in m[side].tolist()] if right else [] for side in (0, 1)] == [[i for i, _ in x] for x in want]
+        assert "".join(units) == (" " + text if text else "")
+    found = both.block(texts)
+    groups = [groups_of(*tokens(a, b, t)) for t in texts]
+    assert found["n_groups"].tolist() == list(map(len, groups)) and found["n_links"].tolist() == [sum(len(x) * len(y) for x, y in g) for g in groups]
+    assert found["distinct"].tolist() == [len({(i, j) for x, y in g for i in x for j in y}) for g in groups]
 
 
 def test_packing():
