@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.temporal import clock_seconds
 from scorelake.functions.text import first_truthy, stem_of_path
 from scorelake.schema import canonical
-from scorelake.sources import files
+from scorelake.sources import files, json_splits
 
 # The benchmarks' task names.
 HALLUCER_TASKS = ["object_relation", "temporal", "semantic_detail", "interaction", "external_factual", "external_nonfactual", "fact_detect"]
@@ -53,25 +54,36 @@ class DatasetSpec:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file with a JSON list (or one object): a row for each element."""
-    return spark.read.option("multiLine", "true").schema(schema).json(path)
+    """A file with a JSON list, read by many tasks, or with one object: a row for each element. An element that isn't of the schema is a row of nulls."""
+    found = json_splits.split(spark, path, lists_under_keys=False)
+    rows = found.elements([(f, None) for f, top in found.tops.items() if top == "["]).select(F.from_json("text", schema).alias("item")).select("item.*")
+    single = [unquote(f) for f, top in found.tops.items() if top != "["]
+    return rows.union(spark.read.option("multiLine", "true").schema(schema).json(single)) if single else rows
 
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of a file with one JSON object."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+    """(key, value) of a file with one JSON object, read by many tasks."""
+    found = json_splits.split(spark, path, lists_under_keys=False)
+    members = found.elements([(f, None) for f, top in found.tops.items() if top == "{"])
+    return members.select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{value}>")).alias("key", "value"))
+
+
+def _listed(spark: SparkSession, path: str, keys: list[str]) -> tuple[json_splits.Split, DataFrame]:
+    """(file, key, pos, text) of each file's list, or of the list under the first of the keys that has one."""
+    found = json_splits.split(spark, path, lists_under_keys=True)
+    wanted: list[tuple[str, str | None]] = []
+    for file, top in found.tops.items():
+        under = [k for k in keys if (k, "[") in found.containers.get(file, [])]
+        wanted += [(file, None)] if top == "[" else [(file, under[0])] if under else []
+    return found, found.elements(wanted)
 
 
 def read_wrapped(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """Rows of a list, or of the list under annotations, else data, of an object."""
-    fields = item.removeprefix("struct<").removesuffix(">")
-    listed = f"array<{item}>"
-    whole = spark.read.text(path, wholetext=True).withColumn("top", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1))
-    body = F.when(F.col("top") == "[", F.from_json("value", listed)).otherwise(F.coalesce(F.from_json("value", f"struct<annotations:{listed}>")["annotations"], F.from_json("value", f"struct<data:{listed}>")["data"]))
-    if not fields:
+    """Rows of a list, or of the list under annotations, else data, of an object, read by many tasks; pos is an element's place in its list."""
+    if not item.removeprefix("struct<").removesuffix(">"):
         raise ValueError("a schema without fields")
-    return whole.select(F.posexplode(body).alias("pos", "item")).select("pos", "item.*")
+    _, rows = _listed(spark, path, ["annotations", "data"])
+    return rows.select(F.col("pos").cast("int").alias("pos"), F.from_json("text", item).alias("item")).select("pos", "item.*")
 
 
 def _join(*parts: Column | str) -> Column:
@@ -172,11 +184,11 @@ def _tomato(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
 def _generic(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """Annotations of any keys: each object is read as a map from keys to text."""
     path = f"{spec.data_path}/{spec.annotation_file or 'annotations.json'}" if not spec.annotation_file.startswith("/") else spec.annotation_file
-    whole = spark.read.text(path, wholetext=True).withColumn("top", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1))
-    top = F.from_json("value", "map<string,string>")
-    listed = F.coalesce(*[F.from_json(top[k], "array<map<string,string>>") for k in LIST_KEYS])
-    has = F.exists(F.map_keys(top), lambda k: k.isin(LIST_KEYS))
-    rows = whole.select(F.posexplode(F.when(F.col("top") == "[", F.from_json("value", "array<map<string,string>>")).when(has, listed).otherwise(F.array(top))).alias("pos", "m"))
+    found, listed = _listed(spark, path, LIST_KEYS)
+    rows = listed.select(F.col("pos").cast("int").alias("pos"), F.from_json("text", "map<string,string>").alias("m"))
+    alone = [unquote(f) for f, top in found.tops.items() if top == "{" and not {k for k, _ in found.containers.get(f, [])} & set(LIST_KEYS)]
+    if alone:  # an object of no such list is the one sample
+        rows = rows.union(spark.read.text(alone, wholetext=True).select(F.lit(0), F.from_json("value", "map<string,string>")))
     get = lambda keys: first_truthy(*[F.col("m")[k] for k in keys])
     image = get(IMAGE_KEYS)
     known = [*IMAGE_KEYS, *PROMPT_KEYS, *TRUTH_KEYS, *ID_KEYS]
@@ -269,7 +281,7 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Stored predictions: a JSON list, or one under annotations or data, which is one row for one task; or JSON lines (.jsonl) or Parquet, which are split among tasks.
+    """Stored predictions: a JSON list, or one under annotations or data, JSON lines (.jsonl) or Parquet; all are split among tasks.
     prompt, prediction and reference may each be a text or a list. Lines have no order but their file's; pos then grows with it."""
     if path.rstrip("/").endswith((".jsonl", ".ndjson")):
         rows = spark.read.schema(", ".join(map(" ".join, _fields()))).json(path).withColumn("pos", F.monotonically_increasing_id())
