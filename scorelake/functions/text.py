@@ -68,9 +68,17 @@ def yes_no(text: Column) -> Column:
     return F.when(_whole(low, YES_WORDS), True).when(_whole(low, NO_WORDS), False)
 
 
+def valid_pattern(pattern: Column) -> Column:
+    """The pattern, or null if it is none. Texts of letters, digits and spaces are taken as they are; others are tried once in a row."""
+    tried = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return F.when(pattern.rlike(r"^[A-Za-z0-9 ]*$") | tried.isNotNull(), pattern)
+
+
 def has_word(text: Column, pattern: Column) -> Column:
-    """Whether the text has the pattern (a regular expression of the data) as a whole word, in any case."""
-    return F.coalesce(F.regexp_like(text, F.concat(F.lit(r"(?i)\b("), pattern, F.lit(r")\b"))), F.lit(False))
+    """Whether the text has the pattern (a regular expression of the data) as a whole word, in any case. Null for a pattern that is none by itself, as `yes (`; a null text or pattern has no word."""
+    valid = valid_pattern(pattern)
+    found = F.regexp_like(text, F.concat(F.lit(r"(?i)\b("), valid, F.lit(r")\b")))
+    return F.when(valid.isNotNull() | pattern.isNull(), F.coalesce(found, F.lit(False)))
 
 
 def ascii_only(text: Column) -> Column:

@@ -19,7 +19,7 @@ def zipped(rows: DataFrame, *arrays: str, keep: tuple[str, ...] = ()) -> DataFra
 
 
 def pair_accuracy(rows: DataFrame, by: str = "task") -> DataFrame:
-    """Of pairs (a basic and a hallucinated question): accuracy of each, and of both at once, by task. An answer is right if it has the reference as a whole word."""
+    """Of pairs (a basic and a hallucinated question): accuracy of each, and of both at once, by task. An answer is right if it has the reference as a whole word; one whose reference is no pattern takes no part in its own mean, and the pair in none of both."""
     hit = lambda i: text.has_word(F.col("prediction")[i], F.col("reference")[i])
     marked = rows.filter(F.coalesce(F.col(by), F.lit("")) != "").select(by, hit(0).alias("basic_hit"), hit(1).alias("halluc_hit"))
     share = lambda c: F.round(F.avg(c.cast("int")), 5)

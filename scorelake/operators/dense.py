@@ -1,7 +1,7 @@
 """Dense captions: predicted intervals of a video against its gold ones.
 
-Intervals (video, idx, span) meet by equal video and equal time bin, so a video of very many intervals is spread over bins; an
-interval is in every bin that it touches, and a pair counts in the first bin that both touch.
+Intervals (video, idx, span) meet by video, level and node (operators.intervals), so a video of very many intervals is spread over nodes, and one as long as a model's text
+may say costs a few rows.
 """
 
 from __future__ import annotations
@@ -14,20 +14,17 @@ from pyspark.sql import functions as F
 from scorelake.functions.temporal import f1, hull_iou, ratio
 from scorelake.operators.captions import caption_suite
 from scorelake.operators.grounding import CAPTION_THRESHOLDS
+from scorelake.operators.intervals import meeting
 
 #: The reference of captions that meet no gold interval: one word, of private use, that no caption has.
 NOTHING = "\ue000"
 SCORES = ["bleu_1", "bleu_2", "bleu_3", "bleu_4", "rouge_l", "meteor", "cider", "sim"]
 
 
-def overlaps(pred: DataFrame, gold: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
+def overlaps(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """(video, pred_i, ref_i, iou) for pairs of one video that share more than a point."""
-    low, high = (lambda s: F.floor(s["start"] / bin_seconds).cast("long")), (lambda s: F.floor(s["end"] / bin_seconds).cast("long"))
-    binned = lambda d, i, s: d.select("video", F.col("idx").alias(i), F.col("span").alias(s), F.explode(F.sequence(low(F.col("span")), high(F.col("span")))).alias("bin"))
-    met = binned(pred, "pred_i", "p").join(binned(gold, "ref_i", "g"), ["video", "bin"])
-    first = F.col("bin") == F.greatest(low(F.col("p")), low(F.col("g")))
-    shared = (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end"))
-    return met.filter(first & shared).select("video", "pred_i", "ref_i", hull_iou(F.col("p"), F.col("g")).alias("iou"))
+    side = lambda t: t.select("video", "idx", "span")
+    return meeting(side(pred), side(gold), ["video"]).select("video", F.col("l.idx").alias("pred_i"), F.col("r.idx").alias("ref_i"), hull_iou(F.col("l.span"), F.col("r.span")).alias("iou"))
 
 
 def detection(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS, keys: tuple[str, ...] = ()) -> DataFrame:

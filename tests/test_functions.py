@@ -58,6 +58,8 @@ def test_yes_no(spark):
     assert values(spark, ["**Yes** because", "*no*", "I think yes"], text.judge_prefix(F.col("t"))) == ["yes", "no", None]
     cases = {"That is correct": True, "incorrect": False, "yes and no": True, "unclear": None, "éno": None, "": None, "It is false.": False}
     assert values(spark, list(cases), text.yes_no(F.col("t"))) == list(cases.values())
+    odd = [("yes (", "yes"), ("[", "["), ("*", "*"), ("a|b", "B"), ("x{2", "x"), (None, "no"), ("\\", "a"), ("yes)|(no", "no"), ("c++", "c++"), ("é", "É é")]
+    assert values(spark, odd, text.has_word(F.col("t"), F.col("r")), "r string, t string") == [None, None, None, True, None, False, None, None, True, True]
     assert values(spark, [("no", "No, not really"), ("no", "nothing"), ("no", None)], text.has_word(F.col("t"), F.col("r")), "r string, t string") == [True, False, False]
 
 
