@@ -1,7 +1,7 @@
 """Models and judges: what answers prompts and what compares answers.
 
 An adapter turns a table of requests into the same table with replies. Four kinds are ready: `recorded` joins stored replies, `rule` computes them by a column
-expression, `batched` runs a local model in each worker, and `http` asks a chat endpoint from within the executors, with bounded concurrency, retries on transient
+expression, `batched` runs a local model that stays in the workers, and `http` asks a chat endpoint from within the executors, with as many requests at once as are allowed to a run, retries on transient
 errors, and credentials from the environment alone. A failure becomes an error text in its row, never a failed job.
 """
 
@@ -13,16 +13,19 @@ import json
 import os
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 from urllib.error import HTTPError, URLError
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake import workers
 from scorelake.functions.text import FILTER_MARK
+from scorelake.verdicts import Resumable
 
 #: Status codes of replies that may be others later.
 TRANSIENT = {408, 425, 429, 500, 502, 503, 504}
@@ -31,11 +34,23 @@ DEFAULT_IMAGE_PROMPT = "Describe what this image shows."
 
 
 class ReplyError(RuntimeError):
-    """A reply that isn't one: its status and body."""
+    """A reply that isn't one: its status, its body, and in how many seconds it asks to be tried again, if it does."""
 
-    def __init__(self, status: int, body: str):
+    def __init__(self, status: int, body: str, after: float | None = None):
         super().__init__(f"status {status}: {body}")
-        self.status, self.body = status, body
+        self.status, self.body, self.after = status, body, after
+
+
+def retry_after(value: str | None, now: float | None = None) -> float | None:
+    """Seconds of a Retry-After header: a number, or a date."""
+    if not value:
+        return None
+    if re.fullmatch(r"\s*\d+(\.\d+)?\s*", value):
+        return float(value)
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        return None
 
 
 def is_transient(error: BaseException) -> bool:
@@ -49,15 +64,15 @@ def is_transient(error: BaseException) -> bool:
     return isinstance(error, (TimeoutError, ConnectionError, http.client.HTTPException))
 
 
-def with_retries(call: Callable[[], str], tries: int = 6, pause: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """call's result; again after a pause for errors that may pass, at most so many times."""
+def with_retries(call: Callable[[], str], tries: int = 6, pause: float = 5.0, sleep: Callable[[float], None] = time.sleep, longest: float = 300.0) -> str:
+    """call's result; again after a pause for errors that may pass, at most so many times. A reply that says when to come again is taken at its word, up to longest."""
     for n in range(tries):
         try:
             return call()
         except Exception as error:  # noqa: BLE001  whatever a client raises
             if not is_transient(error) or n == tries - 1:
                 raise
-            sleep(pause)
+            sleep(max(pause, min(longest, getattr(error, "after", None) or 0.0)))
     raise AssertionError
 
 
@@ -67,7 +82,7 @@ class Recorded:
     def __init__(self, replies: DataFrame, keys: list[str], reply: str = "reply"):
         self.replies, self.keys = replies.groupBy(*keys).agg(F.min(reply).alias("reply")), keys
 
-    def answer(self, requests: DataFrame, out: str = "reply") -> DataFrame:
+    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
         return requests.join(self.replies.withColumnRenamed("reply", out), self.keys, "left")
 
 
@@ -77,21 +92,23 @@ class Rule:
     def __init__(self, rule: Callable[[DataFrame], Column]):
         self.rule = rule
 
-    def answer(self, requests: DataFrame, out: str = "reply") -> DataFrame:
+    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
         return requests.withColumn(out, self.rule(requests))
 
 
 @dataclass
 class Batched:
-    """A local model: make() gives, once for each worker, a function from lists of prompts and media to a list of replies. It gets batch_size requests at a time; where it fails
-    on several, they are tried one by one, and what fails alone is an error text in its row."""
+    """A local model: make() gives a function from lists of prompts and media to a list of replies. It is made once for each worker process and stays there for its later tasks, under name; a name stands for one
+    make (without one, each Batched has its own). It gets batch_size requests at a time, of about equal length, since a batch takes as long as its longest; where it fails on several, they are tried one by one, and
+    what fails alone is an error text in its row."""
 
     make: Callable[[], Callable[[list[str], list], list[str]]]
     batch_size: int = 4
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None) -> DataFrame:
+    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
         """As Http's."""
-        make, size = self.make, self.batch_size
+        name, make, size = self.name, self.make, self.batch_size
 
         def tell(model, asked: list[tuple[str, object]]) -> list[str]:
             try:
@@ -102,17 +119,30 @@ class Batched:
             except Exception as error:  # noqa: BLE001
                 return [f"[Error: {error}]"] if len(asked) == 1 else [x for one in asked for x in tell(model, [one])]
 
+        def by_length(model, flat: list[tuple[str, object]]) -> list[str]:
+            order = sorted(range(len(flat)), key=lambda i: len(flat[i][0] or ""))
+            told = [x for at in range(0, len(flat), size) for x in tell(model, [flat[i] for i in order[at : at + size]])]
+            out = [""] * len(flat)
+            for i, x in zip(order, told, strict=True):
+                out[i] = x
+            return out
+
         def replies(asked: Iterator[list[tuple[str, object]]]) -> Iterator[list[str]]:
-            model = make()
             for flat in asked:
-                yield [x for at in range(0, len(flat), size) for x in tell(model, flat[at : at + size])]
+                model = workers.held(name, make)  # the module's table, not one of this closure
+                told = by_length(model, flat)
+                poor = [i for i, x in enumerate(told) if accept is not None and not accept(x)]
+                for i, x in zip(poor, by_length(model, [flat[i] for i in poor]), strict=True):
+                    told[i] = x
+                yield told
 
         return _answered(requests, replies, out, prompt, media)
 
 
 @dataclass
 class Http:
-    """A chat endpoint: its URL and key are read from these environment variables of the executors."""
+    """A chat endpoint: its URL and key are read from these environment variables of the executors. Of a table's requests at most concurrent are under way at once, however
+    many partitions and executors there are: they are dealt to as many lanes, each of which is one partition and asks one after the other."""
 
     model: str
     url_variable: str = "SCORELAKE_CHAT_URL"
@@ -138,15 +168,19 @@ class Http:
             text = str(error)
             return f"{FILTER_MARK}: {text}]" if "content_filter" in text else f"[Error: {text}]"
 
-    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None) -> DataFrame:
-        """requests with the replies to a text column, or the replies to an array of texts as an array. media is a column of addresses, or of files' bytes, or of a list of either (frames)."""
+    def answer(self, requests: DataFrame, out: str = "reply", prompt: str = "prompt", media: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
+        """requests with the replies to a text column, or the replies to an array of texts as an array. media is a column of addresses, or of files' bytes, or of a list of either (frames).
+        A reply that accept refuses is asked for once more."""
+
+        def one(prompt: str, media: str | bytes | None) -> str:
+            told = self.ask(prompt, media)
+            return told if accept is None or accept(told) else self.ask(prompt, media)
 
         def replies(asked: Iterator[list[tuple[str, object]]]) -> Iterator[list[str]]:
-            with ThreadPoolExecutor(self.concurrent) as pool:
-                for flat in asked:
-                    yield list(pool.map(lambda pm: self.ask(*pm), flat))
+            for flat in asked:
+                yield [one(*pm) for pm in flat]
 
-        return _answered(requests, replies, out, prompt, media)
+        return _answered(requests.repartition(self.concurrent), replies, out, prompt, media)
 
 
 def contents(prompt: str, media: str | bytes | list | None) -> list[dict]:
@@ -192,7 +226,7 @@ def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
         with urlopen(request, timeout=timeout) as reply:  # noqa: S310
             return json.loads(reply.read())
     except HTTPError as error:
-        raise ReplyError(error.code, error.read().decode("utf-8", "replace")[:2000]) from error
+        raise ReplyError(error.code, error.read().decode("utf-8", "replace")[:2000], retry_after(error.headers.get("Retry-After"))) from error
 
 
 def chat_message(prompt: Column, image: Column | None = None, video: Column | None = None, fps: Column | None = None, frames: Column | None = None) -> Column:
@@ -210,20 +244,26 @@ def with_prompts(samples: DataFrame) -> DataFrame:
 
 
 MODELS: dict[str, Callable[[dict], object]] = {}
+#: Told apart from what was registered under the same prefix before.
+VERSIONS: dict[str, str] = {}
 
 
 def register_model(prefix: str, make: Callable[[dict], object]) -> None:
     """Models whose name begins with prefix are made by make(config)."""
     MODELS[prefix.lower()] = make
+    VERSIONS[prefix.lower()] = uuid.uuid4().hex
 
 
 def model_for(name: str, config: dict):
-    """The adapter of the longest registered prefix of a name."""
+    """The adapter of the longest registered prefix of a name. With verdicts, a path, in its settings, its replies are kept there and not asked for again."""
     low = name.lower().replace("_", "-")
     found = max((p for p in MODELS if low.startswith(p)), key=len, default=None)
     if found is None:
         raise KeyError(f"no model is registered for {name!r}; known: {', '.join(sorted(MODELS)) or 'none'}")
-    return MODELS[found](config | {"name": name})
+    adapter = MODELS[found](config | {"name": name})
+    if isinstance(adapter, Batched):  # runs with the same settings share a worker's model
+        adapter.name = f"{VERSIONS[found]} {name} {json.dumps(config, sort_keys=True, default=str)}"
+    return Resumable(adapter, config["verdicts"], name) if config.get("verdicts") else adapter
 
 
 register_model("http", lambda c: Http(c.get("model", c["name"])))

@@ -168,9 +168,10 @@ def _sides(samples: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
 
 def ranking(task: str) -> Callable[[DataFrame, object, dict], DataFrame]:
     def evaluate(samples: DataFrame, judge, settings: dict) -> DataFrame:
-        """Win rates over all pairs and by category."""
+        """Win rates over all pairs and by category. frames, a path of Parquet (id, frames), has pictures to show to the judge."""
         a, b = _sides(samples, settings)
-        verdicts = judged.ranked(a, b, judge, settings.get("task", task))
+        frames = samples.sparkSession.read.parquet(settings["frames"]) if settings.get("frames") else None
+        verdicts = judged.ranked(a, b, judge, settings.get("task", task), frames)
         whole = judging.win_rates(verdicts)
         by = judging.win_rates_by_category(verdicts).filter(F.col("category") != judging.OVERALL)
         return _rows(whole, ["total", "valid", "errors", "a_wins", "b_wins", "ties", "win_rate_a", "win_rate_b", "tie_rate"]).union(_rows(by, ["total", "a_wins", "b_wins", "ties", "a_rate", "b_rate", "tie_rate"], "category"))

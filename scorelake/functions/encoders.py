@@ -1,10 +1,11 @@
 """Similarity of texts by a sentence encoder, where there is one: vectors are made in Arrow batches, once for each distinct text of a batch.
 
-make() gives, once for each worker, a function from a list of texts to a matrix with a row for each. The stand-in without an encoder is captions.hashed_similarity.
+make() gives a function from a list of texts to a matrix with a row for each; it is made once for each worker process and stays there. The stand-in without an encoder is captions.hashed_similarity.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_made: dict[int, Callable[[list[str]], np.ndarray]] = {}
-
+from scorelake import workers
 
 def _units(encode: Callable[[list[str]], np.ndarray], texts: list[str]) -> dict[str, np.ndarray]:
     """Each distinct text's vector, of length 1 (or 0)."""
@@ -23,14 +23,12 @@ def _units(encode: Callable[[list[str]], np.ndarray], texts: list[str]) -> dict[
     return dict(zip(distinct, vectors / np.where(norms == 0, 1, norms), strict=True))
 
 
-def encoder_similarity(make: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[Column, Column], Column]:
-    """A similarity of two text columns: the cosine of their vectors, null where a text is. Its attribute best gives, for a text and an array of texts, the place of the most similar one, the first among equals."""
-    key = id(make)
+def encoder_similarity(make: Callable[[], Callable[[list[str]], np.ndarray]], name: str | None = None) -> Callable[[Column, Column], Column]:
+    """A similarity of two text columns: the cosine of their vectors, null where a text is. Its attribute best gives, for a text and an array of texts, the place of the most similar one, the first among equals. Similarities of one name share a worker's encoder."""
+    key = name or uuid.uuid4().hex
 
     def encoder() -> Callable[[list[str]], np.ndarray]:
-        if key not in _made:
-            _made[key] = make()
-        return _made[key]
+        return workers.held(key, make)
 
     @F.pandas_udf("double")
     def pairs(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +64,15 @@ def verdict(text: Column) -> Column:
     return _once(strip_fences(text), lambda body: _once(F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, VERDICT)), checked))
 
 
+def readable_verdict(reply: str) -> bool:
+    """Whether verdict can read a reply, for those who may ask again."""
+    body = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", reply or "")
+    try:
+        return json.loads(body).get("winner") in RANKING_WINNERS
+    except (ValueError, AttributeError, TypeError):
+        return False
+
+
 def pairwise(text: Column) -> Column:
     """struct(winner, confidence, reasoning, status) of a pairwise verdict: one that can't be read, or lacks winner or confidence, is a Tie of confidence 0."""
 

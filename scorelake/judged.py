@@ -5,6 +5,8 @@ Each step is a table with a column of replies, so it can be stored and replayed;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ from scorelake.functions import jsons, parse, text
 from scorelake.operators import answers, events, judging
 
 
-def _asked(adapter, rows: DataFrame, prompt: Column, out: str) -> DataFrame:
+def _asked(adapter, rows: DataFrame, prompt: Column, out: str, media: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
     had = "prompt" in rows.columns
     held = rows.withColumnRenamed("prompt", "own_prompt") if had else rows
-    told = adapter.answer(held.withColumn("prompt", prompt), out).drop("prompt")
+    told = adapter.answer(held.withColumn("prompt", prompt), out, **({"media": media} if media else {}), **({"accept": accept} if accept else {})).drop("prompt")
     return told.withColumnRenamed("own_prompt", "prompt") if had else told
 
 
@@ -47,12 +49,17 @@ def autodq(samples: DataFrame, judge) -> DataFrame:
     return events.by_source(events.sample_scores(relations, every), failures)
 
 
-def ranked(a: DataFrame, b: DataFrame, judge, task: str = "video description") -> DataFrame:
-    """(id, category, winner, confidence, reason, scores, success) for the ids that both predictions (id, pos, source, text) have; withheld responses are skipped."""
+def ranked(a: DataFrame, b: DataFrame, judge, task: str = "video description", frames: DataFrame | None = None) -> DataFrame:
+    """(id, category, winner, confidence, reason, scores, success) for the ids that both predictions (id, pos, source, text) have; withheld responses are skipped.
+
+    frames (id, frames: addresses or bytes of pictures) go along with the request where there are any. A verdict that can't be read is asked for once more.
+    """
     pairs = judging.common(judging.latest(a, "id", ["pos"]), judging.latest(b, "id", ["pos"]))
     pairs = judging.screened(pairs.select("id", F.coalesce("a.source", F.lit("unknown")).alias("category"), F.col("a.text").alias("response_a"), F.col("b.text").alias("response_b")))
     fair = pairs.filter(~F.col("skipped"))
-    told = _asked(judge, fair, ranking_prompt(F.col("response_a"), F.col("response_b"), task), "told").withColumn("v", jsons.verdict(F.col("told")))
+    if frames is not None:
+        fair = fair.join(frames.groupBy("id").agg(F.first("frames").alias("frames")), "id", "left")
+    told = _asked(judge, fair, ranking_prompt(F.col("response_a"), F.col("response_b"), task), "told", "frames" if frames is not None else None, jsons.readable_verdict).withColumn("v", jsons.verdict(F.col("told")))
     fields = [F.col(f"v.{c}").alias(c) for c in ("winner", "confidence", "reason", "scores")]
     done = told.select("id", "category", *fields, (F.col("v.status") == "ok").alias("success"))
     kinds = {f.name: f.dataType for f in done.schema.fields}

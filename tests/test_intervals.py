@@ -39,14 +39,20 @@ def test_against_brute_force(spark, unit):
     assert sorted((r.video, r.l.idx, r.r.idx) for r in met.collect()) == brute(left, right)
 
 
-def test_copies_and_shuffles(spark):
-    """One copy for short intervals alone; for a range of 1e14 s, some dozens at most and two nodes of each level."""
-    short = table(spark, [("v", i, (i * 10.0, i * 10.0 + 9)) for i in range(50)])
-    assert intervals.levels(short, short, 64.0).first()[0] == [0]
+def test_copies_and_candidates(spark):
+    """One level for short intervals alone, some for a range of 1e14 s; and short intervals don't meet in a long one's node."""
+    short = table(spark, [("v", i, (i * 100.0, i * 100.0 + 9)) for i in range(2000)])
+    assert intervals.levels(short, short, 64.0) == [0]
     long = table(spark, [("v", 0, (1.0, 99999999999999.0)), ("v", 1, (5.0, 6.0)), ("v", 2, (1e6, 2e6))])
-    assert sorted(intervals.levels(short, long, 64.0).first()[0]) == [0, 14, 41]
-    plan = intervals.meeting(short, long, ["video"])._jdf.queryExecution().optimizedPlan().toString()
+    assert intervals.levels(short, long, 64.0) == [0, 14, 41]
+    both = short.union(long.filter("idx = 0"))
+    met = intervals.meeting(both, both, ["video"])
+    assert met.count() == 2000 + 1 + 2 * 2000  # each with itself, the long one with all
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and plan.count("Join Inner") == 1
+    joined = met._jdf.queryExecution().optimizedPlan()
+    text = plan[plan.index("Join Inner") :].split("\n")[0]
+    assert "role" in text and "level" in text and "node" in text and joined is not None
 
 
 def test_a_caption_of_any_length(spark):
