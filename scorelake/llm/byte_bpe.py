@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scorelake.llm.common import partitions
+from scorelake.llm.common import partitions, settled
 
 #: Bytes of text of a block, about; a longer text has a block of its own.
 BLOCK_BYTES = 6 << 20
@@ -372,7 +372,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     ids_sha256 string, decoded string (left out unless keep_ids), decoded_sha256 string.
 
     A null text counts as empty: no ids, and the digests are of no bytes. Repeated rows give repeated results; other columns are ignored.
+    Numbers of words follow the order in which a task gets its rows, which two branches must agree on; so input from a shuffle is stored first.
     """
+    docs = settled(docs.select(id_column, text_column))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

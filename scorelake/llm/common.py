@@ -64,6 +64,11 @@ def written(df: DataFrame, what: str = "stage") -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, what: str = "input") -> DataFrame:
+    """df itself where it is read from stored tables alone, else as a table in the shared folder: behind a shuffle, a task that runs again may get its rows in another order."""
+    return written(df, what) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
