@@ -45,7 +45,7 @@ def retry_after(value: str | None, now: float | None = None) -> float | None:
     """Seconds of a Retry-After header: a number, or a date."""
     if not value:
         return None
-    if re.fullmatch(r"\s*\d+(\.\d+)?\s*", value):
+    if re.match(r"\s*\d+(\.\d+)?\s*\Z", value):
         return float(value)
     try:
         return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
