@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
+def plain_words(text: Column) -> Column:
+    """Words of a text, in lower case, by white space."""
+    return words(normalise(text))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     many = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, many).otherwise(F.array().cast("array<string>"))

@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import text
+from scorelake.functions.alignment import meteor
 from scorelake.functions.porter import stem
 from scorelake.functions.temporal import f1, ratio
 
 
 def tokens(column: str) -> Column:
-    return text.words(text.normalise(F.col(column)))
+    return text.plain_words(F.col(column))
 
 
-def _hashed(column: str) -> Column:
-    return F.transform(tokens(column), lambda w: F.xxhash64(w))
+def _hashed(column: str, split: Callable[[Column], Column] = text.plain_words) -> Column:
+    return F.transform(split(F.col(column)), lambda w: F.xxhash64(w))
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -38,9 +39,9 @@ def _by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys[-1:])
 
 
-def bags(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+def bags(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...], split: Callable[[Column], Column] = text.plain_words) -> DataFrame:
     """(keys, n, gram, c, r): how often each n-gram stands in the candidates and in the references of a key, for each order n; and for each key a row of order 0, without a gram, so that keys without words are there."""
-    held = _by_key(rows.select(*keys, candidate, reference), keys).select(*keys, _hashed(candidate).alias("a"), _hashed(reference).alias("b"))
+    held = _by_key(rows.select(*keys, candidate, reference), keys).select(*keys, _hashed(candidate, split).alias("a"), _hashed(reference, split).alias("b"))
     part = lambda n, side, grams: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams.alias("grams"))
     parts = F.array(part(0, 0, F.array(F.lit(0).cast("long"))), *[part(n, i, _grams(F.col(side), n)) for n in orders for i, side in enumerate("ab")])
     each = held.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.n", "x.side", F.explode("x.grams").alias("gram"))
@@ -52,8 +53,8 @@ def matches(rows: DataFrame, key: str, candidate: str, reference: str, orders: t
     return _counted(rows, [key], candidate, reference, orders).filter("n > 0")
 
 
-def _counted(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
-    met = bags(rows, keys, candidate, reference, orders)
+def _counted(rows: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...], split: Callable[[Column], Column] = text.plain_words) -> DataFrame:
+    met = bags(rows, keys, candidate, reference, orders, split)
     return met.groupBy(*keys, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))
 
 
@@ -80,9 +81,9 @@ def bleu(rows: DataFrame, key: str, candidate: str = "prediction", reference: st
     return wide.select(key, F.coalesce(F.round(score, 6), F.lit(0.0)).alias("bleu"))
 
 
-def corpus_bleu(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference") -> DataFrame:
-    """(group, bleu_1 to bleu_4): n-gram counts and lengths are summed over a group's pairs; 0 where an order up to k has no match."""
-    pooled = _counted(rows, [group, key], candidate, reference, (1, 2, 3, 4)).groupBy(group, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "n_candidate", "n_reference")])
+def corpus_bleu(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference", split: Callable[[Column], Column] = text.plain_words) -> DataFrame:
+    """(group, bleu_1 to bleu_4): n-gram counts and lengths are summed over a group's pairs; 0 where an order up to k has no match. Words are those that split gives."""
+    pooled = _counted(rows, [group, key], candidate, reference, (1, 2, 3, 4), split).groupBy(group, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "n_candidate", "n_reference")])
     wide = _wide(pooled, [group])
     c, r = F.col("n_candidate1"), F.col("n_reference1")
     penalty = F.when(c >= r, 1.0).otherwise(F.exp(1 - r / c))
@@ -149,76 +150,60 @@ def stemmed_rouge(rows: DataFrame, key: str, candidate: str = "prediction", refe
     return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, rouge1 double, rouge2 double, rougel double")
 
 
-def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of equal words, then of equal stems, each used once, first come first."""
-    pairs, free_a, free_b = [], list(range(len(a))), list(range(len(b)))
-    for form in (lambda w: w, stem):
-        places: dict[str, list[int]] = {}
-        for j in free_b:
-            places.setdefault(form(b[j]), []).append(j)
-        left = []
-        for i in free_a:
-            held = places.get(form(a[i]))
-            if held:
-                pairs.append((i, held.pop(0)))
-            else:
-                left.append(i)
-        taken = {j for _, j in pairs}
-        free_a, free_b = left, [j for j in free_b if j not in taken]
-    return sorted(pairs)
-
-
-def meteor_like(a: list[str], b: list[str]) -> float:
-    """An approximation of METEOR by exact words and stems, without synonyms: the recall-weighted mean less a penalty for broken order."""
-    pairs = _aligned(a, b)
-    if not pairs:
-        return 0.0
-    p, r = len(pairs) / len(a), len(pairs) / len(b)
-    chunks = 1 + sum(q != (x + 1, y + 1) for (x, y), q in zip(pairs, pairs[1:], strict=False))
-    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / len(pairs)) ** 3)
-
-
-def alignment_scores(rows: DataFrame, key: str, candidate: str = "prediction", reference: str = "reference", beta: float = 1.2) -> DataFrame:
-    """(key, rouge_l, meteor): F with a weight beta on recall of the longest common subsequence, and meteor_like; over normalised words."""
+def word_groups(rows: DataFrame, key: str, synonyms: DataFrame) -> DataFrame:
+    """(key, groups): of the words in the arrays a and b of rows, those that a table (word, group) has, each with its first group by name. Each pair's different words alone meet the table."""
+    known = synonyms.select(text.normalise(F.col("word")).alias("word"), "group").dropna().groupBy("word").agg(F.min("group").alias("group"))
+    each = rows.select(key, F.explode(F.array_union("a", "b")).alias("word")).join(known, "word")
+    return each.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "group"))).alias("groups"))
+
+
+def alignment_scores(rows: DataFrame, key: str, candidate: str = "prediction", reference: str = "reference", beta: float = 1.2, synonyms: DataFrame | None = None, split: Callable[[Column], Column] = text.plain_words) -> DataFrame:
+    """(key, rouge_l, meteor): F with a weight beta on recall of the longest common subsequence, and METEOR by words, stems and the groups of a table synonyms (word, group); over the words that split
+    gives, text.plain_words or text.treebank. Rows with a null side are left out; an empty side gives 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+            for x, y, g in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 a, b = x.as_py(), y.as_py()
                 n = _common(a, b) if a and b else 0
                 p, r = (n / len(a), n / len(b)) if n else (0.0, 0.0)
-                out.append(((1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0, meteor_like(a, b) if a and b else 0.0))
+                out.append(((1 + beta**2) * p * r / (r + beta**2 * p) if n else 0.0, meteor(a, b, dict(g.as_py() or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(o[0], 6) for o in out], pa.float64()), pa.array([round(o[1], 6) for o in out], pa.float64())], names=[key, "rouge_l", "meteor"])
 
-    kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(key, tokens(candidate).alias("a"), tokens(reference).alias("b"))
+    kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(key, split(F.col(candidate)).alias("a"), split(F.col(reference)).alias("b"))
+    if synonyms is None:
+        kept = kept.withColumn("groups", F.lit(None).cast("map<string,string>"))
+    else:
+        kept = kept.join(word_groups(kept, key, synonyms.withColumn("group", F.col("group").cast("string"))), key, "left").select(key, "a", "b", "groups")
     return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, rouge_l double, meteor double")
 
 
-def cider_d(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference", sigma: float = 6.0) -> DataFrame:
+def cider_d(rows: DataFrame, group: str, key: str, candidate: str = "prediction", reference: str = "reference", sigma: float = 6.0, split: Callable[[Column], Column] = text.plain_words) -> DataFrame:
     """(key, cider): ten times the mean over 1- to 4-grams of the clipped cosine of TF-IDF vectors, with a Gaussian penalty on the difference of lengths.
     A gram's document frequency counts the group's references that have it."""
     kept = rows.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(group, key, candidate, reference)
     orders = (1, 2, 3, 4)
-    met = bags(kept, [group, key], candidate, reference, orders).filter("n > 0")
+    met = bags(kept, [group, key], candidate, reference, orders, split).filter("n > 0")
     seen = met.groupBy(group, "n", "gram").agg(F.count_if(F.col("r") > 0).alias("df"))
     pairs = kept.groupBy(group).agg(F.count("*").alias("pairs"))
     idf = F.ln(F.col("pairs").cast("double")) - F.ln(F.greatest(F.lit(1), F.col("df")).cast("double"))
     v = met.join(seen, [group, "n", "gram"]).join(pairs, group).withColumn("w", idf)
     x, y = F.col("c") * F.col("w"), F.col("r") * F.col("w")
     sums = v.groupBy(key, "n").agg(F.sum(F.least(x, y) * y).alias("dot"), F.sqrt(F.sum(x * x)).alias("nx"), F.sqrt(F.sum(y * y)).alias("ny"))
-    lengths = kept.select(key, F.exp(-F.pow(F.size(tokens(candidate)) - F.size(tokens(reference)), 2) / F.lit(2 * sigma**2)).alias("penalty"))
+    lengths = kept.select(key, F.exp(-F.pow(F.size(split(F.col(candidate))) - F.size(split(F.col(reference))), 2) / F.lit(2 * sigma**2)).alias("penalty"))
     cosine = F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("dot") / (F.col("nx") * F.col("ny"))).otherwise(0.0)
     own = sums.groupBy(key).agg((F.sum(cosine) / len(orders)).alias("cosine"))
     return lengths.join(own, key, "left").select(key, F.round(10 * F.coalesce("cosine", F.lit(0.0)) * F.col("penalty"), 6).alias("cider"))
 
 
-def caption_suite(rows: DataFrame, group: str, key: str, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(group, bleu_1 to bleu_4, rouge_l, meteor, cider, sim): corpus BLEU of a group's pairs, and means of the others over them."""
+def caption_suite(rows: DataFrame, group: str, key: str, similarity: Callable[[Column, Column], Column] | None = None, split: Callable[[Column], Column] = text.plain_words, synonyms: DataFrame | None = None) -> DataFrame:
+    """(group, bleu_1 to bleu_4, rouge_l, meteor, cider, sim): corpus BLEU of a group's pairs, and means of the others over them. Words are those that split gives: text.plain_words, or text.treebank.
+    synonyms is a table (word, group) for METEOR."""
     alike = (similarity or hashed_similarity)(F.col("prediction"), F.col("reference"))
-    each = alignment_scores(rows, key).join(cider_d(rows, group, key), key).join(rows.select(key, group, alike.alias("sim")), key)
+    each = alignment_scores(rows, key, synonyms=synonyms, split=split).join(cider_d(rows, group, key, split=split), key).join(rows.select(key, group, alike.alias("sim")), key)
     means = each.groupBy(group).agg(*[F.avg(c).alias(c) for c in ("rouge_l", "meteor", "cider", "sim")])
-    return corpus_bleu(rows, group, key).join(means, group, "left")
+    return corpus_bleu(rows, group, key, split=split).join(means, group, "left")
 
 
 def document_frequency(rows: DataFrame, column: str = "reference") -> DataFrame:
