@@ -24,6 +24,22 @@ AUDIT_MARKS = ["Content filtered", "content_filter"]
 SCENE_WEIGHTS = {"words": (0.3, 50), "objects": (0.4, 10), "relations": (0.3, 5)}
 
 
+# The rules of Treebank tokens for lower-case text, in their order, as patterns that Java and RE2 read alike. What they remove is punctuation, which caption scores leave out.
+TREEBANK_SPLITS = [
+    ("[‘’`´]", "'"),
+    ("''+|[“”«»\"]", " "),
+    ("[.][.]+|…|--+|[–—]", " "),
+    (r"[?!;(){}\[\]<>]", " "),
+    (r"([@#$%&*])", r" \1 "),
+    (r"[,:]+([^0-9,:])", r" \1"),
+]
+# Words whose last period belongs to them; endings that are a token, and tokens that begin with their quote; words that are two tokens.
+TREEBANK_ABBREVIATIONS = r"^(mr|mrs|ms|dr|st|prof|jr|sr|vs|etc|[a-z]|[a-z](\.[a-z])+)\.$"
+TREEBANK_ENDINGS = r"^(.*[^'])(n't|'s|'m|'d|'ll|'re|'ve)$"
+TREEBANK_ALONE = "^'(s|m|d|t|n|ll|re|ve|ye)$"
+TREEBANK_PAIRS = {"cannot": "can not", "d'ye": "d 'ye", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta", "lemme": "lem me", "more'n": "more 'n", "'tis": "'t is", "'twas": "'t was", "wanna": "wan na"}
+
+
 def normalise(text: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends; null as empty."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
@@ -39,6 +55,27 @@ def plain_words(text: Column) -> Column:
     return words(normalise(text))
 
 
+def treebank(text: Column) -> Column:
+    """Treebank tokens of a text, in lower case, without punctuation: quotes, brackets, dashes and marks at ends go, symbols stand alone, contractions are two tokens, abbreviations keep their
+    period, and numbers their commas, colons and points. A null text has none."""
+    spaced = F.concat(F.lit(" "), normalise(text), F.lit(" "))
+    for pattern, to in TREEBANK_SPLITS:
+        spaced = F.regexp_replace(spaced, pattern, to.replace("\\", "$"))
+    pairs = F.create_map(*[F.lit(x) for pair in TREEBANK_PAIRS.items() for x in pair])
+
+    def ended(t: Column) -> Column:
+        """Without a closing quote, and without a last period that isn't an abbreviation's."""
+        open_end = F.rtrim(t, F.lit("'"))
+        return F.when(open_end.rlike(TREEBANK_ABBREVIATIONS), open_end).otherwise(F.regexp_replace(t, "[.']+$", ""))
+
+    def parted(t: Column) -> Column:
+        bare = F.coalesce(F.try_element_at(pairs, t), F.when(t.rlike(TREEBANK_ALONE), t), F.ltrim(t, F.lit("'")))
+        return F.regexp_replace(bare, TREEBANK_ENDINGS, "$1 $2")
+
+    parts = F.transform(F.transform(F.split(F.trim(spaced), " +"), ended), parted)
+    return F.filter(F.split(F.array_join(parts, " "), " +"), lambda t: ~t.rlike("^[-.',:]*$"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     many = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, many).otherwise(F.array().cast("array<string>"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.temporal import f1, hull_iou, ratio
+from scorelake.functions.text import plain_words
 from scorelake.operators.captions import caption_suite
 from scorelake.operators.grounding import CAPTION_THRESHOLDS
 from scorelake.operators.intervals import meeting
@@ -55,9 +56,9 @@ def unmatched(pred: DataFrame, gold: DataFrame, tau: float) -> DataFrame:
     return pred.join(overlaps(pred, gold).filter(F.col("iou") >= tau).select("video", F.col("pred_i").alias("idx")).distinct(), ["video", "idx"], "left_anti").select("video", F.col("idx").alias("pred_i"))
 
 
-def caption_scores(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS, keys: tuple[str, ...] = (), similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def caption_scores(pred: DataFrame, gold: DataFrame, thresholds: list[float] = CAPTION_THRESHOLDS, keys: tuple[str, ...] = (), similarity: Callable[[Column, Column], Column] | None = None, split: Callable[[Column], Column] = plain_words, synonyms: DataFrame | None = None) -> DataFrame:
     """(keys, tau, videos, SCORES): caption_suite of each video's captions, predicted ones against each gold one that they meet with an IoU of tau or more, and against
-    NOTHING if they meet none; means over the videos that have gold ones, 0 for one without predictions. keys as for detection. A null sentence counts as empty."""
+    NOTHING if they meet none; means over the videos that have gold ones, 0 for one without predictions. keys as for detection. A null sentence counts as empty. split and synonyms as for caption_suite."""
     side = lambda t, i, name: t.select("video", F.col("idx").alias(i), F.coalesce("sentence", F.lit("")).alias(name))
     said = side(pred, "pred_i", "prediction")
     videos = gold.select(*keys, "video").distinct()
@@ -67,6 +68,6 @@ def caption_scores(pred: DataFrame, gold: DataFrame, thresholds: list[float] = C
     alone = pred.join(videos.select("video"), "video", "left_semi").select(at, "video", F.col("idx").alias("pred_i")).join(met, ["tau", "video", "pred_i"], "left_anti")
     met = met.union(alone.select("tau", "video", "pred_i", F.lit(None), F.lit(NOTHING)))
     pairs = met.join(said, ["video", "pred_i"]).withColumn("of", F.concat_ws("\x1f", "tau", "video"))
-    own = caption_suite(pairs.withColumn("pair", F.concat_ws("\x1f", "of", "pred_i", "ref_i")), "of", "pair", similarity)
+    own = caption_suite(pairs.withColumn("pair", F.concat_ws("\x1f", "of", "pred_i", "ref_i")), "of", "pair", similarity, split, synonyms)
     each = videos.select("*", at).withColumn("of", F.concat_ws("\x1f", "tau", "video")).join(own, "of", "left")
     return each.groupBy(*keys, "tau").agg(F.count("*").alias("videos"), *[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in SCORES])

@@ -592,6 +592,23 @@ def x2_rouge12(spark, d):
     return captions.rouge_n(views.captions(spark, d), "sample_id", (1, 2))
 
 
+def _pooled_sql() -> str:
+    """BLEU-1 to BLEU-4 of each source's summed counts."""
+    wide = ", ".join(f"coalesce(max(m) FILTER (n = {n}), 0) AS m{n}, coalesce(max(nc) FILTER (n = {n}), 0) AS c{n}" for n in (1, 2, 3, 4))
+    some = lambda n: " AND ".join(f"m{k} > 0" for k in range(1, n + 1))
+    logs = lambda n: " + ".join(f"ln(m{k} / c{k})" for k in range(1, n + 1))
+    scores = ", ".join(f"CASE WHEN {some(n)} THEN round((CASE WHEN c1 >= r1 THEN 1.0 ELSE exp(1 - r1 / c1) END) * exp(({logs(n)}) / {n}), 6) ELSE 0.0 END AS bleu_{n}" for n in (1, 2, 3, 4))
+    return f"""pooled AS (SELECT source, n, sum(matched) AS m, sum(nc) AS nc, sum(nr) AS nr FROM counts JOIN captions USING (sample_id) GROUP BY 1, 2),
+wide AS (SELECT source, coalesce(max(nr) FILTER (n = 1), 0) AS r1, {wide} FROM pooled GROUP BY 1) SELECT source, {scores} FROM wide"""
+
+
+@query(f"WITH {views.SQL['captions']},\n{views.SQL['treebank']},\n{_pooled_sql()}")
+def x5_treebank_bleu(spark, d):
+    """BLEU over the tokens of caption scores, by source."""
+    own = captions.corpus_bleu(views.captions(spark, d), "source", "sample_id", split=text.treebank)
+    return own.select("source", *[F.round(f"bleu_{n}", 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)])
+
+
 @query()
 def x2_rouge_stemmed(spark, d):
     return captions.stemmed_rouge(views.captions(spark, d), "sample_id")

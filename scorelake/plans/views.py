@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions import text
 from scorelake.functions.parse import first_number, time_spans
 from scorelake.functions.temporal import segment
 
@@ -169,5 +170,22 @@ counts AS (SELECT sample_id, n, sum(least(c, f))::BIGINT AS matched, sum(c)::BIG
 }
 
 
+def _treebank_sql(column: str) -> str:
+    """The words of text.treebank."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spaced = rf"' ' || lower(trim(regexp_replace(coalesce({column}, ''), '[ \t\n\x0b\f\r]+', ' ', 'g'))) || ' '"
+    for pattern, to in text.TREEBANK_SPLITS:
+        spaced = f"regexp_replace({spaced}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    ended = f"CASE WHEN regexp_matches(rtrim(t, ''''), {quoted(text.TREEBANK_ABBREVIATIONS)}) THEN rtrim(t, '''') ELSE regexp_replace(t, '[.'']+$', '') END"
+    pairs = "CASE t " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in text.TREEBANK_PAIRS.items()) + f" ELSE CASE WHEN regexp_matches(t, {quoted(text.TREEBANK_ALONE)}) THEN t ELSE ltrim(t, '''') END END"
+    parted = rf"regexp_replace({pairs}, {quoted(text.TREEBANK_ENDINGS)}, '\1 \2')"
+    parts = f"list_transform(list_transform(regexp_split_to_array(trim({spaced}), ' +'), lambda t: {ended}), lambda t: {parted})"
+    return f"list_filter(regexp_split_to_array(array_to_string({parts}, ' '), ' +'), lambda t: NOT regexp_matches(t, '^[-.'',:]*$'))"
+
+
+# the n-grams and counts of SQL["words"], over Treebank tokens
+SQL["treebank"] = f"words AS (SELECT sample_id, source, {_treebank_sql('prediction')} AS p, {_treebank_sql('reference')} AS r FROM captions),\n" + SQL["words"][SQL["words"].index("told AS") :]
+
+
 def with_views(*names: str, then: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n" + then
