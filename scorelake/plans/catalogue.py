@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelake import adapters, judged
 from scorelake.functions import jsons, parse, temporal, text
-from scorelake.operators import answers, captions, dense, events, grounding, judging, report
+from scorelake.operators import answers, captions, dense, events, grounding, judging, options, report
 from scorelake.plans import views
 from scorelake.plans.views import table, with_views
 
@@ -262,7 +262,7 @@ s AS (SELECT vec_id, x.label, c.label AS choice, round(sum(x.x * c.x), 9) AS sim
 b AS (SELECT vec_id, label, choice FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, choice) AS n FROM s) WHERE n = 1)
 SELECT label, count(*) AS total, round(avg(CASE WHEN choice = label THEN 1 ELSE 0 END), 5) AS acc FROM b GROUP BY label""")
 def a6_referring_acc(spark, d):
-    rows = answers.nearest_option(table(spark, d, "embeddings"), "embedding", views.centroids(spark, d), "label", "v")
+    rows = options.nearest_option(table(spark, d, "embeddings"), "embedding", views.centroids(spark, d), "label", "v")
     return rows.groupBy("label").agg(F.count("*").alias("total"), F.round(F.avg((F.col("choice") == F.col("label")).cast("int")), 5).alias("acc"))
 
 
